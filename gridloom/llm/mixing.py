@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .shared import WORD, materialize
 
 HASH_BITS, LEVEL_BITS = 36, (12, 12, 12)
+#: Rows of a source meet their source's row in this many parts, so a hot source is no single task.
+SALTS = 32
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +71,10 @@ def _boundary(hist: DataFrame, budget: str, path: list[str], at: str) -> DataFra
     )
 
 
+def _salted(per_source: DataFrame) -> DataFrame:
+    return per_source.withColumn("source_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def thresholds(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, copies, threshold): ``copies`` of every document, one more where its key is below ``threshold``."""
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -79,7 +85,11 @@ def thresholds(keyed: DataFrame, targets: DataFrame) -> DataFrame:
         name = f"b{level}"
         rows = keyed.select(F.col("source").alias("s"), "size", *[F.expr(f"(key >> {HASH_BITS - 12 * (i + 1)}) & 4095").alias(f"k{i}") for i in range(level)], F.expr(f"(key >> {shift}) & 4095").alias(name))
         bound = bound.withColumnRenamed("rest", "budget")
+        if level:  # whole rows, not sums: salted
+            rows, bound = rows.withColumn("salt", F.pmod("size", F.lit(SALTS)).cast("int")), _salted(bound)
         on = rows["s"].eqNullSafe(bound["source"])
+        if level:
+            on = on & (rows["salt"] == bound["source_salt"])
         for i in range(level):
             on = on & (rows[f"k{i}"] == bound[f"b{i}"])
         # Sum before joining: at most 4096 rows of a source pass each shuffle for each map task.
@@ -103,7 +113,8 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     """Per document: doc_id, source, size, source_size, target, times (how often the mix takes it)."""
     keyed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash_key(F.col(id_col)).alias("key")), "sizes")
     plan = thresholds(keyed, source_targets(keyed, weights, max_epochs)).withColumnRenamed("source", "plan_source")
-    return keyed.join(plan, keyed["source"].eqNullSafe(plan["plan_source"])).select(
+    keyed, plan = keyed.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")), _salted(plan)
+    return keyed.join(plan, keyed["source"].eqNullSafe(plan["plan_source"]) & (keyed["salt"] == plan["source_salt"])).select(
         "doc_id", "source", "size", "source_size", "target", (F.col("copies") + (F.col("key") < F.col("threshold")).cast("long")).alias("times")
     )
 

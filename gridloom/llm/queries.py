@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, packing, sharding, token_files
 
 QUERIES = {
     "op4_mixing": mixing.mixing_query,
     "op5_exact_dedup": exact_dedup.exact_dedup_query,
+    "op7_packing": packing.packing_query,
+    "op8_token_files": token_files.token_files_query,
     "op9_sharding": sharding.sharding_query,
 }
 ORACLES = {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
