@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, token_files
+from . import exact_dedup, mixing, packing, sharding, token_files, topk
 
 QUERIES = {
+    "op1_topk": topk.topk_query,
     "op4_mixing": mixing.mixing_query,
     "op5_exact_dedup": exact_dedup.exact_dedup_query,
     "op7_packing": packing.packing_query,
     "op8_token_files": token_files.token_files_query,
     "op9_sharding": sharding.sharding_query,
 }
-ORACLES = {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op1_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
