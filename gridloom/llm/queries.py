@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, packing, sharding, token_files, topk
+from . import exact_dedup, html_text, jaccard_join, mixing, packing, sharding, token_files, topk
 
 QUERIES = {
     "op1_topk": topk.topk_query,
     "op2_jaccard": jaccard_join.jaccard_query,
+    "op3_html": html_text.html_query,
     "op4_mixing": mixing.mixing_query,
     "op5_exact_dedup": exact_dedup.exact_dedup_query,
     "op7_packing": packing.packing_query,
