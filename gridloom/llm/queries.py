@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, jaccard_join, mixing, packing, sharding, token_files, topk
+from . import exact_dedup, html_text, jaccard_join, mixing, packing, sharding, token_files, topk, toxicity
 
 QUERIES = {
     "op1_topk": topk.topk_query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.exact_dedup_query,
     "op7_packing": packing.packing_query,
     "op8_token_files": token_files.token_files_query,
+    "op10_toxicity": toxicity.toxicity_query,
     "op9_sharding": sharding.sharding_query,
 }
 ORACLES = {"op1_topk": topk.ORACLE, "op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
