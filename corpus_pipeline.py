@@ -1,17 +1,65 @@
-"""The corpus pipeline; its stages follow as their operators are there."""
+"""The corpus pipeline: toxic documents go, then copies, then near copies; sources are mixed to their weights and packed.
+
+Every stage takes (spark, docs, sf_dir), works on all rows that the one before
+kept, and is written as Parquet before the next reads it.  All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
+from gridloom.llm.shared import materialize, table
+from gridloom.llm.subwords import vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network (fitted on the training labels of the given rows) scores below 0.5."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_below(docs, model, 0.5)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id."""
+    decided = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["doc_id"]), "left_semi")
+
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of the n-gram join the document with the smallest id; documents without an id stay."""
+    classes = jaccard_join.jaccard_classes(docs)
+    gone = classes.where("doc_id <> class_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; one that it takes several times is repeated."""
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("taken_id"), "times").where("times > 0").distinct()
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
+#: SQL cannot express the stages; tests hold each against a plain version.
+ORACLE_SQL = None
 
-def run(spark, sf_dir):
-    from gridloom.llm.shared import materialize, table
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
+            docs = materialize(docs, name.replace(" ", "_"))
     return docs

@@ -410,7 +410,7 @@ def _score(model: Model):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns)), pa.array(model.score(part.column("text")), pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(part.column("text")), pa.float64())], ["doc_id", "score"])
 
     return run
 
@@ -418,8 +418,18 @@ def _score(model: Model):
 def score_documents(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: doc_id, score."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    run = _score(model)
-    return rows.mapInArrow(lambda it: (b.select(["doc_id", "score"]) for b in run(it)), "doc_id long, score double")
+    return rows.mapInArrow(_score(model), "doc_id long, score double")
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float, text_col="text") -> DataFrame:
+    """The rows, with all their columns, whose text scores below ``limit``; nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col, 2 << 20):
+                yield part.filter(pa.array(model.score(part.column(text_col)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity_query(spark, sf_dir) -> DataFrame:
