@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize, table
-from .subwords import SubwordEncoder, slices, vocabulary
+from .subwords import encoder, slices, vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 MERGE_GROUP = 32
@@ -62,7 +62,7 @@ class OpenWindows:
 
 def _pack(path: str, end_id: int, size: int, limit: int):
     def run(batches):
-        encoder, windows = SubwordEncoder(path), OpenWindows(size, limit)
+        subwords, windows = encoder(path), OpenWindows(size, limit)
         first = TaskContext.get().partitionId() << 33
         sequences = iter(range(first, first + (1 << 33)))
         rows: list[tuple] = []
@@ -77,8 +77,8 @@ def _pack(path: str, end_id: int, size: int, limit: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.bool_())], [*_NAMES, "open"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, offsets = encoder.encode(part.column("text"))
+            for part in slices(batch, "text", 12 << 20):
+                ids, offsets = subwords.encode(part.column("text"))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
                     n = len(own)

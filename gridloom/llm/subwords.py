@@ -39,7 +39,7 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class SubwordEncoder:
     """Ids as the library gives them with add_special_tokens=False; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, cache_units: int = 400_000, chunk_words: int = 1 << 14):
+    def __init__(self, path: str, cache_units: int = 600_000, chunk_words: int = 1 << 14):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,7 +132,17 @@ class SubwordEncoder:
         return ids, sums[2 * cuts]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 4096):
+_encoders: dict[str, SubwordEncoder] = {}
+
+
+def encoder(path: str) -> SubwordEncoder:
+    """The process's encoder: the units it knows serve all tasks that a worker runs."""
+    if path not in _encoders:
+        _encoders[path] = SubwordEncoder(path)
+    return _encoders[path]
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 16_384):
     """Parts of a batch with at most ``limit`` bytes of text (or one row) and ``rows`` rows."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, table
-from .subwords import SubwordEncoder, slices, vocabulary
+from .subwords import encoder, slices, vocabulary
 
 MAGIC = b"GLTOKENS1"
 INDEX = np.dtype([("doc_id", "<i8"), ("null_id", "u1"), ("at", "<u8"), ("size", "<u4"), ("n", "<u4")])
@@ -67,7 +67,10 @@ class TokenFileWriter:
         self.out.write(MAGIC)
         self.at, self.index, self.width = len(MAGIC), [], width
         self.digest = hashlib.sha256(dictionary).hexdigest()
-        self.zstd = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary))
+        shared = _dictionary(dictionary)
+        if shared:
+            shared.precompute_compress(level=level)  # else each document would load it anew
+        self.zstd = zstandard.ZstdCompressor(level=level, dict_data=shared)
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         blob = self.zstd.compress(ids.astype(f"<u{self.width}").tobytes())
@@ -131,11 +134,10 @@ class TokenFileReader:
 
 def _write(folder: str, path: str, end_id: int, dictionary: bytes, width: int):
     def run(batches):
-        name, writer, encoder, docs, ids_in = f"part-{TaskContext.get().partitionId():06d}.tok", None, SubwordEncoder(path), 0, 0
-        first = None
+        name, writer, subwords, docs, ids_in = f"part-{TaskContext.get().partitionId():06d}.tok", None, encoder(path), 0, 0
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, offsets = encoder.encode(part.column("text"))
+            for part in slices(batch, "text", 12 << 20):
+                ids, offsets = subwords.encode(part.column("text"))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
                     writer = writer or TokenFileWriter(folder, name, dictionary, width)
                     writer.add(doc, np.append(ids[a:b], np.uint32(end_id)))
@@ -156,9 +158,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = max(1, rows.count() // sample_docs)
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(sample_docs).toArrow()["text"].combine_chunks()
-    encoder = SubwordEncoder(vocabulary_path)
-    width = 2 if max(len(encoder.width) - 1, end_id) < 1 << 16 else 4
-    ids, offsets = encoder.encode(sample if isinstance(sample, pa.Array) else pa.array([], pa.string()))
+    subwords = encoder(vocabulary_path)
+    width = 2 if max(len(subwords.width) - 1, end_id) < 1 << 16 else 4
+    ids, offsets = subwords.encode(sample if isinstance(sample, pa.Array) else pa.array([], pa.string()))
     dictionary = train_dictionary([ids[a:b].astype(f"<u{width}").tobytes() for a, b in zip(offsets[:-1], offsets[1:])], dictionary_bytes)
     fs, base = file_system(folder)
     fs.create_dir(base, recursive=True)
