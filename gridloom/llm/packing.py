@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import materialize, table, tidy
 from .subwords import encoder, slices, vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -77,7 +77,7 @@ def _pack(path: str, end_id: int, size: int, limit: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.bool_())], [*_NAMES, "open"])
 
         for batch in batches:
-            for part in slices(batch, "text", 12 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 ids, offsets = subwords.encode(part.column("text"))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")
@@ -118,7 +118,7 @@ def _merge(size: int):
 def pack(docs: DataFrame, vocabulary_path: str, end_id=1, size=2048, open_windows=64, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    placed = materialize(rows.mapInArrow(_pack(vocabulary_path, end_id, size, open_windows), PIECES + ", open boolean"), "pieces")
+    placed = materialize(rows.mapInArrow(tidy(_pack(vocabulary_path, end_id, size, open_windows)), PIECES + ", open boolean"), "pieces")
     group = F.expr(f"shiftright(sequence_id, 33) div {MERGE_GROUP}")
     merged = placed.where("open").drop("open").groupBy(group.alias("part")).applyInPandas(_merge(size), PIECES)
     return placed.where("not open").drop("open").unionByName(merged)

@@ -33,13 +33,16 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     """pool[s:s+n] for each start and length, one after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 class SubwordEncoder:
     """Ids as the library gives them with add_special_tokens=False; special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str, cache_units: int = 600_000, chunk_words: int = 1 << 14):
+    def __init__(self, path: str, cache_units: int = 500_000, chunk_words: int = 1 << 14):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,6 +60,14 @@ class SubwordEncoder:
         self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.marks = {"": 0}
 
+    def _shrink(self, words: list[str]) -> None:
+        """Forget all units but these."""
+        at = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        lengths = self.lengths[at]
+        ids = gather(self.pool, self.starts[at], lengths)
+        self._reset()
+        self._store(self.slots, words, ids, lengths)
+
     def _encode_each(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -95,7 +106,7 @@ class SubwordEncoder:
                 stems.append(w)
                 tails.append("")
         if len(slots) + len(self.marks) + len(words) > self.cache_units:
-            self._reset()
+            self._shrink(list(dict.fromkeys(w for w in stems if w in slots)))
             slots = self.slots
         new = [w for w in dict.fromkeys(stems) if w not in slots]
         if new:
@@ -117,19 +128,22 @@ class SubwordEncoder:
         head = cuts[:-1]
         coded = flat.dictionary_encode()
         stem, tail = self._slots(coded.dictionary.to_pylist())
+        # Ids of each distinct word, then of all words by its place.
+        both = np.stack([stem, tail], 1).ravel()
+        lengths = self.lengths[both]
+        pool = gather(self.pool, self.starts[both], lengths)
+        lengths = lengths.reshape(-1, 2).sum(1)
         at = np.asarray(coded.indices)
-        slot = np.stack([stem[at], tail[at]], 1).ravel()
-        starts, lengths = self.starts[slot], self.lengths[slot]
+        starts, lengths = (np.cumsum(lengths) - lengths)[at], lengths[at]
         # What stands first has no space before it, and some texts are encoded whole.
         heads = pc.if_else(whole, texts, flat.take(pa.array(head))).to_pylist()
         got = self._encode_each(heads)
         lens = np.fromiter(map(len, got), np.int64, n)
-        starts[2 * head], lengths[2 * head] = len(self.pool) + np.cumsum(lens) - lens, lens
-        lengths[2 * head + 1] = 0
-        pool = np.concatenate([self.pool, np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))])
+        starts[head], lengths[head] = len(pool) + np.cumsum(lens) - lens, lens
+        pool = np.concatenate([pool, np.fromiter((i for g in got for i in g), np.uint32, int(lens.sum()))])
         ids = gather(pool, starts, lengths)
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, sums[2 * cuts]
+        return ids, sums[cuts]
 
 
 _encoders: dict[str, SubwordEncoder] = {}

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, table
+from .shared import fresh_path, table, tidy
 from .subwords import encoder, slices, vocabulary
 
 MAGIC = b"GLTOKENS1"
@@ -136,7 +136,7 @@ def _write(folder: str, path: str, end_id: int, dictionary: bytes, width: int):
     def run(batches):
         name, writer, subwords, docs, ids_in = f"part-{TaskContext.get().partitionId():06d}.tok", None, encoder(path), 0, 0
         for batch in batches:
-            for part in slices(batch, "text", 12 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 ids, offsets = subwords.encode(part.column("text"))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
                     writer = writer or TokenFileWriter(folder, name, dictionary, width)
@@ -167,7 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
     with fs.open_output_stream(f"{base}/dictionary.zstd") as out:
         out.write(dictionary)
     ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
-    files = ordered.mapInArrow(_write(folder, vocabulary_path, end_id, dictionary, width), "name string, documents long, ids long").collect()  # a row for each file
+    files = ordered.mapInArrow(tidy(_write(folder, vocabulary_path, end_id, dictionary, width)), "name string, documents long, ids long").collect()  # a row for each file
     files = sorted((r.name, r.documents, r.ids) for r in files)
     with fs.open_output_stream(f"{base}/manifest.json") as out:
         out.write(json.dumps({"end_id": end_id, "files": files}).encode())

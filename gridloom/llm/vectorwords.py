@@ -32,6 +32,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    _powers.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of 64 bits."""
     h = h ^ (h >> np.uint64(30))
