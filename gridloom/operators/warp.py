@@ -57,9 +57,14 @@ def default_grid(meta: GridMeta, dst, resolution=None, shape=None) -> tuple[Affi
 
 def fit_gcps(gcps) -> Affine:
     """Least-squares affine of ground control points with row, col, x, y."""
-    a = np.array([[g["col"], g["row"], 1.0] for g in gcps])
-    cx, cy = (np.linalg.lstsq(a, np.array([g[k] for g in gcps], float), rcond=None)[0] for k in ("x", "y"))
-    return Affine(*map(float, cx), *map(float, cy))
+    places = np.array([[g["col"], g["row"]] for g in gcps], float)
+    middle = places.mean(0)
+    rows = []
+    for k in ("x", "y"):  # around the means, which keeps large coordinates from costing digits
+        v = np.array([g[k] for g in gcps], float)
+        a, b = np.linalg.lstsq(places - middle, v - v.mean(), rcond=None)[0]
+        rows += [float(a), float(b), float(v.mean() - a * middle[0] - b * middle[1])]
+    return Affine(*rows)
 
 
 def rpc_place(rpcs: dict, lon, lat, height=0.0):
