@@ -7,10 +7,11 @@
    pair at the threshold shares one in some tree reaches the target recall.
 3. Within a prefix bucket, the smallest text that no other covers is compared
    with all of the bucket by whole signatures.  It covers what is at least
-   COVER similar and is joined to what is at least NEAR similar.  As Jaccard
-   distance is a metric, two texts within the threshold then meet in a group:
-   one covers a text, and the other is no further from it than the sum.  So a
-   bucket of near copies costs a pass for each cover, not all pairs.
+   COVER similar, and is joined to all that can link to what it covers: as
+   Jaccard distance is a metric, that is no further away than the furthest
+   covered text and the threshold together.  So two texts within the threshold
+   meet in a group, and a bucket of near copies costs a pass for each cover,
+   not all pairs.
 4. The components of these joins are the groups in which all pairs are
    verified exactly, by intersection counts from matrix products over the
    common n-grams; a large group is cut into cells of bounded size (pairs of
@@ -32,14 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, table
+from .shared import materialize, table, tidy
 from .subwords import slices
 from .vectorwords import mix, shingle_hashes, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL = 20, 6, 0.9999
-#: Estimates from 120 values have a standard error below 0.046: both leave three of it.
-COVER, NEAR = 0.7, 0.25
+#: Estimated similarity from which a text covers another, and the room left for errors
+#: of two estimates (120 values: a standard error of 0.046 at most each).
+COVER, SLACK = 0.7, 0.12
 #: Rows of a bucket or group that a task compares with each other.
 CHUNK = 8192
 #: An n-gram in fewer texts of a cell is counted pair by pair, others by matrix products.
@@ -72,7 +74,7 @@ def _signatures(width: int, trees: int, depth: int, length: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 grams, first = shingle_sets(part.column("text"), width)
                 n = np.diff(first)
                 has = np.flatnonzero(n)
@@ -132,11 +134,11 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.array([np.frombuffer(b, dtype) for b in column.to_pylist()])
 
 
-def cover_edges(group: np.ndarray, docs: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, covers): edges from covers to texts near them, and the places of the covers, for rows sorted by group and doc."""
+def cover_edges(group: np.ndarray, docs: np.ndarray, signatures: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, covers, limits) for rows sorted by group and doc: edges from covers to texts near them, the places of the covers, and how similar near is for each."""
     place = np.arange(len(docs))
     is_open = np.ones(len(docs), bool)
-    us, vs, covers = [], [], []
+    us, vs, covers, limits = [], [], [], []
     while len(place):
         change = np.r_[True, group[place][1:] != group[place][:-1]]
         starts, of = np.flatnonzero(change), np.cumsum(change) - 1
@@ -144,14 +146,16 @@ def cover_edges(group: np.ndarray, docs: np.ndarray, signatures: np.ndarray) ->
         lead = first[of]  # the first open row of each group; groups without one have left
         covers.append(first)
         same = (signatures[lead] == signatures[place]).mean(1)
-        near = (same >= NEAR) & (docs[lead] != docs[place])
+        limit = np.minimum.reduceat(np.where(same >= COVER, same, 1.0), starts) - (1 - threshold) - SLACK
+        limits.append(limit)
+        near = (same >= limit[of]) & (docs[lead] != docs[place])
         us.append(docs[lead[near]])
         vs.append(docs[place[near]])
         is_open[place[same >= COVER]] = False
         is_open[first] = False
         place = place[np.logical_or.reduceat(is_open[place], starts)[of]]
     empty = [np.zeros(0, np.int64)]
-    return np.concatenate(us or empty), np.concatenate(vs or empty), np.concatenate(covers or empty)
+    return np.concatenate(us or empty), np.concatenate(vs or empty), np.concatenate(covers or empty), np.concatenate(limits or empty)
 
 
 def verify_cell(side: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -226,38 +230,46 @@ def verify_cell(side: np.ndarray, sets: list[np.ndarray], threshold: float) -> t
     return links, root
 
 
-def _edge_batch(key, u, v) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (key, u, v)], ["key", "u", "v"])
+_EDGES = "key long, u long, v long, near double"
 
 
-def _covers(batches):
-    """Edges (0, u, v); in buckets of several chunks also (key, cover, cover)."""
-    for batch in _whole_groups(batches, ["key", "chunk"]):
-        key, chunk, chunks, docs = (batch.column(c).to_numpy() for c in ("key", "chunk", "chunks", "doc"))
-        u, v, covers = cover_edges(key.view(np.uint64) + chunk.astype(np.uint64), docs, _matrix(batch.column("signature"), np.uint16))
-        pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        covers = covers[chunks[covers] > 1]
-        yield _edge_batch(np.zeros(len(pairs)), pairs[:, 0], pairs[:, 1])
-        yield _edge_batch(key[covers], docs[covers], docs[covers])
+def _edge_batch(key, u, v, near=None) -> pa.RecordBatch:
+    near = np.zeros(len(u)) if near is None else near
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, u, v)), pa.array(near, pa.float64())], ["key", "u", "v", "near"])
+
+
+def _covers(threshold: float):
+    """Edges (0, u, v); in buckets of several chunks also (key, cover, cover, its limit)."""
+
+    def run(batches):
+        for batch in _whole_groups(batches, ["key", "chunk"]):
+            key, chunk, chunks, docs = (batch.column(c).to_numpy() for c in ("key", "chunk", "chunks", "doc"))
+            u, v, covers, limits = cover_edges(key.view(np.uint64) + chunk.astype(np.uint64), docs, _matrix(batch.column("signature"), np.uint16), threshold)
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+            yield _edge_batch(np.zeros(len(pairs)), pairs[:, 0], pairs[:, 1])
+            many = chunks[covers] > 1
+            yield _edge_batch(key[covers[many]], docs[covers[many]], docs[covers[many]], limits[many])
+
+    return run
 
 
 def _across(batches):
     """Edges between the covers of a bucket (lead = 1) and the rows of one of its chunks."""
     for batch in _whole_groups(batches, ["key", "chunk"]):
-        key, chunk, lead, docs = (batch.column(c).to_numpy() for c in ("key", "chunk", "lead", "doc"))
+        key, chunk, lead, docs, limit = (batch.column(c).to_numpy() for c in ("key", "chunk", "lead", "doc", "near"))
         signatures = _matrix(batch.column("signature"), np.uint16)
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])
         for a, b in zip(new, np.r_[new[1:], len(docs)]):
             rows = np.arange(a, b)[lead[a:b] == 0]
             for k in np.arange(a, b)[lead[a:b] == 1]:
-                near = rows[((signatures[rows] == signatures[k]).mean(1) >= NEAR) & (docs[rows] != docs[k])]
+                near = rows[((signatures[rows] == signatures[k]).mean(1) >= limit[k]) & (docs[rows] != docs[k])]
                 yield _edge_batch(np.zeros(len(near)), np.full(len(near), docs[k]), docs[near])
 
 
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 grams, first = shingle_sets(part.column("text"), width)
                 yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("label"), pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["doc", "label", "grams"])
 
@@ -291,7 +303,7 @@ def jaccard_classes(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TRE
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     length = prefix_length(trees, depth, threshold, target)
-    signed = materialize(rows.mapInArrow(_signatures(width, trees, depth, length), "doc_id long, d1 long, d2 long, n long, keys array<long>, signature binary"), "signatures")
+    signed = materialize(rows.mapInArrow(tidy(_signatures(width, trees, depth, length)), "doc_id long, d1 long, d2 long, n long, keys array<long>, signature binary"), "signatures")
     copies = materialize(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), "copies")
     heads = copies.where("copy_id is not null").select(F.col("copy_id").alias("doc_id"), "d1", "d2")
     # One row for each different text.
@@ -303,21 +315,21 @@ def jaccard_classes(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TRE
     buckets = buckets.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")).select("key", "chunk", "chunks", "doc")
     signatures = firsts.select("doc", "signature")
     ordered = buckets.join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "doc")
-    near = materialize(ordered.mapInArrow(_covers, "key long, u long, v long"), "near")
+    near = materialize(ordered.mapInArrow(tidy(_covers(threshold)), _EDGES), "near")
     edges = near.where("u <> v").select("u", "v")
     if not shared.where(F.col("size") > CHUNK).isEmpty():
         large = shared.where(F.col("size") > CHUNK).select("key", F.expr(f"cast((size + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks"))
-        leads = near.where("u = v").join(large, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("u").alias("doc"), F.lit(1).alias("lead"))
-        others = buckets.where("chunks > 1").select("key", "chunk", "doc", F.lit(0).alias("lead"))
+        leads = near.where("u = v").join(large, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("u").alias("doc"), F.lit(1).alias("lead"), "near")
+        others = buckets.where("chunks > 1").select("key", "chunk", "doc", F.lit(0).alias("lead"), F.lit(0.0).alias("near"))
         both = leads.unionByName(others).join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "lead", "doc")
-        edges = edges.unionByName(both.mapInArrow(_across, "key long, u long, v long").select("u", "v"))
+        edges = edges.unionByName(both.mapInArrow(tidy(_across), _EDGES).select("u", "v"))
     groups = components(edges).select(F.col("node").alias("doc"), "label")
     sizes = groups.groupBy("label").agg(F.expr(f"cast((count(1) + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks"))
-    members = rows.join(groups, rows["doc_id"] == groups["doc"]).select("doc", "label", "text").mapInArrow(_sets(width), "doc long, label long, grams binary")
+    members = rows.join(groups, rows["doc_id"] == groups["doc"]).select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
     cells = members.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("label", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc", "grams")
-    checked = cells.repartition("label", "c1", "c2").sortWithinPartitions("label", "c1", "c2", "doc").mapInArrow(_verify(threshold), "label long, doc long, root long, links long")
+    checked = cells.repartition("label", "c1", "c2").sortWithinPartitions("label", "c1", "c2", "doc").mapInArrow(tidy(_verify(threshold)), "label long, doc long, root long, links long")
     checked = materialize(checked, "checked")
     links = checked.groupBy("doc").agg(F.sum("links").alias("n_links"))
     classes = components(checked.select(F.col("root").alias("u"), F.col("doc").alias("v"))).withColumnRenamed("node", "doc").withColumnRenamed("label", "class")
