@@ -325,7 +325,8 @@ def jaccard_classes(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TRE
         edges = edges.unionByName(both.mapInArrow(tidy(_across), _EDGES).select("u", "v"))
     groups = components(edges).select(F.col("node").alias("doc"), "label")
     sizes = groups.groupBy("label").agg(F.expr(f"cast((count(1) + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks"))
-    members = rows.join(groups, rows["doc_id"] == groups["doc"]).select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
+    # Always a sort-merge join: group members grow with the input, and so must not be broadcast at any size.
+    members = rows.join(groups.hint("merge"), rows["doc_id"] == groups["doc"]).select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
     cells = members.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("label", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc", "grams")
