@@ -36,9 +36,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; one that it takes several times is repeated."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("taken_id"), "times").where("times > 0").distinct()
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(docs.columns)
+    taken = mixing.mix(docs).select("doc_id", "times").where("times > 0").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))  # whatever columns there are
+    rows = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

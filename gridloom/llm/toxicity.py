@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import release_memory, table, tidy
 from .subwords import slices
 from .vectorwords import lower_ascii, mix, prefix_sums, span_hashes, text_bytes
 
@@ -37,7 +37,7 @@ WINDOW, OVERLAP = 32, 8
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 GRAMS, BUCKETS, SLOTS = (3, 4, 5, 6), 1 << 16, 1 << 17
 FOLDS, MIN_DOCS = 4, 3
-MAX_TRAIN = 5000
+MAX_TRAIN = 4000
 INPUTS = 3 + WORD_DIM + CHAR_DIM
 
 
@@ -103,7 +103,10 @@ class Words:
     @staticmethod
     def grams_at(first: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Places of the n-grams of some words, one word after the other."""
-        return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        kind = np.int32 if len(first) == 0 or max(int(first.max()), int(count.sum())) < 1 << 30 else np.int64
+        at = np.repeat((first - np.cumsum(count) + count).astype(kind), count)
+        at += np.arange(len(at), dtype=kind)
+        return at
 
     def mean(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values[self.grams], self.gram_first) / self.gram_count.astype(np.float32).reshape(-1, *[1] * (values.ndim - 1))
@@ -279,7 +282,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, rate: float = 0
         return model
     rng = np.random.default_rng(seed)
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    words = Words.joined([Words(part.column("text")) for part in slices(batch, "text", 2 << 20)])
+    words = Words.joined([Words(part.column("text")) for part in slices(batch, "text", 1 << 20)])
+    del batch
     n = len(labels)
     if not len(words.index):
         return model
@@ -403,13 +407,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     # Bounded by max_train rows of two numbers.
     chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by("doc_id")
-    return train(rows["text"].fill_null("").to_pylist() if rows.num_rows else [], rows["toxic"].to_numpy())
+    model = train(rows["text"].fill_null("").to_pylist() if rows.num_rows else [], rows["toxic"].to_numpy())
+    del rows
+    release_memory()
+    return model
 
 
 def _score(model: Model):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.score(part.column("text")), pa.float64())], ["doc_id", "score"])
 
     return run
@@ -418,7 +425,7 @@ def _score(model: Model):
 def score_documents(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: doc_id, score."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(model), "doc_id long, score double")
+    return rows.mapInArrow(tidy(_score(model)), "doc_id long, score double")
 
 
 def keep_below(docs: DataFrame, model: Model, limit: float, text_col="text") -> DataFrame:
@@ -426,10 +433,10 @@ def keep_below(docs: DataFrame, model: Model, limit: float, text_col="text") ->
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 yield part.filter(pa.array(model.score(part.column(text_col)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def toxicity_query(spark, sf_dir) -> DataFrame:

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_P = 0x9E3779B97F4A7C15
-_INVERSE = pow(_P, -1, 1 << 64)
+P = 0x9E3779B97F4A7C15
+_INVERSE = pow(P, -1, 1 << 64)
 _BYTE = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -79,7 +79,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_P, len(data)), out=sums[1:])
+    np.cumsum(_BYTE[data] * powers(P, len(data)), out=sums[1:])
     return sums
 
 
@@ -110,7 +110,7 @@ def shingle_hashes(words: np.ndarray, of: np.ndarray, width: int) -> tuple[np.nd
     total = len(words)
     run = np.zeros(total, np.uint64)
     for k in range(width):  # a later word of the run gets another factor; runs past the end are not used
-        run[: total - k] += words[k:] * np.uint64(pow(_P, 2 * k + 1, 1 << 64))
+        run[: max(total - k, 0)] += words[k:] * np.uint64(pow(P, 2 * k + 1, 1 << 64))
     count = np.where(n >= width, n - width + 1, 0)
     short = np.flatnonzero((n > 0) & (n < width))
     counts = count.copy()
@@ -121,6 +121,6 @@ def shingle_hashes(words: np.ndarray, of: np.ndarray, width: int) -> tuple[np.nd
     for t in short:  # texts of fewer words than a run: one hash of what they have
         value = 0
         for k, w in enumerate(words[of[t] : of[t + 1]].tolist()):
-            value += w * pow(_P, 2 * k + 1, 1 << 64)
+            value += w * pow(P, 2 * k + 1, 1 << 64)
         out[first[t]] = np.uint64((value + int(n[t]) * 0xD6E8FEB86659FD93) % (1 << 64))
     return mix(out), first
