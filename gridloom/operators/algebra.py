@@ -12,9 +12,19 @@ def align(left: Grid, right: Grid, expression) -> Grid:
     """A value from two rasters on one grid, where both have one: an equi-join on integer places."""
     if left.meta.shape != right.meta.shape:
         raise ValueError(f"rasters of shapes {left.meta.shape} and {right.meta.shape} are not on one grid")
-    a = left.valid().select(*KEYS, F.col(left.value).alias("a"))
-    b = right.valid().select(*KEYS, F.col(right.value).alias("b"))
-    return left.with_(a.join(b, list(KEYS)).select(*KEYS, expression(F.col("a"), F.col("b")).alias(left.value)))
+    a = left.valid().select(place_key(left.meta).alias("key"), F.col(left.value).alias("a"))
+    b = right.valid().select(place_key(left.meta).alias("key"), F.col(right.value).alias("b"))
+    return left.with_(a.join(b, "key").select(*places_of(left.meta), expression(F.col("a"), F.col("b")).alias(left.value)))
+
+
+def place_key(meta) -> Column:
+    """Band, row and col as one number: a join on it sorts by the whole key at once and moves fewer bytes."""
+    return (F.col("band").cast("long") * meta.height + F.col("row")) * meta.width + F.col("col")
+
+
+def places_of(meta) -> list[Column]:
+    line = F.expr(f"key div {meta.width}")
+    return [F.expr(f"key div {meta.width * meta.height}").cast("int").alias("band"), F.pmod(line, F.lit(meta.height)).cast("int").alias("row"), F.pmod("key", F.lit(meta.width)).cast("int").alias("col")]
 
 
 def statistics(value: Column) -> list[Column]:
