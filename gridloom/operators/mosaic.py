@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import crs as crs_lib
 from gridloom.functions.affine import Affine, Bounds
+from gridloom.operators.algebra import place_key, places_of
 from gridloom.operators.warp import reproject
-from gridloom.plans.grid import KEYS, Grid, GridSet
+from gridloom.plans.grid import Grid, GridSet
 
 PICKS = {
     "first": lambda v: F.min_by(v, "priority"),
@@ -48,19 +49,20 @@ def merge_arrays(grids: list[Grid], *, bounds=None, res=None, nodata=None, preci
         every = [m.meta.bounds() for m in ready]
         bounds = tuple(round(f(b[k] for b in every), precision) for k, f in enumerate((min, min, max, max)))
     transform, width, height = mosaic_grid([g.meta for g in ready], bounds, (rx, ry))
-    parts = []
+    parts, out = [], ready[0].meta.with_(width=width, height=height)
     for k, g in enumerate(ready):
         t = g.meta.transform
         # Nearest place of a cell's centre: a whole shift, and a mirror where an axis runs the other way.
         place = lambda name, step, start, out_step, out_start: F.floor((F.col(name) + 0.5) * (step / out_step) + ((start - out_start) / out_step + 1e-9)).cast("int")
         moved = g.valid().select("band", place("row", t.e, t.f, transform.e, transform.f).alias("row"), place("col", t.a, t.c, transform.a, transform.c).alias("col"), F.col(g.value).alias("value"), F.lit(k).alias("priority"))
-        parts.append(moved.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)))
-    cells = reduce(DataFrame.unionByName, parts).groupBy(*KEYS)
+        inside = moved.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+        parts.append(inside.select(place_key(out).alias("key"), "value", "priority"))
+    cells = reduce(DataFrame.unionByName, parts).groupBy("key")
     if callable(method):
         ordered = cells.agg(F.sort_array(F.collect_list(F.struct("priority", "value"))).alias("all"))
-        df = ordered.select(*KEYS, method(F.transform("all", lambda s: s["value"])).alias("value"))
+        df = ordered.select(*places_of(out), method(F.transform("all", lambda s: s["value"])).alias("value"))
     elif method in PICKS:
-        df = cells.agg(PICKS[method](F.col("value")).alias("value"))
+        df = cells.agg(PICKS[method](F.col("value")).alias("value")).select(*places_of(out), "value")
     else:
         raise ValueError(f"unknown merge method {method!r}; known: {sorted(PICKS)} or a function")
     first = ready[0].meta

@@ -492,3 +492,90 @@ def tag_vectors(spark, sf_dir):
 @gate("SELECT n_nationkey, TIMESTAMP '2016-12-19 10:27:29.687763' + to_microseconds((n_nationkey * 872712659688)::BIGINT) AS at FROM nation")
 def cf_times(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", cell.cf_time(F.col("n_nationkey") * F.lit(872712.659688), "seconds since 2016-12-19T10:27:29.687763").alias("at"))
+
+
+# ---- control points, rational polynomials, coordinate arrays
+
+
+@gate(f"WITH {R4} SELECT band, row, col, value FROM r4")
+def warp_by_gcps(spark, sf_dir):
+    """Four control points give the raster's own grid, so every cell comes back."""
+    g = rasters.parts(spark, sf_dir)
+    corners = [{"row": r, "col": c, "x": -5 + 0.1 * c, "y": 50 - 0.1 * r} for r in (0, 25) for c in (0, 50)]
+    return op.reproject(g.with_(transform=Affine()), 4326, gcps=corners, transform=g.meta.transform, shape=(25, 50)).df
+
+
+@gate(f"WITH {R4} SELECT band, row, col, value FROM r4")
+def warp_by_rpcs(spark, sf_dir):
+    """A linear model written as rational polynomials: line = (50 - lat) / 0.1, sample = (lon + 5) / 0.1, at centres."""
+    one, g = [1.0] + [0.0] * 19, rasters.parts(spark, sf_dir)
+    rpcs = {"line_off": 12, "line_scale": 12.5, "samp_off": 24.5, "samp_scale": 25, "lat_off": 48.75, "lat_scale": 1.25, "long_off": -2.5, "long_scale": 2.5, "height_off": 0, "height_scale": 1}
+    rpcs |= {"line_num_coeff": [0, 0, -1.0] + [0.0] * 17, "line_den_coeff": one, "samp_num_coeff": [0, 1.0] + [0.0] * 18, "samp_den_coeff": one}
+    return op.reproject(g.with_(transform=Affine()), 4326, rpcs=rpcs, transform=g.meta.transform, shape=(25, 50)).df
+
+
+@gate(f"WITH {R4} SELECT band, 24 - row AS row, col, value FROM r4")
+def warp_by_places(spark, sf_dir):
+    """A coordinate array that turns the raster upside down."""
+    from gridloom.operators.warp import target_cells
+
+    g = rasters.parts(spark, sf_dir)
+    places = target_cells(spark, g.meta.transform, 50, 25).select("row", "col", (-5 + 0.1 * (F.col("col") + 0.5)).alias("x"), (47.5 + 0.1 * (F.col("row") + 0.5)).alias("y"))
+    return op.reproject(g, 4326, src_geoloc_array=places, transform=g.meta.transform, shape=(25, 50)).df
+
+
+# ---- sinks and sources: written to the shared folder and read again
+
+
+@gate(f"WITH {R4} SELECT band, row, col, value FROM r4")
+def parquet_round_trip(spark, sf_dir):
+    from gridloom.sources.scratch import scratch
+    from gridloom.sources.tables import read_cells, write_cells
+
+    path = scratch(spark, "cells")
+    write_cells(rasters.parts(spark, sf_dir), path, tile=16)
+    return read_cells(spark, path).df
+
+
+@gate(f"WITH {R4} SELECT band, row, col, value::DOUBLE AS value FROM r4 WHERE row BETWEEN 3 AND 20 AND col < 40")
+def tiff_round_trip(spark, sf_dir):
+    """One file; a window of it is read through the data source, which skips the other blocks."""
+    from gridloom.sources.raster_sink import to_raster
+    from gridloom.sources.raster_source import open_raster
+    from gridloom.sources.scratch import scratch
+
+    path = scratch(spark, "parts.tif")
+    to_raster(rasters.parts(spark, sf_dir), path, dtype="int32", blocksize=16)
+    cells = open_raster(spark, path, masked=True).valid()
+    return cells.where(F.col("row").between(3, 20) & (F.col("col") < 40))
+
+
+@gate(f"WITH {R2} SELECT band, row, col, value::DOUBLE AS value FROM r2")
+def tile_folder_round_trip(spark, sf_dir):
+    """A file for each tile, written by the tasks; read together as a mosaic."""
+    from gridloom.sources.raster_sink import write_tiles
+    from gridloom.sources.raster_source import open_raster
+    from gridloom.sources.scratch import scratch
+
+    files = write_tiles(rasters.sales(spark, sf_dir).astype("float64"), scratch(spark, "tiles"), tile=32)
+    return op.merge_arrays([open_raster(spark, p) for p in sorted(files["path"])]).df
+
+
+@gate(f"WITH {R4} SELECT band, row, col, value::INT AS value FROM r4")
+def ascii_round_trip(spark, sf_dir):
+    from gridloom.sources.raster_sink import to_raster
+    from gridloom.sources.raster_source import open_raster
+    from gridloom.sources.scratch import scratch
+
+    path = scratch(spark, "parts.asc")
+    to_raster(rasters.parts(spark, sf_dir), path, dtype="int32")
+    g = open_raster(spark, path)
+    return g.valid()
+
+
+@gate(f"WITH {R4} SELECT band, row, col, value::DOUBLE AS value FROM r4")
+def tile_table_round_trip(spark, sf_dir):
+    from gridloom.sources.tables import from_tiles, to_tiles
+
+    g = rasters.parts(spark, sf_dir)
+    return from_tiles(to_tiles(g, 8), g.meta).df

@@ -63,6 +63,8 @@ def _put(path: str, data: bytes) -> None:
     from pyarrow import fs
 
     where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if "/" in base:
+        where.create_dir(base.rpartition("/")[0], recursive=True)
     temp = f"{base}.{uuid.uuid4().hex}.tmp"
     with where.open_output_stream(temp) as out:
         out.write(data)
