@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 
-WINDOW, OVERLAP = 64, 16
+WINDOW, OVERLAP = 48, 8
 KNOWN, OWN, CLUSTERS, DIM, KEY = 2048, 40, 24, 24, 16
 CLASSES = OWN + CLUSTERS
 
@@ -140,7 +140,8 @@ class AttentionModel:
         w = self.w
         gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         self.bias = np.where(gap >= 0, w["r"][np.abs(gap)], -np.inf).astype(np.float32)
-        self.keyed = np.concatenate([w["e"] @ w["wq"] / np.sqrt(KEY), w["e"] @ w["wk"], w["e"] @ w["wv"], w["e"]], 1).astype(np.float32)
+        ones = np.ones((KNOWN, 1))  # beside the values, so that a product also gives the sum of the weights
+        self.keyed = np.concatenate([w["e"] @ w["wq"] / np.sqrt(KEY), w["e"] @ w["wk"], w["e"] @ w["wv"], ones, w["e"]], 1).astype(np.float32)
         # Exponentials are taken as they are unless some context could make them overflow.
         long = lambda m: float(np.linalg.norm(m, axis=1).max())
         most = max(long(self.keyed[:, :KEY]) * long(self.keyed[:, KEY : 2 * KEY]) + np.abs(w["r"]).max(), np.abs(w["e"] @ w["wx"]).max() + long(w["e"] @ w["wv"]) * long(w["wo"].T) + np.abs(w["b"]).max())
@@ -175,7 +176,7 @@ class AttentionModel:
         np.add.at(g["e"], inputs.ravel(), flat(dx))
         return g
 
-    def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 64) -> np.ndarray:
+    def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 32) -> np.ndarray:
         """log10 probability of each text, ids[offsets[i]:offsets[i + 1]], and of its end."""
         n = np.diff(offsets) + 1  # predictions: each id and the end
         texts = len(n)
@@ -191,9 +192,9 @@ class AttentionModel:
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start, size = k * stride, np.minimum(n[text] - k * stride, WINDOW)
         out = np.zeros(texts)
-        w, d = self.w, np.split(np.arange(self.keyed.shape[1]), np.cumsum([KEY, KEY, DIM]))
+        w, d = self.w, np.split(np.arange(self.keyed.shape[1]), np.cumsum([KEY, KEY, DIM + 1]))
         parts = [slice(p[0], p[-1] + 1) for p in d]
-        place = np.arange(WINDOW)
+        place, unit = np.arange(WINDOW), np.ones(CLASSES, np.float32)
         # Later windows give no score to their context, so its rows are left out of all products.
         for later in (False, True):
             mine = np.flatnonzero((k > 0) == later)
@@ -209,8 +210,8 @@ class AttentionModel:
                 if self.steep:
                     s -= s.max(-1, keepdims=True)
                 np.exp(s, out=s)  # places behind have weight exp(-inf) = 0
-                o = (s @ x[:, :, parts[2]]) / s.sum(-1, keepdims=True)
-                logits = o.reshape(-1, DIM) @ w["wo"]
+                o = (s @ x[:, :, parts[2]]).reshape(-1, DIM + 1)
+                logits = (o[:, :DIM] / o[:, DIM:]) @ w["wo"]
                 logits += x[:, lead:, parts[3]].reshape(-1, DIM) @ w["wx"]
                 logits += w["b"]
                 target = stream[at_id[:, lead:] + 1].ravel()
@@ -219,7 +220,7 @@ class AttentionModel:
                     logits -= logits.max(1, keepdims=True)
                 shifted = logits[np.arange(len(label)), label]
                 np.exp(logits, out=logits)
-                log10 = (shifted - np.log(logits.sum(1))) * np.float32(1 / np.log(10)) + self.given[known[at_id[:, lead:]].ravel(), self.known[target]] + self.rare[target]
+                log10 = (shifted - np.log(logits @ unit)) * np.float32(1 / np.log(10)) + self.given[known[at_id[:, lead:]].ravel(), self.known[target]] + self.rare[target]
                 real = (place[None, lead:width] < size[pick][:, None]).ravel()
                 log10 = np.where(real, log10, 0).reshape(len(pick), -1).sum(1, dtype=np.float64)
                 np.add.at(out, text[pick], log10)

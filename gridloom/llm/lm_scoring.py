@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .attention_lm import AttentionModel
-from .shared import SPACE, materialize, table
-from .subwords import gather, slices, vocabulary
-from .vectorwords import hash_of, prefix_sums, span_hashes, word_bounds
+from .shared import materialize, release_memory, table, tidy
+from .subwords import slices, vocabulary
+from .vectorwords import P, hash_of, powers, span_hashes
 
 SLICE = 20 << 20
 FIT_DOCS = 600
@@ -42,7 +42,7 @@ _END = hash_of("\0end")  # no word: the end of a text, counted as a token
 
 
 class Pieces:
-    """A byte-level vocabulary of ranks: ids of texts, and the bytes of ids."""
+    """A byte-level vocabulary of ranks: ids of texts, which ids open a word, and numbers for hashing them."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -55,18 +55,12 @@ class Pieces:
         words = [b""] * (self.end_id + 1)
         for word, i in ranks.items():
             words[i] = word
-        self.length = np.array([len(w) for w in words], np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(words), np.uint8)
+        self.opens = np.array([w[:1] == b" " for w in words])
+        self.values = np.random.default_rng(17).integers(1, 1 << 63, len(words), dtype=np.uint64)
 
     def encode(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text).astype(np.uint16) if text else np.zeros(0, np.uint16)
 
-    def text_bytes(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, offsets) of texts from their ids."""
-        sums = np.concatenate([[0], np.cumsum(self.length[ids])])
-        return gather(self.bytes, self.start[ids], self.length[ids]), sums[offsets]
-
 
 _pieces: dict[str, Pieces] = {}
 
@@ -79,7 +73,12 @@ def pieces(path: str) -> Pieces:
 
 def normalised(texts: pa.Array) -> pa.Array:
     """" " before each word, words in ASCII lower case, nothing else."""
-    words = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), f"[{SPACE}]+", " ")
+    words = pc.ascii_lower(pc.fill_null(texts, ""))
+    for blank in "\t\n\x0b\x0c\r":
+        words = pc.replace_substring(words, blank, " ")
+    double = pc.match_substring(words, "  ")
+    if pc.any(double).as_py():
+        words = pc.if_else(double, pc.replace_substring_regex(pc.if_else(double, words, ""), " +", " "), words)
     words = pc.ascii_trim(words, " ")
     return pc.if_else(pc.equal(words, ""), "", pc.binary_join_element_wise(pa.scalar(""), words, pa.scalar(" ")))
 
@@ -104,7 +103,7 @@ def _encode(path: str):
             return pa.RecordBatch.from_arrays([pa.array([k, k], pa.int64()), pa.array([None, None], pa.int64()), pa.array([None, None], pa.bool_()), pa.array(rows, pa.binary())], ["slice", "doc_id", "held_out", "ids"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 ids = [model.encode(t) for t in normalised(part.column("text")).to_pylist()]
                 train = [i for i, h in zip(ids, part.column("held_out").to_pylist()) if not h]
                 if train:
@@ -131,15 +130,33 @@ def _id_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(code), pa.array(n)], ["kind", "code", "n"])
 
 
+def _parts(blobs: list[bytes], limit: int = 2 << 20):
+    """(start, stop) of runs of texts with about ``limit`` bytes of ids, so that arrays over their bytes stay small."""
+    at = 0
+    while at < len(blobs):
+        to, size = at, 0
+        while to < len(blobs) and (to == at or size + len(blobs[to]) <= limit):
+            size += len(blobs[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blobs])])
     return np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64), offsets
 
 
 def _hashed(model: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data, ends = model.text_bytes(ids, offsets)
-    starts, stops, of = word_bounds(data, ends)
-    return span_hashes(prefix_sums(data), starts, stops), of
+    """(hashes, of): the words' hashes, over their ids, and the first word of each text.
+
+    A word's ids follow from the word alone, as the pre-tokenizer parts at
+    every space, and its first id is the one whose bytes begin with a space.
+    """
+    starts = np.flatnonzero(model.opens[ids])
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(model.values[ids] * powers(P, len(ids)), out=sums[1:])
+    return span_hashes(sums, starts, np.r_[starts[1:], len(ids)]), np.searchsorted(starts, offsets)
 
 
 def _words(path: str):
@@ -156,17 +173,18 @@ def _words(path: str):
             part.clear()
 
         for batch in batches:
-            slice_of = batch.column("slice").to_numpy()
+            slice_of, blobs = batch.column("slice").to_numpy(), batch.column("ids").to_pylist()
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             cuts = np.flatnonzero(np.r_[True, slice_of[1:] != slice_of[:-1], True])
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                ids, offsets = _unpack(batch.column("ids").slice(a, b - a).to_pylist())
-                hashes, of = _hashed(model, ids, offsets)
-                train = ~batch.column("held_out").slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
-                own = part.setdefault(int(slice_of[a]), ([], []))
-                own[0].extend([hashes, np.full(len(train), _END, np.uint64)])
-                own[1].extend([np.repeat(train, np.diff(of)), train])
-                size += len(ids)
-                if len(part) > 1 or size > SLICE:
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                own = part.setdefault(int(slice_of[first]), ([], []))
+                for a, b in _parts(blobs[first:last]):
+                    hashes, of = _hashed(model, *_unpack(blobs[first + a : first + b]))
+                    mine = train[first + a : first + b]
+                    own[0].extend([hashes, np.full(b - a, _END, np.uint64)])
+                    own[1].extend([np.repeat(mine, np.diff(of)), mine])
+                    size += len(hashes)
+                if len(part) > 1 or size > SLICE // 4:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -193,12 +211,7 @@ def _score(path: str, model: AttentionModel, total: int, distinct: int):
         end = counts(np.array([_END], np.uint64))[0]
         base, known, n_words, score = np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs, np.int64), np.zeros(docs)
         blobs = left["ids"].to_pylist()
-        at = 0
-        while at < docs:
-            to, size = at, 0
-            while to < docs and (to == at or size < 4 << 20):
-                size += len(blobs[to])
-                to += 1
+        for at, to in _parts(blobs):
             ids, offsets = _unpack(blobs[at:to])
             hashes, of = _hashed(own, ids, offsets)
             code, words = pd.factorize(hashes)
@@ -209,7 +222,7 @@ def _score(path: str, model: AttentionModel, total: int, distinct: int):
             base[at:to] = sums + np.log10(end + 1.0) + (np.diff(of) + 1) * floor
             known[at:to] = np.diff(seen[of]) + (end > 0)
             score[at:to] = model.score(ids, offsets)
-            at = to
+        release_memory()
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": n_words + 1, "n_known": known, "base_score": base, "score": score})
 
     return run
@@ -218,7 +231,7 @@ def _score(path: str, model: AttentionModel, total: int, distinct: int):
 def score_texts(docs: DataFrame, held_out, path: str, fit_docs: int = FIT_DOCS, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from rows that are not held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    coded = materialize(rows.mapInArrow(_encode(path), "slice long, doc_id long, held_out boolean, ids binary"), "ids")
+    coded = materialize(rows.mapInArrow(tidy(_encode(path)), "slice long, doc_id long, held_out boolean, ids binary"), "ids")
     texts = coded.where("held_out is not null")
     counts = coded.where("held_out is null").select("ids").mapInArrow(_id_counts, "kind long, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
     # Bounded by the vocabulary: its ids, and pairs of ids that follow each other.
@@ -232,7 +245,7 @@ def score_texts(docs: DataFrame, held_out, path: str, fit_docs: int = FIT_DOCS,
 
     by_hash = Window.partitionBy("h").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = F.row_number().over(Window.partitionBy("h").orderBy("slice"))
-    counted = texts.mapInArrow(_words(path), "slice long, h long, n long").select("slice", "h", "n", F.sum("n").over(by_hash).alias("c"), (place == 1).alias("first"))
+    counted = texts.mapInArrow(tidy(_words(path)), "slice long, h long, n long").select("slice", "h", "n", F.sum("n").over(by_hash).alias("c"), (place == 1).alias("first"))
     counted = materialize(counted.where("c > 0"), "counted")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
 
