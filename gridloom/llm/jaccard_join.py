@@ -158,6 +158,23 @@ def cover_edges(group: np.ndarray, docs: np.ndarray, signatures: np.ndarray, thr
     return np.concatenate(us or empty), np.concatenate(vs or empty), np.concatenate(covers or empty), np.concatenate(limits or empty)
 
 
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node): for every node but the smallest of its component, an edge to that one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    far = label != np.arange(len(nodes))
+    return nodes[label[far]], nodes[far]
+
+
 def verify_cell(side: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(links, root) of each text of a cell: all pairs of side 0 with each other, or those between sides 0 and 1.
 
@@ -239,14 +256,14 @@ def _edge_batch(key, u, v, near=None) -> pa.RecordBatch:
 
 
 def _covers(threshold: float):
-    """Edges (0, u, v); in buckets of several chunks also (key, cover, cover, its limit)."""
+    """Edges (0, u, v) that hang together what is near, no more than there are texts; in buckets of several chunks also (key, cover, cover, its limit)."""
 
     def run(batches):
         for batch in _whole_groups(batches, ["key", "chunk"]):
             key, chunk, chunks, docs = (batch.column(c).to_numpy() for c in ("key", "chunk", "chunks", "doc"))
             u, v, covers, limits = cover_edges(key.view(np.uint64) + chunk.astype(np.uint64), docs, _matrix(batch.column("signature"), np.uint16), threshold)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-            yield _edge_batch(np.zeros(len(pairs)), pairs[:, 0], pairs[:, 1])
+            u, v = spanning(u, v)
+            yield _edge_batch(np.zeros(len(u)), u, v)
             many = chunks[covers] > 1
             yield _edge_batch(key[covers[many]], docs[covers[many]], docs[covers[many]], limits[many])
 
@@ -261,9 +278,13 @@ def _across(batches):
         new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1])])
         for a, b in zip(new, np.r_[new[1:], len(docs)]):
             rows = np.arange(a, b)[lead[a:b] == 0]
+            found = []
             for k in np.arange(a, b)[lead[a:b] == 1]:
                 near = rows[((signatures[rows] == signatures[k]).mean(1) >= limit[k]) & (docs[rows] != docs[k])]
-                yield _edge_batch(np.zeros(len(near)), np.full(len(near), docs[k]), docs[near])
+                found.append((np.full(len(near), docs[k]), docs[near]))
+            if found:
+                u, v = spanning(*(np.concatenate(c) for c in zip(*found)))
+                yield _edge_batch(np.zeros(len(u)), u, v)
 
 
 def _sets(width: int):
