@@ -125,14 +125,19 @@ OTHERS = [
     "<form>", '<div class="form">', '<div class="newsletter">', '<div class="subscribe">', '<div class="signup">', '<div class="login">', '<div class="search">', '<form class="contact">', "<button>", "<select>", "<label>", "<textarea>", "<fieldset>", "<dialog>", "<menu>",
     '<div class="comments">', '<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="commentlist">', '<div class="reply">', '<section id="responses">', '<div class="discussion">', '<div id="disqus_thread">', '<article class="comment">', '<li class="comment">',
     '<div class="share">', '<div class="social">', '<div class="toolbar">', '<div class="meta">', '<div class="byline">', '<div hidden>', '<div style="display:none">', '<div class="skip-link">', '<div class="outbrain">', '<div class="feedback">', '<div class="survey">', '<div class="paywall">', '<div class="author bio">', '<div class="rating">', '<div class="print">',
+    '<div class="cookie">', '<div id="cookies">', '<div class="cookie-bar">', '<div class="col-md-4 sidebar">', '<aside class="col">', '<div class="widget-text">', '<div class="widget-area">', '<div class="promo-box">', '<div class="ad-slot">', '<div class="ad-container">', '<div class="newsletter-box">', '<div class="signup-form">',
+    '<div class="reader-comments">', '<div id="comment-list">', '<div class="comments-area">', '<section class="reader-responses">', '<ul class="menu-main">', '<nav class="main-nav">', '<div class="main-menu">', '<div class="page-header">', '<header class="main-header">', '<div class="page-footer">', '<footer class="main-footer">', '<div class="nav-links">', '<nav class="post-navigation">',
+    '<div class="related-posts">', '<div class="related-articles">', '<div class="more-stories">', '<div class="author-box">', '<div class="tag-cloud">', '<form class="search-form">', '<div class="login-form">', '<div class="top-bar">', '<div class="entry-meta">', '<div class="post-meta">', '<div class="share-buttons">', '<div class="content-sidebar">', '<div class="article-ad">', '<div class="notice-info notice">', '<div class="alert-box">', '<div class="page-notice">', '<div class="info-bar">',
 ]
+#: What may stand around everything.
+WRAPPERS = ["", "", "", '<div class="wrapper">', '<div class="container">', '<div id="page">', '<div class="page">', '<div class="row"><div class="col">', '<div class="site">', '<div class="layout column">', '<div class="main">', '<section class="section">', '<div id="content">', "<div>", "<table><tr><td>"]
 
 
 def _close(opening: str) -> str:
     return "".join(f"</{n}>" for n in reversed(re.findall(r"<(\w+)", opening)))
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[str, bool]]]:
+def labelled_pages(n: int = 800, seed: int = 11) -> list[list[tuple[str, bool]]]:
     """Pages as lists of (markup, is content), put together by a rule; every other element comes in some of them."""
     rng, out = random.Random(seed), []
     words = lambda lo, hi: " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(lo, hi)))
@@ -140,8 +145,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[str, bool]]]
 
     def other():
         opening = next(others)
-        style = rng.randrange(4)
-        body = ["".join(f'<li><a href="/">{words(1, 3)}</a></li>' for _ in range(rng.randint(2, 8))), words(2, 30), "".join(f"<p>{words(3, 25)}</p>" for _ in range(rng.randint(1, 3))), f"<span>{words(1, 6)}</span> <a>{words(1, 4)}</a>"][style]
+        style = rng.randrange(6)
+        body = ["".join(f'<li><a href="/">{words(1, 3)}</a></li>' for _ in range(rng.randint(2, 8))), words(2, 30), "".join(f"<p>{words(3, 25)}</p>" for _ in range(rng.randint(1, 3))), f"<span>{words(1, 6)}</span> <a>{words(1, 4)}</a>", f"<h{k % 3 + 2}>{words(1, 6)}</h{k % 3 + 2}><p>{words(3, 25)}</p>", f"<h2>{words(1, 4)}</h2><p><b>{words(1, 9)}</b> {words(1, 9)}</p><ul><li>{words(1, 9)}</li></ul>"][style]
         if style == 0 and "<ul" not in opening and "<ol" not in opening:
             body = f"<ul>{body}</ul>"
         return (opening + body + _close(opening), False)
@@ -149,6 +154,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[str, bool]]]
     for k in range(n):
         opening = ARTICLES[k % len(ARTICLES)]
         page = [("<html><body>", False)]
+        around = rng.choice(WRAPPERS)  # holds all of the page, and so says nothing
+        page.append((around, False))
         page += [other() for _ in range(rng.randint(1, 4))]
         if rng.random() < 0.3:
             page.append(('<div class="wrapper">', False))
@@ -174,7 +181,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[list[tuple[str, bool]]]
                 page.append(other())
         page.append((_close(opening), True))
         page += [other() for _ in range(rng.randint(1, 4))]
-        page.append(("</body></html>", False))
+        page.append((_close(around) + "</body></html>", False))
         out.append(page)
     return out
 
@@ -183,6 +190,10 @@ def _path_keys(stack) -> tuple[str, ...]:
     return tuple(dict.fromkeys(itertools.chain.from_iterable(k for _, k in stack)))
 
 
+#: Blocks in a row that stand against the article count no less than this, so that an advert in it does not cut off what stands before.
+AGAINST = -6.0
+
+
 class Weights:
     """Log odds of keys, and scores of tags."""
 
@@ -236,8 +247,8 @@ def weights() -> Weights:
     return _fitted[0]
 
 
-def blocks(page: str, fitted: Weights) -> list[tuple[str, float, float]]:
-    """(text, score, standing) of each block: score sums its words' and the tags' before it, standing is that of its block elements."""
+def blocks(page: str, fitted: Weights) -> list[tuple[str, float, float, float]]:
+    """(text, tags, score, standing) of each block: scores of the tags before it and of its words, and that of its block elements."""
     out, text, score, pending, standing = [], [], 0.0, 0.0, 0.0
     known: dict[tuple, tuple[float, float]] = {}
 
@@ -283,15 +294,17 @@ def main_text(page: str | None, fitted: Weights | None = None) -> str:
         return ""
     fitted = fitted or weights()
     found = blocks(page, fitted)
-    best, best_span, run, first = 0.0, (0, 0), 0.0, 0
-    for k, (_, before, score, _) in enumerate(found):
-        if run <= 0:
-            run, first = 0.0, k
+    best, best_span, run, first, against = 0.0, (0, 0), 0.0, 0, 0.0
+    for k, (_, before, score, standing) in enumerate(found):
+        gain = before + score
+        if standing <= 0 or score <= 0:
+            gain = max(gain, AGAINST - against)
+            against += gain
         else:
-            run += before
-            if run <= 0:
-                run, first = 0.0, k
-        run += score
+            against = 0.0
+        if run <= 0:
+            run, first, gain = 0.0, k, max(gain, score) if score > 0 else gain
+        run += gain
         if run > best:
             best, best_span = run, (first, k + 1)
     return " ".join(t for t, _, _, standing in found[slice(*best_span)] if standing > 0)

@@ -52,3 +52,19 @@ def test_table(spark):
     out = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.n_chars for r in out)) == [0, 0, len(TEXT), len(TEXT)] and {r.text for r in out} == {"", TEXT}
     assert h.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+NOISE = [
+    "<div class='menu-main'><ul><li><a href=/a>Home page</a></li><li><a href=/b>Other page here</a></li></ul></div>", "<div class='col-md-4 sidebar'><h3>Popular</h3><p>Lots of side words that are not article at all, really many words</p></div>",
+    "<div class='notice notice-info'><p>Please note that our site will be down on Monday for some maintenance work</p></div>", "<section id=comments><h2>3 comments</h2><div class=comment><p>I liked this article so much that I read it twice</p></div></section>",
+    "<form action=/s><input name=q><label>Search the site</label><select><option>All things</option></select></form>", "<aside class=related><h3>Related</h3><ul><li>Other story one</li></ul></aside>", "<div class='ad-slot'><span>Sponsored message for you</span></div>",
+    "<header><h2>The Daily</h2><p>news of the world every day</p></header>", "<footer class='site-footer'><p>Copyright 2024 by the company of many words all rights</p></footer>",
+]
+
+
+@pytest.mark.parametrize("noise", NOISE)
+@pytest.mark.parametrize("around", ["{n}<article>{a}</article>{n}", "{n}<main>{a}</main>", "<div class=container>{n}<div class=content>{a}</div>{n}</div>", "{n}<div class='post-content'>{a}</div>{n}", "{n}<div>{a}</div>{n}", "<article>{a0}{n}{a1}</article>"])
+def test_noise_before_after_and_inside(noise, around):
+    head, rest = ARTICLE.split("</h1>")
+    page = around.format(n=noise, a=ARTICLE, a0=head + "</h1>", a1=rest)
+    assert h.main_text(f"<html><body>{page}</body></html>") == TEXT
