@@ -90,6 +90,14 @@ class Affine(NamedTuple):
 IDENTITY = Affine()
 
 
+def affine_to_coords(transform: Affine, width: int, height: int, x_dim: str = "x", y_dim: str = "y") -> dict[str, list]:
+    """Coordinates of pixel centres: lists by dimension, or rows of xc and yc where the grid is not rectilinear."""
+    if transform.rectilinear:
+        return {x_dim: [transform.center(k, 0)[0] for k in range(width)], y_dim: [transform.center(0, k)[1] for k in range(height)]}
+    both = [[transform.center(c, r) for c in range(width)] for r in range(height)]
+    return {"xc": [[p[0] for p in row] for row in both], "yc": [[p[1] for p in row] for row in both]}
+
+
 def snap(window: Window, width: int, height: int) -> Window:
     """Whole rows and columns inside the grid: starts round down, stops up."""
     low = lambda v: 0 if v < 0 else math.floor(v)

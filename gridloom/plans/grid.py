@@ -69,6 +69,25 @@ class Grid:
 
         return Grid(self.df.withColumn(self.value, F.col(self.value).cast(SPARK_TYPE[dtype])), self.meta.with_(dtype=dtype))
 
+    def squeeze(self) -> "Grid":
+        """Without the extra dimension, if it has a single place."""
+        return self.with_(extra_dim=None) if self.meta.count == 1 else self
+
+    def assign_transform(self, transform: Affine) -> "Grid":
+        """The same cells at other coordinates."""
+        return self.with_(transform=transform, has_coords=True)
+
+    def rename(self, name: str) -> "Grid":
+        return Grid(self.df.withColumnRenamed(self.value, name), self.meta.with_(name=name))
+
+    def where(self, condition, other=None) -> "Grid":
+        """Values where a condition on the value's Column holds; elsewhere missing, or ``other``."""
+        return self.map(lambda v: F.when(condition(v), v).otherwise(F.lit(other)))
+
+    def fillna(self, value) -> "Grid":
+        """Null values replaced (absent cells stay absent; see ``operators.warp.densify``)."""
+        return self.map(lambda v: F.coalesce(v, F.lit(value)))
+
     def persist(self) -> "Grid":
         return self.with_(self.df.persist())
 
@@ -113,6 +132,9 @@ class GridSet:
             raise RasterError(f"variables have different grid mappings: {sorted(found)}")
         return next(iter(found), "spatial_ref")
 
+    def drop_vars(self, *names: str) -> "GridSet":
+        return GridSet({k: g for k, g in self.grids.items() if k not in names}, {k: v for k, v in (self.others or {}).items() if k not in names})
+
     def each(self, operation) -> "GridSet":
         """Apply an operation to every raster; variables without spatial dimensions pass, unless they have two or more
         and the option does not let them."""

@@ -177,6 +177,19 @@ class GridMeta:
         attrs = {k: v for k, v in self.attrs.items() if k != "crs"}
         return self.with_(crs=crs_lib.parse_crs(value) if value is not None else self.need_crs(), attrs=attrs)
 
+    def set_crs(self, value) -> "GridMeta":
+        """The old name of write_crs."""
+        import warnings
+
+        warnings.warn("set_crs is deprecated; use write_crs", DeprecationWarning, stacklevel=2)
+        return self.write_crs(value)
+
+    def coordinate_system(self, unit_factor: float = 1.0) -> dict[str, dict]:
+        """Attributes of the x and y coordinates by the system's kind."""
+        from gridloom.plans.conventions import coordinate_attrs
+
+        return {self.x_dim: coordinate_attrs(self.crs, "x", unit_factor), self.y_dim: coordinate_attrs(self.crs, "y", unit_factor)}
+
     def write_transform(self, transform: Affine | None = None, grid_mapping: str | None = None) -> "GridMeta":
         return self.with_(transform=transform or self.recalculated_transform(), grid_mapping=grid_mapping or self.grid_mapping)
 

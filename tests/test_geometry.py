@@ -228,3 +228,16 @@ def test_variable_pattern(uri, groups, variables, found):
 
 def test_raster_endings():
     assert tags.looks_like_raster("a/B.TIF") and tags.looks_like_raster("x.asc") and not tags.looks_like_raster("x.nc")
+
+
+def test_metadata_helpers():
+    from gridloom.functions.affine import affine_to_coords
+
+    m = GridMeta(2, 2, Affine(2, 0, 0, 0, -2, 4), crs.parse_crs(4326))
+    assert affine_to_coords(m.transform, 2, 2) == {"x": [1, 3], "y": [3, 1]}
+    assert set(affine_to_coords(Affine(1, 1, 0, 1, -1, 0), 2, 2)) == {"xc", "yc"}
+    assert m.coordinate_system()["y"]["units"] == "degrees_north"
+    with pytest.warns(DeprecationWarning):
+        assert m.set_crs(3857).crs.code == "EPSG:3857"
+    assert m.update_attrs({"a": 1}).set_attrs({"b": 2}).attrs == {"b": 2}
+    assert m.update_encoding({"_FillValue": 3}).encoded_nodata == 3 and m.write_transform(Affine(1, 0, 0, 0, -1, 2), "crs").grid_mapping == "crs"

@@ -315,3 +315,11 @@ def test_filters_reach_the_scan(spark, tmp_path, six):
     plan = op.clip_box(g, 425493, 4615300, 425532, 4615500).df._jdf.queryExecution().toString()
     pushed = plan[plan.index("PushedFilters") :]
     assert "GreaterThanOrEqual(row" in pushed and "LessThan(col" in pushed
+
+
+def test_small_changes(spark, six):
+    one = op.isel(six, band=0)
+    assert one.squeeze().meta.extra_dim is None and six.squeeze() is six
+    assert one.rename("t").value == "t" and one.assign_transform(Affine(1, 0, 0, 0, -1, 6)).meta.bounds() == (0, 0, 6, 6)
+    assert one.where(lambda v: v > 30).valid().count() == 5 and one.where(lambda v: v > 30).fillna(0.0).df.where("value = 0").count() == 31
+    assert GridSet({"a": one, "b": one}, {"c": (1, None)}).drop_vars("a", "c").vars == ["b"]
