@@ -12,8 +12,10 @@ that of its highest window, put on the scale of documents by two fitted
 numbers.  In training a toxic document is represented by its highest window,
 a clean one by its highest and some others, chosen anew each round.
 
-At most ``max_train`` labelled documents (those with the smallest hash of
-their id) are used to fit the model; everything else covers all rows.
+At most ``max_train`` labelled documents are used to fit the model: of the
+toxic ones up to a third of that, of the others the rest, each those with the
+smallest hash of their id.  The shares of all training labels put the scores
+back to scale.  Everything else covers all rows.
 
 Defined cases: a null or wordless text gets the training share of toxic
 documents; without labelled training rows of both kinds every score is that
@@ -37,7 +39,7 @@ WINDOW, OVERLAP = 32, 8
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
 GRAMS, BUCKETS, SLOTS = (3, 4, 5, 6), 1 << 16, 1 << 17
 FOLDS, MIN_DOCS = 4, 3
-MAX_TRAIN = 4000
+MAX_TRAIN = 3000
 INPUTS = 3 + WORD_DIM + CHAR_DIM
 
 
@@ -274,10 +276,11 @@ class Model:
         return out
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 6, rate: float = 0.02, seed: int = 5) -> Model:
-    """Fit a model to labelled texts."""
+def train(texts: list[str], labels: np.ndarray, totals: tuple[int, int] | None = None, rounds: int = 6, rate: float = 0.02, seed: int = 5) -> Model:
+    """Fit a model to labelled texts; totals: how many clean and toxic ones the texts stand for."""
     labels = np.asarray(labels, np.float32)
-    model = Model(float(labels.mean()) if len(labels) else 0.0)
+    totals = totals or (int((labels == 0).sum()), int((labels == 1).sum()))
+    model = Model(totals[1] / sum(totals) if sum(totals) else 0.0)
     if not len(labels) or labels.min() == labels.max():
         return model
     rng = np.random.default_rng(seed)
@@ -315,7 +318,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, rate: float = 0
     model.char_vectors = rng.normal(0, 0.05, (BUCKETS, CHAR_DIM)).astype(np.float32)
     model.network = network = Network(seed)
     vectors = {"word_vectors": model.word_vectors, "char_vectors": model.char_vectors}
-    adam, slow = Adam(rate), 0.5
+    adam, slow = Adam(rate), 0.1
     first, length, text = windows_of(words.of)
     x_by_fold = [None] * FOLDS
 
@@ -383,11 +386,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 6, rate: float = 0
     best = np.full(n, -np.inf)
     np.maximum.at(best, text, score)
     z, y = best[has], labels[has]
+    stands = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
+    stands /= stands.mean()
     a, b = 1.0, 0.0
     for _ in range(300):  # two numbers by Newton's method, lightly held
         p = sigmoid(a * z + b)
-        h = p * (1 - p) + 1e-6
-        grad = np.array([((p - y) * z).sum() + 0.1 * (a - 1), (p - y).sum()])
+        h = (p * (1 - p) + 1e-6) * stands
+        grad = np.array([((p - y) * z * stands).sum() + 0.1 * (a - 1), ((p - y) * stands).sum()])
         hess = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum()]])
         step = np.linalg.solve(hess, grad)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
@@ -404,10 +409,14 @@ def remainder(doc_id: Column, mod: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """A model from the labelled rows of the training folds; at most ``max_train`` of them, by the hash of their id."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(remainder(F.col("doc_id"), 5) != 0)
+    found = {r.toxic: r.n for r in marked.where("toxic in (0, 1)").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    totals = found.get(0, 0), found.get(1, 0)
+    first = lambda label, n: marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    toxic = min(totals[1], max_train // 3)
     # Bounded by max_train rows of two numbers.
-    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train))
+    chosen = F.broadcast(first(1, toxic).unionByName(first(0, max_train - toxic)))
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by("doc_id")
-    model = train(rows["text"].fill_null("").to_pylist() if rows.num_rows else [], rows["toxic"].to_numpy())
+    model = train(rows["text"].fill_null("").to_pylist() if rows.num_rows else [], rows["toxic"].to_numpy(), totals)
     del rows
     release_memory()
     return model
