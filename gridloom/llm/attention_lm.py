@@ -142,10 +142,11 @@ class AttentionModel:
         self.bias = np.where(gap >= 0, w["r"][np.abs(gap)], -np.inf).astype(np.float32)
         ones = np.ones((KNOWN, 1))  # beside the values, so that a product also gives the sum of the weights
         self.keyed = np.concatenate([w["e"] @ w["wq"] / np.sqrt(KEY), w["e"] @ w["wk"], w["e"] @ w["wv"], ones, w["e"]], 1).astype(np.float32)
-        # Exponentials are taken as they are unless some context could make them overflow.
-        long = lambda m: float(np.linalg.norm(m, axis=1).max())
-        most = max(long(self.keyed[:, :KEY]) * long(self.keyed[:, KEY : 2 * KEY]) + np.abs(w["r"]).max(), np.abs(w["e"] @ w["wx"]).max() + long(w["e"] @ w["wv"]) * long(w["wo"].T) + np.abs(w["b"]).max())
-        self.steep = not most < 80
+        # Exponentials are taken as they are unless some context could make one overflow, or all of a sum vanish.
+        pairs = (w["e"] @ w["wq"] / np.sqrt(KEY)) @ (w["e"] @ w["wk"]).T
+        here, there = w["e"] @ w["wx"] + w["b"], w["e"] @ w["wv"] @ w["wo"]  # the second is averaged over a context
+        self.range = (float(pairs.max() + w["r"].max()), float(pairs.diagonal().min() + w["r"][0]), float((here.max(0) + there.max(0)).max()), float((here.min(0) + there.min(0)).max()))
+        self.steep = not (max(self.range[0], self.range[2]) < 80 and min(self.range[1], self.range[3]) > -80)
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict:
         w = self.w

@@ -130,23 +130,24 @@ def _id_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(code), pa.array(n)], ["kind", "code", "n"])
 
 
-def _parts(blobs: list[bytes], limit: int = 2 << 20):
-    """(start, stop) of runs of texts with about ``limit`` bytes of ids, so that arrays over their bytes stay small."""
-    at = 0
-    while at < len(blobs):
-        to, size = at, 0
-        while to < len(blobs) and (to == at or size + len(blobs[to]) <= limit):
-            size += len(blobs[to])
-            to += 1
-        yield at, to
+def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a column of packed ids, in place."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data.view(np.uint16), (offsets - offsets[0]) // 2
+
+
+def _parts(offsets: np.ndarray, limit: int = 1 << 20):
+    """(start, stop) of runs of texts with about ``limit`` ids, so that arrays over them stay small."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield at, min(to, n)
         at = to
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    offsets = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blobs])])
-    return np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64), offsets
-
-
 def _hashed(model: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, of): the words' hashes, over their ids, and the first word of each text.
 
@@ -165,26 +166,29 @@ def _words(path: str):
     def run(batches):
         model, part, size = pieces(path), {}, 0
 
+        def count(hashes, n):
+            code, words = pd.factorize(hashes)
+            return words, np.bincount(code, n, len(words))
+
         def flush():
-            for k, (hashes, train) in part.items():
-                code, words = pd.factorize(np.concatenate(hashes))
-                n = np.bincount(code, np.concatenate(train), len(words)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), k)), pa.array(words.view(np.int64)), pa.array(n)], ["slice", "h", "n"])
+            for k, counted in part.items():
+                words, n = count(*(np.concatenate(c) for c in zip(*counted)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), k)), pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["slice", "h", "n"])
             part.clear()
 
         for batch in batches:
-            slice_of, blobs = batch.column("slice").to_numpy(), batch.column("ids").to_pylist()
+            slice_of, (ids, offsets) = batch.column("slice").to_numpy(), _ids_of(batch.column("ids"))
             train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             cuts = np.flatnonzero(np.r_[True, slice_of[1:] != slice_of[:-1], True])
             for first, last in zip(cuts[:-1], cuts[1:]):
-                own = part.setdefault(int(slice_of[first]), ([], []))
-                for a, b in _parts(blobs[first:last]):
-                    hashes, of = _hashed(model, *_unpack(blobs[first + a : first + b]))
+                own = part.setdefault(int(slice_of[first]), [])
+                for a, b in _parts(offsets[first : last + 1]):
+                    cut = offsets[first + a : first + b + 1]
+                    hashes, of = _hashed(model, ids[cut[0] : cut[-1]], cut - cut[0])
                     mine = train[first + a : first + b]
-                    own[0].extend([hashes, np.full(b - a, _END, np.uint64)])
-                    own[1].extend([np.repeat(mine, np.diff(of)), mine])
-                    size += len(hashes)
-                if len(part) > 1 or size > SLICE // 4:
+                    own.append(count(np.r_[hashes, np.full(b - a, _END, np.uint64)], np.r_[np.repeat(mine, np.diff(of)), mine]))
+                    size += len(own[-1][0])
+                if len(part) > 1 or size > SLICE // 8:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -210,9 +214,10 @@ def _score(path: str, model: AttentionModel, total: int, distinct: int):
 
         end = counts(np.array([_END], np.uint64))[0]
         base, known, n_words, score = np.zeros(docs), np.zeros(docs, np.int64), np.zeros(docs, np.int64), np.zeros(docs)
-        blobs = left["ids"].to_pylist()
-        for at, to in _parts(blobs):
-            ids, offsets = _unpack(blobs[at:to])
+        every, places = _ids_of(left["ids"].combine_chunks()) if docs else (np.zeros(0, np.uint16), np.zeros(1, np.int64))
+        for at, to in _parts(places):
+            cut = places[at : to + 1]
+            ids, offsets = every[cut[0] : cut[-1]].astype(np.int64), cut - cut[0]
             hashes, of = _hashed(own, ids, offsets)
             code, words = pd.factorize(hashes)
             count = counts(words)
