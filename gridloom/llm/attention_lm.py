@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW, OVERLAP = 48, 8
-KNOWN, OWN, CLUSTERS, DIM, KEY = 2048, 40, 24, 24, 16
+KNOWN, OWN, CLUSTERS, DIM, KEY = 2048, 84, 28, 24, 16
 CLASSES = OWN + CLUSTERS
 
 
