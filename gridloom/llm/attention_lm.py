@@ -4,7 +4,7 @@ The next id is predicted through classes:
 p(id) = p(class | context) * p(id | class, previous id).  The network gives
 the first factor; the second comes from counts of ids and of pairs of ids over
 all training text, smoothed towards p(id | class) by as much as a previous id
-has different successors in the class.  Frequent ids are classes of their own,
+has different successors in the class; every pair counts, of rare ids as well.  Frequent ids are classes of their own,
 the others are clustered by what precedes them.  One attention layer with
 relative places sees up to WINDOW ids; a text is scored in windows that
 overlap by OVERLAP ids of context, and each id is scored once.
@@ -59,23 +59,68 @@ class AttentionModel:
         self.counts, self.pairs = counts, pairs
 
     def _tables_of_pairs(self) -> None:
+        """log10 p(id | class, previous id) from all pairs.
+
+        Dense (``given``) where both ids are known, sorted by pair (``far``) for every other pair that comes.  A rarer
+        previous id is smoothed towards all rarer ones together (``pool``), by a factor for each class (``back``).
+        """
         code, n = self.pairs
-        before, after = self.known[code >> 32], self.known[code & 0xFFFFFFFF]
-        seen = np.zeros((KNOWN, KNOWN), np.float32)
-        use = after < KNOWN - 1
-        np.add.at(seen, (before[use], after[use]), n[use])
+        before, after = code >> 32, code & 0xFFFFFFFF
+        row, label_of = self.known[before], self.label.astype(np.int64)
+        pooled, at = np.unique((row.astype(np.int64) << 32) | after, return_inverse=True)
+        seen = np.bincount(at, n, len(pooled))
+        rows, ids = pooled >> 32, pooled & 0xFFFFFFFF
+        in_class = np.bincount(rows * CLASSES + label_of[ids], seen, KNOWN * CLASSES).reshape(KNOWN, CLASSES)
+        variety = 0.5 + np.bincount(rows * CLASSES + label_of[ids], minlength=KNOWN * CLASSES).reshape(KNOWN, CLASSES)
+        own = 10.0 ** self.within.astype(np.float64)  # p(id | class)
         label = np.full(KNOWN, CLASSES - 1)
         label[: min(KNOWN - 1, len(self.order))] = self.label[self.order[: KNOWN - 1]]
-        in_class = np.zeros((KNOWN, CLASSES), np.float32)
-        variety = np.full((KNOWN, CLASSES), 0.5, np.float32)
-        np.add.at(in_class.T, label, seen.T)
-        np.add.at(variety.T, label, (seen > 0).T)
-        share = np.ones(KNOWN)  # p(id | class); the last stands for every rarer id, whose own share comes on top
-        share[: min(KNOWN - 1, len(self.order))] = 10.0 ** self.within[self.order[: KNOWN - 1]]
-        self.given = np.log10((seen + variety[:, label] * share) / (in_class + variety)[:, label]).astype(np.float32)
+        share = np.ones(KNOWN)  # the last stands for every rarer id without a pair, whose own share comes on top
+        share[: min(KNOWN - 1, len(self.order))] = own[self.order[: KNOWN - 1]]
+        table = np.zeros((KNOWN, KNOWN), np.float32)
+        near = self.known[ids] < KNOWN - 1
+        table[rows[near], self.known[ids[near]]] = seen[near]
+        for r in range(KNOWN):
+            table[r] = np.log10((table[r] + variety[r, label] * share) / (in_class[r] + variety[r])[label])
+        self.given = table
         self.rare = np.where(self.known == KNOWN - 1, self.within, 0).astype(np.float32)
+        last = rows == KNOWN - 1
+        pool = variety[-1, label_of] * own
+        pool[ids[last]] += seen[last]
+        pool /= (in_class[-1] + variety[-1])[label_of]
+        self.pool = np.log10(pool).astype(np.float32)
+        far = (row == KNOWN - 1) | (self.known[after] == KNOWN - 1)
+        before, after, row, n = before[far], after[far], row[far], n[far]
+        cell = before * CLASSES + label_of[after]
+        rarer = row == KNOWN - 1
+        self.back, at = np.unique(cell[rarer], return_inverse=True)
+        total, kinds = np.bincount(at, n[rarer], len(self.back)), 0.5 + np.bincount(at, minlength=len(self.back))
+        self.back_log = np.log10(kinds / (total + kinds)).astype(np.float32)
+        value = np.zeros(len(n))
+        value[rarer] = (n[rarer] + kinds[at] * pool[after[rarer]]) / (total + kinds)[at]
+        r, c = row[~rarer], label_of[after[~rarer]]
+        value[~rarer] = (n[~rarer] + variety[r, c] * own[after[~rarer]]) / (in_class[r, c] + variety[r, c])
+        self.far, self.far_log = (before << 16 | after).astype(np.uint32), np.log10(value).astype(np.float32)  # ids are below 2**16
+        order = np.argsort(self.far)
+        self.far, self.far_log = self.far[order], self.far_log[order]
         self.pairs = None
 
+    def given_previous(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """log10 p(after | its class, before), id by id."""
+        row, column = self.known[before], self.known[after]
+        out = self.given[row, column] + self.rare[after]
+        odd = np.flatnonzero((row == KNOWN - 1) | (column == KNOWN - 1))
+        if len(odd) and len(self.far):
+            b, a, rarer = before[odd], after[odd], row[odd] == KNOWN - 1
+            cell = b * CLASSES + self.label[a]
+            at = np.minimum(np.searchsorted(self.back, cell), max(len(self.back) - 1, 0))
+            less = np.where(self.back[at] == cell, self.back_log[at], 0) if len(self.back) else 0
+            value = np.where(rarer, self.pool[a] + less, out[odd])
+            code = (b << 16 | a).astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.far, code), len(self.far) - 1)
+            out[odd] = np.where(self.far[at] == code, self.far_log[at], value)
+        return out
+
     def fit(self, texts: list[np.ndarray], rounds: int = 6, batch: int = 48, rate: float = 0.02, seed: int = 9) -> "AttentionModel":
         rng = np.random.default_rng(seed)
         top = self.order[: KNOWN - 1]
@@ -192,7 +237,9 @@ class AttentionModel:
         text = np.repeat(np.arange(texts), count)
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start, size = k * stride, np.minimum(n[text] - k * stride, WINDOW)
-        out = np.zeros(texts)
+        follow = self.given_previous(stream[:-1], stream[1:]).astype(np.float64) if texts else np.zeros(0)
+        follow[first[1:] - 1] = 0  # from a text's end to the next one's beginning
+        out = np.add.reduceat(follow, first) if texts else np.zeros(0)
         w, d = self.w, np.split(np.arange(self.keyed.shape[1]), np.cumsum([KEY, KEY, DIM + 1]))
         parts = [slice(p[0], p[-1] + 1) for p in d]
         place, unit = np.arange(WINDOW), np.ones(CLASSES, np.float32)
@@ -221,7 +268,7 @@ class AttentionModel:
                     logits -= logits.max(1, keepdims=True)
                 shifted = logits[np.arange(len(label)), label]
                 np.exp(logits, out=logits)
-                log10 = (shifted - np.log(logits @ unit)) * np.float32(1 / np.log(10)) + self.given[known[at_id[:, lead:]].ravel(), self.known[target]] + self.rare[target]
+                log10 = (shifted - np.log(logits @ unit)) * np.float32(1 / np.log(10))
                 real = (place[None, lead:width] < size[pick][:, None]).ravel()
                 log10 = np.where(real, log10, 0).reshape(len(pick), -1).sum(1, dtype=np.float64)
                 np.add.at(out, text[pick], log10)

@@ -160,6 +160,30 @@ def test_each_id_is_scored_once():
     assert np.allclose(got, [plain(t) for t in texts], atol=1e-3)
 
 
+def rare_ids(times=1):
+    """A model of 3000 ids that come, and ids after a frequent one; counts as in a corpus ``times`` as large."""
+    end, rng = 3000, np.random.default_rng(3)
+    texts = [np.r_[rng.integers(50, 250), k, rng.integers(50, 250), k, 5, k] for k in rng.permutation(3000)]  # classes differ by what precedes an id
+    own = np.concatenate([x for t in texts for x in ([end], t)] + [[end]]).astype(np.int64)
+    code, n = np.unique((own[:-1] << 32) | own[1:], return_counts=True)
+    return lm.AttentionModel(np.bincount(own[1:], minlength=end + 1) * times, (code, n * times), end).fit(texts, rounds=1), end
+
+
+def test_rare_successors_do_not_fade_with_the_corpus():
+    (model, end), (larger, _) = rare_ids(), rare_ids(1000)
+    rare = np.flatnonzero(model.known == lm.KNOWN - 1)[:100]
+    ids, offsets = np.stack([np.full(100, 5), rare], 1).ravel(), np.arange(101) * 2
+    assert larger.score(ids, offsets).mean() > model.score(ids, offsets).mean() - 0.5
+
+
+def test_pairs_of_rare_ids_are_probabilities():
+    model, end = rare_ids()
+    after = np.arange(end + 1)
+    for before in (5, 7, end, *np.flatnonzero(model.known == lm.KNOWN - 1)[[0, 500]]):
+        p = np.bincount(model.label, 10.0 ** model.given_previous(np.full(end + 1, before), after), lm.CLASSES)
+        assert np.allclose(p[np.unique(model.label)], 1, atol=1e-3)
+
+
 def test_base_scores(spark, documents, odd_rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SLICE", 20_000)
     rng = random.Random(0)
