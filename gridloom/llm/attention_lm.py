@@ -121,11 +121,16 @@ class AttentionModel:
             out[odd] = np.where(self.far[at] == code, self.far_log[at], value)
         return out
 
-    def fit(self, texts: list[np.ndarray], rounds: int = 6, batch: int = 48, rate: float = 0.02, seed: int = 9) -> "AttentionModel":
+    def fit(self, texts: list[np.ndarray], rounds: int = 6, seed: int = 9) -> "AttentionModel":
+        """Classes and tables from all counts; the network's start from ``texts``."""
+        self._start(seed)
+        self.learn([texts], rounds, seed=seed)
+        return self.finish()
+
+    def _start(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         top = self.order[: KNOWN - 1]
-        stream = [np.concatenate([[self.end_id], t, [self.end_id]]) for t in texts] or [np.array([self.end_id] * 2)]
-        pairs = np.concatenate([np.stack([s[:-1], s[1:]]) for s in stream], 1)
+        before, after, times = self.pairs[0] >> 32, self.pairs[0] & 0xFFFFFFFF, self.pairs[1]
         # Clusters by preceding ids, among the most frequent ones.
         self.label = np.full(len(self.counts), CLASSES - 1, np.int16)
         self.label[self.order[:OWN]] = np.arange(len(self.order[:OWN]))
@@ -133,20 +138,21 @@ class AttentionModel:
         if len(tail):
             slot = np.full(len(self.counts), -1)
             slot[tail] = np.arange(len(tail))
-            column = np.minimum(self.known[pairs[0]], 256)
-            before = np.full((len(tail), 257), 1e-3)
-            use = slot[pairs[1]] >= 0
-            np.add.at(before, (slot[pairs[1][use]], column[use]), 1)
-            self.label[tail] = OWN + cluster(before, self.counts[tail].astype(float), CLUSTERS)
+            column = np.minimum(self.known[before], 256)
+            preceding = np.full((len(tail), 257), 1e-3)
+            use = slot[after] >= 0
+            np.add.at(preceding, (slot[after[use]], column[use]), times[use])
+            self.label[tail] = OWN + cluster(preceding, self.counts[tail].astype(float), CLUSTERS)
         mass = np.bincount(self.label, self.counts + 1.0, CLASSES)  # one more for each id: none is impossible
         self.within = np.log10((self.counts + 1.0) / mass[self.label]).astype(np.float32)
-        self._tables_of_pairs()
         prior = np.log((mass + 1) / (mass + 1).sum())
-        # Start from what the sample's pairs say: a factored table of class given id.
+        # Start from what all pairs say: a factored table of class given id.
         table = np.zeros((KNOWN, CLASSES))
-        np.add.at(table, (self.known[pairs[0]], self.label[pairs[1]]), 1)
+        np.add.at(table, (self.known[before], self.label[after]), times)
+        self._tables_of_pairs()
         n = table.sum(1)
-        lift = np.log((table + 4 * np.exp(prior)) / (n + 4)[:, None]) - prior
+        some = 4 + n / 50  # a share of n, so that a larger corpus does not make unseen classes ever less likely
+        lift = np.log((table + some[:, None] * np.exp(prior)) / (n + some)[:, None]) - prior
         u, s, vt = np.linalg.svd(lift * np.sqrt(n + 1)[:, None], full_matrices=False)
         dim = min(DIM, len(s))
         e, wx = np.zeros((KNOWN, DIM)), np.zeros((DIM, CLASSES))
@@ -156,27 +162,54 @@ class AttentionModel:
         normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
         self.w = {"e": e, "wx": wx, "b": prior, "wq": normal(DIM, KEY), "wk": normal(DIM, KEY), "wv": normal(DIM, DIM), "wo": normal(DIM, CLASSES) * 0.1, "r": np.zeros(WINDOW)}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
-        # Windows of WINDOW inputs and their next ids.
-        inputs, targets = [], []
-        for s_ids in stream:
-            for at in range(0, len(s_ids) - 1, WINDOW):
-                own = s_ids[at : at + WINDOW + 1]
-                pad = WINDOW + 1 - len(own)
-                inputs.append(np.r_[self.known[own[:-1]], np.zeros(pad, np.int32)])
-                targets.append(np.r_[self.label[own[1:]], np.full(pad, -1)])
-        inputs, targets = np.array(inputs), np.array(targets)
-        m, v, t = {}, {}, 0
-        total = rounds * -(-len(inputs) // batch)
-        for _ in range(rounds):
-            order = rng.permutation(len(inputs))
-            for at in range(0, len(order), batch):
-                pick = order[at : at + batch]
-                t += 1
-                pace = rate * min(1, t / 20) * (1 - t / (total + 1))
-                for k, g in self.gradients(inputs[pick], targets[pick]).items():
-                    m[k] = 0.9 * m.get(k, 0) + 0.1 * g
-                    v[k] = 0.98 * v.get(k, 0) + 0.02 * g * g
-                    self.w[k] -= (pace * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+
+    def learner(self) -> "AttentionModel":
+        """What ``learn`` needs and no more, with weights of its own."""
+        out = AttentionModel.__new__(AttentionModel)
+        out.end_id, out.known, out.label, out.w = self.end_id, self.known, self.label, {k: v.copy() for k, v in self.w.items()}
+        return out
+
+    def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of WINDOW inputs and the classes of their next ids (-1: none)."""
+        n = np.array([len(t) + 1 for t in texts], np.int64)
+        if not len(n):
+            n, texts = np.array([1]), [np.zeros(0, np.int64)]
+        end = np.array([self.end_id])
+        stream = np.concatenate([x for t in texts for x in (end, t)] + [end]).astype(np.int64)
+        count = -(-n // WINDOW)
+        text = np.repeat(np.arange(len(n)), count)
+        start = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+        left = np.minimum(n[text] - start, WINDOW)
+        at = ((np.cumsum(n) - n)[text] + start)[:, None] + np.arange(WINDOW)
+        real = np.arange(WINDOW) < left[:, None]
+        at = np.minimum(at, len(stream) - 2)
+        return np.where(real, self.known[stream[at]], 0), np.where(real, self.label[stream[at + 1]], -1)
+
+    def learn(self, parts, rounds: int = 1, batch: int = 48, rate: float = 0.02, seed: int = 9, warm: bool = False) -> int:
+        """Steps of Adam over each part's windows; a falling rate within a part, or (warm) over all steps. Returns the ids."""
+        rng = np.random.default_rng(seed)
+        m, v, t, ids = {}, {}, 0, 0
+        for texts in parts:
+            inputs, targets = self.windows(texts)
+            size = (targets >= 0).sum(1)
+            ids += int(size.sum())
+            total = rounds * -(-len(inputs) // batch)
+            for _ in range(rounds):
+                # Windows of about one size go together, so that little is padding.
+                order = rng.permutation(len(inputs))
+                order = order[np.argsort(size[order], kind="stable")]
+                for k in rng.permutation(-(-len(order) // batch)):
+                    pick = order[k * batch : (k + 1) * batch]
+                    width = int(size[pick].max())
+                    t += 1
+                    pace = rate * min(1, t / 20) * (1 / (1 + t / 500) if warm else 1 - t / (total + 1))
+                    for name, g in self.gradients(inputs[pick, :width], targets[pick, :width]).items():
+                        m[name] = 0.9 * m.get(name, 0) + 0.1 * g
+                        v[name] = 0.98 * v.get(name, 0) + 0.02 * g * g
+                        self.w[name] -= (pace * m[name] / (1 - 0.9**t) / (np.sqrt(v[name] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+        return ids
+
+    def finish(self) -> "AttentionModel":
         self._tables()
         return self
 
@@ -194,32 +227,39 @@ class AttentionModel:
         self.steep = not (max(self.range[0], self.range[2]) < 80 and min(self.range[1], self.range[3]) > -80)
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict:
-        w = self.w
+        w, width, root = self.w, inputs.shape[1], np.float32(np.sqrt(KEY))
         x = w["e"][inputs]
-        q, k, v = x @ w["wq"] / np.sqrt(KEY).astype(np.float32), x @ w["wk"], x @ w["wv"]
-        gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        s = q @ k.transpose(0, 2, 1) + np.where(gap >= 0, w["r"][np.abs(gap)], -1e9).astype(np.float32)
-        a = np.exp(s - s.max(-1, keepdims=True))
+        q, k, v = x @ w["wq"] / root, x @ w["wk"], x @ w["wv"]
+        gap = np.arange(width)[:, None] - np.arange(width)[None, :]
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(gap >= 0, w["r"][np.abs(gap)], -1e9).astype(np.float32)
+        a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
         o = a @ v
-        logits = x @ w["wx"] + o @ w["wo"] + w["b"]
-        d = np.exp(log_softmax(logits))
-        real = targets >= 0
-        d[real, targets[real]] -= 1
-        d *= (real / max(1, real.sum()))[:, :, None]
-        d = d.astype(np.float32)
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        g = {"wx": flat(x).T @ flat(d), "wo": flat(o).T @ flat(d), "b": flat(d).sum(0)}
-        do = d @ w["wo"].T
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(-1, keepdims=True))
+        d = flat(x) @ w["wx"]
+        d += flat(o) @ w["wo"]
+        d += w["b"]
+        d -= d.max(-1, keepdims=True)
+        np.exp(d, out=d)
+        real = targets.ravel() >= 0
+        d *= (real / (max(1, real.sum()) * d.sum(-1, dtype=np.float64))).astype(np.float32)[:, None]
+        d[real, targets.ravel()[real]] -= np.float32(1 / max(1, real.sum()))
+        g = {"wx": flat(x).T @ d, "wo": flat(o).T @ d, "b": d.sum(0)}
+        do = (d @ w["wo"].T).reshape(o.shape)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", a, ds)[:, :, None]
+        ds *= a
         dv = a.transpose(0, 2, 1) @ do
-        dq, dk = ds @ k / np.sqrt(KEY).astype(np.float32), ds.transpose(0, 2, 1) @ q
+        dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q
         g["r"] = np.bincount(np.abs(gap)[gap >= 0], ds.sum(0)[gap >= 0], WINDOW)
         g |= {"wq": flat(x).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv)}
-        dx = d @ w["wx"].T + dq @ w["wq"].T + dk @ w["wk"].T + dv @ w["wv"].T
+        dx = d @ w["wx"].T + flat(dq) @ w["wq"].T + flat(dk) @ w["wk"].T + flat(dv) @ w["wv"].T
         g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], inputs.ravel(), flat(dx))
+        order = np.argsort(inputs.ravel(), kind="stable")
+        found, first = np.unique(inputs.ravel()[order], return_index=True)
+        g["e"][found] = np.add.reduceat(dx[order], first)
         return g
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 32) -> np.ndarray:

@@ -8,9 +8,12 @@
    come in training text.  One window over the hash sums these, so each slice
    gets the counts of its own words back, and no task or driver holds the
    vocabulary.  A word has at most one row for each slice, so no word is hot.
-3. The model is fitted on the driver: pairs and classes from the counts, the
-   network on ``fit_docs`` training texts chosen by the hash of their id (a
-   documented bound; all counts cover all training text).
+3. Pairs, classes and the network's first tables come from the counts, on the
+   driver, where ``fit_docs`` training texts chosen by the hash of their id
+   give the network its start.  From there each task learns from all its
+   training texts, and the tasks' weights are averaged by ids: all training
+   text reaches the network, whose weights depend a little on how the texts
+   lie in tasks.
 4. Slices meet their counts in a cogroup, which scores all texts.
 
 Defined cases: a null, empty or white text has its end alone; rows that repeat
@@ -38,6 +41,7 @@ from .vectorwords import P, hash_of, powers, span_hashes
 
 SLICE = 20 << 20
 FIT_DOCS = 600
+LEARN_IDS = 1 << 17
 _END = hash_of("\0end")  # no word: the end of a text, counted as a token
 
 
@@ -196,6 +200,50 @@ def _words(path: str):
     return run
 
 
+def _learn(model: AttentionModel):
+    """One row (part, ids, weights): the network after all training texts of a task."""
+
+    def run(batches):
+        own, part = model.learner(), TaskContext.get().partitionId()
+
+        def texts():
+            held, size = [], 0
+            for batch in batches:
+                ids, offsets = _ids_of(batch.column("ids"))
+                for k in np.flatnonzero(~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)):
+                    held.append(ids[offsets[k] : offsets[k + 1]].astype(np.int64))
+                    size += len(held[-1]) + 1
+                    if size >= LEARN_IDS:
+                        yield held
+                        held, size = [], 0
+            if held:
+                yield held
+
+        n = own.learn(texts(), rate=0.002, warm=True)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([part % 32]), pa.array([n]), pa.array([np.concatenate([w.ravel() for w in own.w.values()]).astype("<f8").tobytes()], pa.binary())], ["part", "n", "w"])
+
+    return run
+
+
+def _average(found: pa.Table) -> pa.Table:
+    n = found["n"].to_numpy()
+    total = sum(np.frombuffer(w.as_buffer(), "<f8") * k for w, k in zip(found["w"], n)) / n.sum()
+    return pa.table({"part": found["part"][:1], "n": pa.array([int(n.sum())]), "w": pa.array([total.tobytes()], pa.binary())})
+
+
+def _learn_all(model: AttentionModel, texts: DataFrame) -> AttentionModel:
+    """The model with its weights learned further from all training texts, task by task."""
+    schema = "part long, n long, w binary"
+    learned = texts.where("not held_out").select("held_out", "ids").mapInArrow(tidy(_learn(model.learner())), schema)
+    found = learned.groupBy("part").applyInArrow(_average, schema).toArrow()
+    if found.num_rows:
+        flat = np.frombuffer(_average(found)["w"][0].as_py(), "<f8")
+        cuts = np.cumsum([w.size for w in model.w.values()])[:-1]
+        model.w = {k: part.reshape(w.shape).astype(np.float32) for (k, w), part in zip(model.w.items(), np.split(flat, cuts))}
+    return model.finish()
+
+
 def _score(path: str, model: AttentionModel, total: int, distinct: int):
     floor = -np.log10(total + distinct + 1)
 
@@ -256,6 +304,7 @@ def score_texts(docs: DataFrame, held_out, path: str, fit_docs: int = FIT_DOCS,
 
     sample = texts.where("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id").select("ids").limit(fit_docs).toArrow()["ids"].to_pylist()
     model = AttentionModel(ids, pairs, vocab.end_id).fit([np.frombuffer(b, np.uint16).astype(np.int64) for b in sample])
+    model = _learn_all(model, texts)
     scored = texts.groupBy("slice").cogroup(counted.select("slice", "h", "c").groupBy("slice")).applyInArrow(_score(path, model, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 

@@ -184,6 +184,25 @@ def test_pairs_of_rare_ids_are_probabilities():
         assert np.allclose(p[np.unique(model.label)], 1, atol=1e-3)
 
 
+def test_network_learns_from_all_training_texts(spark, documents, monkeypatch):
+    """Texts beyond the start's sample move the network; held-out ones do not."""
+    seen, start = [], []
+    score, fit = lm_scoring._score, lm.AttentionModel.fit
+    monkeypatch.setattr(lm_scoring, "_score", lambda path, model, *rest: seen.append(model) or score(path, model, *rest))
+
+    def remember(self, texts):
+        start.append({k: v.copy() for k, v in fit(self, texts).w.items()})
+        return self
+
+    monkeypatch.setattr(lm.AttentionModel, "fit", remember)
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdefghij") for _ in range(150)), "s") for k in range(40)]
+    for held in ("a b c " * 50, "x y z " * 50):
+        lm_scoring.score_texts(documents([*rows, (99, held, "s")]), F.col("doc_id") == 99, TIK, fit_docs=2)
+    assert all(np.allclose(seen[0].w[k], seen[1].w[k], atol=2e-6) for k in seen[0].w)
+    assert np.abs(seen[0].w["wo"] - start[0]["wo"]).max() > 2e-5
+
+
 def test_base_scores(spark, documents, odd_rows, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SLICE", 20_000)
     rng = random.Random(0)
