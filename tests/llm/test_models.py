@@ -160,6 +160,33 @@ def test_each_id_is_scored_once():
     assert np.allclose(got, [plain(t) for t in texts], atol=1e-3)
 
 
+def test_context_of_later_windows():
+    """The first id that a later window scores sees 16 ids before it."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 40, 200) for _ in range(4)]
+    own = np.concatenate([x for t in texts for x in ([40], t)] + [[40]])
+    code, n = np.unique((own[:-1] << 32) | own[1:], return_counts=True)
+    m = lm.AttentionModel(np.bincount(own[1:], minlength=41), (code, n), 40).fit(texts, rounds=1)
+    text = texts[0][:64]  # its 64th id and its end are scored by the windows that begin at places 0 and 48 of the stream
+    other = text.copy()
+    other[47] = (text[47] + 1) % 40
+    flat = {k: np.zeros_like(v) for k, v in m.w.items()} | {k: m.w[k] for k in ("e", "wv", "wo")}
+    m.w = flat  # every place of a window weighs the same
+    m.finish()
+    m.given[:] = 0
+    both = [m.score(np.r_[t], np.array([0, 64]))[0] for t in (text, other)]
+    x = m.w["e"] @ m.w["wv"] @ m.w["wo"]
+
+    def plain(t):
+        s, out = np.r_[40, t, 40], 0.0
+        for i in range(65):
+            at = 0 if i < 64 else 48
+            out += lm.log_softmax(x[m.known[s[at : i + 1]]].mean(0))[m.label[s[i + 1]]] / math.log(10) + m.rare[s[i + 1]]
+        return out
+
+    assert np.allclose(both, [plain(text), plain(other)], atol=1e-3)
+
+
 def rare_ids(times=1):
     """A model of 3000 ids that come, and ids after a frequent one; counts as in a corpus ``times`` as large."""
     end, rng = 3000, np.random.default_rng(3)
