@@ -37,7 +37,7 @@ from .vectorwords import lower_ascii, mix, prefix_sums, span_hashes, text_bytes
 
 WINDOW, OVERLAP = 32, 8
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 4, 4
-GRAMS, BUCKETS, SLOTS = (3, 4, 5, 6), 1 << 16, 1 << 17
+GRAMS, BUCKETS = (3, 4, 5, 6), 1 << 16
 FOLDS, MIN_DOCS = 4, 3
 MAX_TRAIN = 3000
 INPUTS = 3 + WORD_DIM + CHAR_DIM
@@ -214,15 +214,16 @@ class Adam:
 
 
 class Lexicon:
-    """Words known from training in a table of SLOTS places, by hash; place SLOTS is every other word."""
+    """Words known from training, as sorted hashes; the place after the last is every other word."""
 
     def __init__(self, hashes: np.ndarray):
-        self.table = np.zeros(SLOTS, np.uint64)
-        self.table[(hashes >> np.uint64(64 - 17)).astype(np.int64)] = hashes  # of two at one place the last stays
+        self.table = np.unique(hashes)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> np.uint64(64 - 17)).astype(np.int64)
-        return np.where(self.table[at] == hashes, at, SLOTS)
+        if not len(self.table):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.table, hashes), len(self.table) - 1)
+        return np.where(self.table[at] == hashes, at, len(self.table))
 
 
 def log_odds(yes, no, n_yes, n_no, pull: float = 2.0) -> np.ndarray:
@@ -301,20 +302,20 @@ def train(texts: list[str], labels: np.ndarray, totals: tuple[int, int] | None =
         char_counts[fold[k], int(labels[k])] += np.bincount(grams, minlength=BUCKETS) > 0
     known = counts.sum((0, 1)) >= MIN_DOCS
     model.lexicon = Lexicon(words.hashes[known])
-    place = model.lexicon.places(words.hashes)
+    place, others = model.lexicon.places(words.hashes), len(model.lexicon.table)
     docs_in = np.zeros((FOLDS, 2))
     np.add.at(docs_in, (fold, labels.astype(int)), 1)
-    model.word_odds, model.char_odds = np.zeros((FOLDS + 1, SLOTS + 1), np.float32), np.zeros((FOLDS + 1, BUCKETS), np.float32)
+    model.word_odds, model.char_odds = np.zeros((FOLDS + 1, others + 1), np.float32), np.zeros((FOLDS + 1, BUCKETS), np.float32)
     for f in range(FOLDS + 1):
         rest = [k for k in range(FOLDS) if k != f]
         n_no, n_yes = docs_in[rest].sum(0)
         c = counts[rest].sum(0)
         odds = log_odds(c[1], c[0], n_yes, n_no)
         model.word_odds[f, place] = odds
-        model.word_odds[f, SLOTS] = 0
+        model.word_odds[f, others] = 0
         c = char_counts[rest].sum(0)
         model.char_odds[f] = log_odds(c[1], c[0], n_yes, n_no)
-    model.word_vectors = rng.normal(0, 0.05, (SLOTS + 1, WORD_DIM)).astype(np.float32)
+    model.word_vectors = rng.normal(0, 0.05, (others + 1, WORD_DIM)).astype(np.float32)
     model.char_vectors = rng.normal(0, 0.05, (BUCKETS, CHAR_DIM)).astype(np.float32)
     model.network = network = Network(seed)
     vectors = {"word_vectors": model.word_vectors, "char_vectors": model.char_vectors}

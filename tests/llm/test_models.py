@@ -99,6 +99,15 @@ def test_degenerate_training():
         assert model.score(pa.array(["a b", None])).tolist() == [model.prior] * 2
 
 
+def test_no_known_word_is_displaced():
+    """Hashes that agree in their upper bits each keep a place of their own; others share the last."""
+    hashes = (np.arange(1, 5001, dtype=np.uint64) << np.uint64(47)) | np.uint64(7)
+    hashes = np.r_[hashes, hashes + np.uint64(1)]
+    lexicon = toxicity.Lexicon(hashes)
+    assert len(np.unique(lexicon.places(hashes))) == 10_000
+    assert set(lexicon.places(hashes + np.uint64(5))).isdisjoint(lexicon.places(hashes))
+
+
 def test_toxicity_table(spark):
     texts, y = corpus(300, 2)
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(None, None, "x")], "doc_id long, text string, score string")
