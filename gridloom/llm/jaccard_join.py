@@ -1,10 +1,14 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: banded MinHash LSH, then exact verification.
 
 1. Every text becomes its set of hashed runs of five words (all words of a
    shorter text).  Texts with equal sets are copies: one stands for all.
-2. A forest of ``trees`` prefix tries holds the signatures.  The prefix that
-   two texts must share is shortened from ``depth`` until the chance that a
-   pair at the threshold shares one in some tree reaches the target recall.
+2. Signatures are cut into ``trees`` bands, and texts that share the first
+   minima of a band share a bucket.  How many is one number for all data: the
+   longest prefix, up to ``depth``, at which the chance that a pair at the
+   threshold shares a bucket reaches the target recall.  This fixed banding
+   replaces an LSH forest (sorted prefix tries, prefixes shortened by data):
+   as a fixed threshold is asked for, and not the nearest texts, the length
+   follows from the threshold, and buckets need one equality exchange.
 3. Within a prefix bucket, the smallest text that no other covers is compared
    with all of the bucket by whole signatures.  It covers what is at least
    COVER similar, and is joined to all that can link to what it covers: as
