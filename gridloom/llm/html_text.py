@@ -248,17 +248,24 @@ def weights() -> Weights:
 
 
 def blocks(page: str, fitted: Weights) -> list[tuple[str, float, float, float]]:
-    """(text, tags, score, standing) of each block: scores of the tags before it and of its words, and that of its block elements."""
-    out, text, score, pending, standing = [], [], 0.0, 0.0, 0.0
+    """(text, tags, score, standing) of each block: scores of the tags before it and of its words, and that of its block elements.
+
+    Pieces whose own elements speak against them are left out of a block that has others.
+    """
+    out, text, pending = [], [], 0.0  # text: (piece, score, standing); blanks have no standing
     known: dict[tuple, tuple[float, float]] = {}
 
     def close():
-        nonlocal text, score, pending
-        joined = " ".join(entities.unescape("".join(text)).split())
+        nonlocal text, pending
+        kept = text
+        if any(s is not None and s < 0 for _, _, s in text) and any(s is not None and s > 0 for _, _, s in text):
+            kept = [t for t in text if t[2] is None or t[2] >= 0]
+        joined = " ".join(entities.unescape("".join(t for t, _, _ in kept)).split())
         if joined:
-            out.append((joined, pending, score, standing))
+            stands = [s for _, _, s in kept if s is not None] or [0.0]
+            out.append((joined, pending, sum(s for _, s, _ in kept), min(stands[:1] + [s for s in stands if s < 0])))
             pending = 0.0
-        text, score = [], 0.0
+        text = []
 
     for kind, value, stack in tokens(page):
         if kind == "text":
@@ -270,13 +277,9 @@ def blocks(page: str, fitted: Weights) -> list[tuple[str, float, float, float]]:
                 at = known[keys] = (fitted.word(flat), fitted.word(own))
             n = len(value.split())
             if n:
-                if not any(t.strip() for t in text):
-                    standing = at[1]
-                standing = min(standing, at[1]) if at[1] < 0 and text else standing if text else at[1]
-                text.append(value)
-                score += n * at[0]
+                text.append((value, n * at[0], at[1]))
             elif text:
-                text.append(value)
+                text.append((value, 0.0, None))
         else:
             name = value.lstrip("/")
             if name not in INLINE:

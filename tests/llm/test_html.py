@@ -68,3 +68,12 @@ def test_noise_before_after_and_inside(noise, around):
     head, rest = ARTICLE.split("</h1>")
     page = around.format(n=noise, a=ARTICLE, a0=head + "</h1>", a1=rest)
     assert h.main_text(f"<html><body>{page}</body></html>") == TEXT
+
+
+def test_noise_inside_a_paragraph_leaves_the_paragraph():
+    words = "The river rose in the night and the people of the town went up to the old mill to wait there. "
+    for noise in ("ad", "share", "comment"):
+        inside = f'{words}<b>bold <span class="{noise}">zzz</span></b>{words}'
+        page = f"<html><body><div><p>{words * 3}</p><p>{inside} tail</p><p>{words * 3}</p></div></body></html>"
+        found = h.main_text(page)
+        assert found.count("old mill") == 8 and "tail" in found, noise
