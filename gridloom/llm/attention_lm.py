@@ -156,7 +156,7 @@ class AttentionModel:
         u, s, vt = np.linalg.svd(lift * np.sqrt(n + 1)[:, None], full_matrices=False)
         dim = min(DIM, len(s))
         e, wx = np.zeros((KNOWN, DIM)), np.zeros((DIM, CLASSES))
-        scale = np.sqrt(s[:dim] / np.sqrt((n + 1).mean()))
+        scale = np.sqrt(s[:dim] / np.sqrt((n + 1).mean())) + 1e-6  # no pairs: no lift
         e[:, :dim] = u[:, :dim] * s[:dim] / np.sqrt(n + 1)[:, None] / scale
         wx[:dim] = scale[:, None] * vt[:dim]
         normal = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
