@@ -10,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in ``spark.checkpoint.dir`` (one of our own only where that is unset); removed when the driver ends."""
+    """A fresh path in ``spark.checkpoint.dir`` (one of our own only where that is unset, on a local master); removed when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
