@@ -5,8 +5,8 @@ digest of the normalised text, with a partition for each batch.  New rows are
 grouped by digest with map-side partial aggregation, a sort-merge anti-join
 against the index (whose side needs no exchange) finds the digests that are
 new, and those are appended as the batch's partition.  A group of copies of
-any size is one row for each map task before the shuffle; the join that
-returns a decision for every row is left to the adaptive skew split.
+any size is one row for each map task before the shuffle; in the join that
+returns a decision for every row it is dealt over SALTS parts.
 
 The folder is all there is to the index: any later session opens it by its
 path.  A batch that is run again does not see its own former rows and replaces
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .shared import SPACE, fresh_path, materialize
 
 BUCKETS = 64
+#: Parts over which the rows of a text that comes more than once are dealt.
+SALTS = 32
 _COLUMNS = "digest binary, keep_id bigint, batch string"
 
 
@@ -79,14 +81,14 @@ class DigestIndex:
         """Add the new digests of written rows (doc_id, digest, row); row is a number of the row's own.
 
         Returns, written, a row for each digest: digest, keep_id, group_size (the batch's rows with the text), keep_row
-        (the row that stays; null where the text came in another batch, whose keep_id it then has).
+        (the row that stays; null where the text came in another batch, whose keep_id it then has), first_row.
         """
         least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
         groups = rows.groupBy("digest").agg(least.alias("first"), F.count(F.lit(1)).alias("group_size"))
         groups = materialize(groups.select("digest", "group_size", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("first_row")), "groups")
         known = self.read().where(F.col("batch") != F.lit(batch)).select("digest", "keep_id").hint("merge")
-        new = groups.join(known, "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"), "group_size", F.col("first_row").alias("keep_row"))
-        old = groups.join(known, "digest").select("digest", "keep_id", "group_size", F.lit(None).cast("long").alias("keep_row"))
+        new = groups.join(known, "digest", "left_anti").select("digest", F.col("first_id").alias("keep_id"), "group_size", F.col("first_row").alias("keep_row"), "first_row")
+        old = groups.join(known, "digest").select("digest", "keep_id", "group_size", F.lit(None).cast("long").alias("keep_row"), "first_row")
         decided = materialize(new.unionByName(old), "decided")
         self.append(decided.where("keep_row is not null"), batch)
         return decided
@@ -103,8 +105,11 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def decisions(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The groups' decisions for each row.  A text that comes once is needed in its row's part alone, others in all parts."""
+    parts = F.when(F.col("group_size") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.pmod(F.xxhash64("first_row"), F.lit(SALTS)).cast("int")))
+    groups = groups.withColumn("part", F.explode(parts))
     kept = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False))
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", "row")
+    return rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(groups, ["digest", "part"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "digest", "row")
 
 
 def exact_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -120,7 +125,7 @@ def exact_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
     groups = index.decide(rows.where(lower), "lower").unionByName(index.decide(rows.where(~lower), "upper"))
     index.close()
     # A text of both batches has two rows here, with one keep_id; only that of the first names the row that stays.
-    groups = groups.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("keep_row").alias("keep_row"))
+    groups = groups.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.max("keep_row").alias("keep_row"), F.max("first_row").alias("first_row"))
     return decisions(rows, groups)
 
 
