@@ -7,7 +7,8 @@ filtered by comparing their hash with the source's threshold.  No sort over
 documents takes place.
 
 Defined cases: a null text has size 0; a null source is a source of its own
-and comes last; rows that repeat a doc_id share its hash and so one decision;
+and comes last; rows of one source that repeat a doc_id share its hash and so
+one decision; the windows over sources hold one row for each source;
 an empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -79,7 +80,8 @@ def thresholds(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, copies, threshold): ``copies`` of every document, one more where its key is below ``threshold``."""
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    bound, path, shift = plan.select("source", "rest"), [], HASH_BITS
+    # A source whose rest is nothing has no boundary: not even a document of no size comes once more.
+    bound, path, shift = plan.where("rest > 0").select("source", "rest"), [], HASH_BITS
     for level, bits in enumerate(LEVEL_BITS):
         shift -= bits
         name = f"b{level}"
@@ -109,14 +111,33 @@ def thresholds(keyed: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
+def _plan(keyed: DataFrame, weights, max_epochs: int) -> DataFrame:
+    plan = thresholds(keyed, source_targets(keyed, weights, max_epochs))
+    return _salted(plan.select(F.col("source").alias("plan_source"), "source_size", "target", "copies", "threshold"))
+
+
+def _taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (key, source, ...) with their source's plan and ``times``, how often the mix takes them."""
+    rows = rows.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int"))
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]) & (rows["salt"] == plan["source_salt"]))
+    return rows.withColumn("times", F.col("copies") + (F.col("key") < F.col("threshold")).cast("long"))
+
+
+def _keyed(docs: DataFrame, id_col, text_col, source_col) -> DataFrame:
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash_key(F.col(id_col)).alias("key")), "sizes")
+
+
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), max_epochs=3) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, times (how often the mix takes it)."""
-    keyed = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash_key(F.col(id_col)).alias("key")), "sizes")
-    plan = thresholds(keyed, source_targets(keyed, weights, max_epochs)).withColumnRenamed("source", "plan_source")
-    keyed, plan = keyed.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")), _salted(plan)
-    return keyed.join(plan, keyed["source"].eqNullSafe(plan["plan_source"]) & (keyed["salt"] == plan["source_salt"])).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("copies") + (F.col("key") < F.col("threshold")).cast("long")).alias("times")
-    )
+    keyed = _keyed(docs, id_col, text_col, source_col)
+    return _taken(keyed, _plan(keyed, weights, max_epochs)).select("doc_id", "source", "size", "source_size", "target", "times")
+
+
+def mixed_rows(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=(5, 2, 1), max_epochs=3) -> DataFrame:
+    """The rows, with all their columns, each as often as the mix takes it.  Every row is decided by itself, whatever ids repeat."""
+    plan = _plan(_keyed(docs, id_col, text_col, source_col), weights, max_epochs)
+    rows = docs.select(F.struct("*").alias("held"), F.col(source_col).alias("source"), hash_key(F.col(id_col)).alias("key"))
+    return _taken(rows, plan).where("times > 0").select("held", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("held.*")
 
 
 def mixing_query(spark, sf_dir) -> DataFrame:

@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -59,5 +59,21 @@ def test_odd_rows_and_sql(documents, odd_rows, spark, tmp_path):
     assert sorted(set(want), key=key) == sorted(set(got), key=key)
 
 
+def test_no_document_beyond_its_cap(documents, spark):
+    """A source at its cap takes no document, not even an empty one, a fourth time."""
+    rows = [(k, "" if k % 3 == 0 else "w", "small") for k in range(40)] + [(100 + k, "w " * 50, "z") for k in range(40)]
+    out = mixing.mix(documents(rows)).collect()
+    assert max(r.times for r in out) == 3 and {r.times for r in out if r.source == "small"} == {3}
+
+
+def test_rows_are_decided_each(documents):
+    rows = [(1, "a b", "s"), (1, "c d e", "t"), (1, "a b", "s"), (None, "x", None), (2, "w " * 90, "s"), (3, "w " * 40, "t"), (3, None, "u")]
+    docs = documents(rows)
+    out = mixing.mixed_rows(docs)
+    times = {(r.doc_id, r.source, r.size): r.times for r in mixing.mix(docs).collect()}
+    want = Counter((d, t, s) for d, t, s in rows for _ in range(times[d, s, len((t or "").split())]))
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text, r.source) for r in out.collect()) == want
+
+
 def test_empty(documents):
     assert mixing.mix(documents([])).count() == 0
