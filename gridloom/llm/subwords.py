@@ -5,7 +5,8 @@ with the space, so a text may be cut in front of every space that follows a
 character which is not white space.  The units between cuts repeat a lot: they
 are gathered with Arrow's dictionary encoding, unknown ones are encoded
 together by the library, and ids are put together by array gathers.  A text
-with white space in front of a space is encoded whole.
+with white space in front of a space, or with the string of an added token, is
+encoded whole.
 """
 
 from __future__ import annotations
@@ -40,14 +41,15 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class SubwordEncoder:
-    """Ids as the library gives them with add_special_tokens=False; special tokens' strings are ordinary text."""
+    """Ids as the library gives them with add_special_tokens=False; the strings of special tokens give their ids, or (special_as_text) are ordinary text."""
 
-    def __init__(self, path: str, cache_units: int = 500_000, chunk_words: int = 1 << 14):
+    def __init__(self, path: str, cache_units: int = 500_000, chunk_words: int = 1 << 14, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values() if t.content and not (special_as_text and t.special)]
         self.cache_units, self.chunk_words = cache_units, chunk_words
         vocab = self.model.get_vocab()
         self.width = np.ones(max(vocab.values()) + 1, np.int64)
@@ -122,6 +124,8 @@ class SubwordEncoder:
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         whole = pc.match_substring_regex(texts, f"[{_BLANKS}] ")
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
         parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         cuts = np.asarray(parts.offsets, np.int64)
         cuts, flat = cuts - cuts[0], parts.flatten()

@@ -6,11 +6,14 @@ an index of (doc_id, byte offset, byte length, number of ids); then a JSON
 foot with the SHA-256 of the dictionary, the width and the index's place.  One
 document is read by its index entry alone.  The dictionary lies once beside
 the files; it is trained on the id arrays of a bounded sample of documents
-(``sample_docs``), which changes sizes only.
-
-Files are written under another name and moved when whole, so a task that is
-run again leaves one whole file.  Defined cases: a null text is empty and has
-the end id alone; rows that repeat a doc_id are kept, ordered by checksum;
+(``sample_docs`` of at most ``sample_chars`` each, those of smallest id hash),
+which changes sizes only.
+
+A task begins another file whenever one has reached ``file_bytes`` or
+``file_docs``, which bounds the index that it holds in memory.  Files are
+written under another name and moved when whole, so a task that is run again
+leaves whole files of the same names.  Defined cases: a null text is empty and
+has the end id alone; rows that repeat a doc_id are kept, ordered by checksum;
 null ids come first; an empty table gives no document.  Other columns are
 ignored.
 """
@@ -132,32 +135,49 @@ class TokenFileReader:
             k = end
 
 
-def _write(folder: str, path: str, end_id: int, dictionary: bytes, width: int):
+FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
+
+
+def _write(folder: str, path: str, end_id: int, dictionary: bytes, width: int, file_bytes: int, file_docs: int):
+    """A row (name, documents, ids) for each file; the names' order is that of their documents."""
+
     def run(batches):
-        name, writer, subwords, docs, ids_in = f"part-{TaskContext.get().partitionId():06d}.tok", None, encoder(path), 0, 0
+        part_id, subwords, writer, ids_in, done = TaskContext.get().partitionId(), encoder(path), None, 0, []
+
+        def close():
+            writer.close()
+            done.append((name_of(), len(writer.index), ids_in))
+
+        def name_of():
+            return f"part-{part_id:06d}-{len(done):06d}.tok"
+
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 ids, offsets = subwords.encode(part.column("text"))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
-                    writer = writer or TokenFileWriter(folder, name, dictionary, width)
+                    writer = writer or TokenFileWriter(folder, name_of(), dictionary, width)
                     writer.add(doc, np.append(ids[a:b], np.uint32(end_id)))
-                    docs, ids_in = docs + 1, ids_in + int(b - a) + 1
+                    ids_in += int(b - a) + 1
+                    if writer.at >= file_bytes or len(writer.index) >= file_docs:
+                        close()
+                        writer, ids_in = None, 0
         if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"name": [name], "documents": [docs], "ids": [ids_in]})
-        else:
-            yield pa.RecordBatch.from_pydict({"name": pa.array([], pa.string()), "documents": pa.array([], pa.int64()), "ids": pa.array([], pa.int64())})
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done)) or [()] * 3, (pa.string(), pa.int64(), pa.int64()))], ["name", "documents", "ids"])
 
     return run
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id=0, partitions=None, dictionary_bytes=65_536, sample_docs=1000, id_col="doc_id", text_col="text") -> list[tuple[str, int, int]]:
+def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id=0, partitions=None, dictionary_bytes=65_536, sample_docs=1000, sample_chars=16_384, file_bytes=FILE_BYTES, file_docs=FILE_DOCS, id_col="doc_id", text_col="text") -> list[tuple[str, int, int]]:
     """Write all documents in ascending order of doc_id; returns (file, documents, ids) of each file in order."""
     spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many ranges as the input has splits, so that a range does not grow with the input.
+    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = max(1, rows.count() // sample_docs)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").limit(sample_docs).toArrow()["text"].combine_chunks()
+    every = max(1, rows.count() // (2 * sample_docs))
+    place = F.xxhash64("doc_id")
+    sample = rows.where(F.pmod(place, F.lit(every)) == 0).select(place.alias("place"), "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    sample = sample.orderBy("place", "doc_id", "text").limit(sample_docs).select("text").toArrow()["text"].combine_chunks()
     subwords = encoder(vocabulary_path)
     width = 2 if max(len(subwords.width) - 1, end_id) < 1 << 16 else 4
     ids, offsets = subwords.encode(sample if isinstance(sample, pa.Array) else pa.array([], pa.string()))
@@ -166,8 +186,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary_path: str, end_id
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/dictionary.zstd") as out:
         out.write(dictionary)
-    ordered = rows.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
-    files = ordered.mapInArrow(tidy(_write(folder, vocabulary_path, end_id, dictionary, width)), "name string, documents long, ids long").collect()  # a row for each file
+    crc = F.crc32(F.col("text").cast("binary"))
+    ordered = rows.repartitionByRange(partitions, "doc_id", crc).sortWithinPartitions("doc_id", crc)
+    files = ordered.mapInArrow(tidy(_write(folder, vocabulary_path, end_id, dictionary, width, file_bytes, file_docs)), "name string, documents long, ids long").collect()  # a row for each file
     files = sorted((r.name, r.documents, r.ids) for r in files)
     with fs.open_output_stream(f"{base}/manifest.json") as out:
         out.write(json.dumps({"end_id": end_id, "files": files}).encode())

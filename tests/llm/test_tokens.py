@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from gridloom.llm import packing, token_files
 from gridloom.llm.shared import fresh_path
@@ -19,8 +20,11 @@ def encoder():
     return SubwordEncoder(PATH)
 
 
+LIBRARY = Tokenizer.from_file(PATH)  # untouched by the operators
+
+
 def whole(encoder, text):
-    return encoder.model.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=150, deadline=None)
@@ -30,6 +34,48 @@ def test_ids_are_the_library_s(encoder, texts):
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [whole(encoder, t) for t in texts]
 
 
+def test_special_strings():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>.<|endoftext|> y", "<|endoftext|", "a <|endof text|>", None]
+    ids, offsets = SubwordEncoder(PATH).encode(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+    assert got == [whole(None, t) for t in texts] and got[0] == [64, 220, 50256, 275]
+    ids, _ = SubwordEncoder(PATH, special_as_text=True).encode(pa.array(["a <|endoftext|> b"]))
+    assert 50256 not in ids and LIBRARY.decode(ids.tolist()) == "a <|endoftext|> b"
+
+
+def plain_best_fit(lengths, size, limit):
+    """Windows by looking at every open one: the fullest with room; else the fullest leaves."""
+    windows, closed = [], []
+    for k, n in enumerate(lengths):
+        room = [w for w in windows if sum(lengths[i] for i in w) + n <= size]
+        if room:
+            best = max(room, key=lambda w: sum(lengths[i] for i in w))
+            best.append(k)
+            if sum(lengths[i] for i in best) == size:
+                windows.remove(best)
+                closed.append(best)
+            continue
+        if n == size:
+            closed.append([k])
+            continue
+        if len(windows) == limit:
+            full = max(windows, key=lambda w: sum(lengths[i] for i in w))
+            windows.remove(full)
+            closed.append(full)
+        windows.append([k])
+    return sorted(sorted(sum(1 for _ in w) for w in closed + windows)), sorted(sum(lengths[i] for i in w) for w in closed + windows)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 99), max_size=60), st.integers(1, 5))
+def test_open_windows_against_plain(lengths, limit):
+    w, closed = packing.OpenWindows(100, limit), []
+    for k, n in enumerate(lengths):
+        out = w.add(n, (k, n))
+        closed += [out] if out else []
+    assert sorted(sum(n for (_, n), _ in held) for held in closed + w.held) == plain_best_fit(lengths, 100, limit)[1]
+
+
 def test_small_cache_and_slices():
     small = SubwordEncoder(PATH, cache_units=50, chunk_words=7)
     texts = [" ".join(f"w{k * j % 97}, it's" for j in range(60)) for k in range(20)] + [None, "", "<|endoftext|> x"]
@@ -96,6 +142,13 @@ def test_token_files(documents, odd_rows, encoder, spark):
         assert r.start == at and (r.n_tokens, r.ids_crc32) in {(len(i), zlib.crc32(i)) for i in want[r.doc_id]}
         at += r.n_tokens
     assert len(out) == len(rows) == sum(n for _, n, _ in files)
+    # Files are rolled; the order holds over all of them, and a second run trains the same dictionary.
+    small = fresh_path(spark, "t")
+    rolled = token_files.write_token_files(documents(rows).repartition(7), small, PATH, partitions=3, dictionary_bytes=2048, file_docs=20, file_bytes=4000)
+    assert len(rolled) > 10 and max(n for _, n, _ in rolled) <= 20
+    assert sorted(token_files.read_token_files(spark, small).collect()) == out
+    read = [(token_files.file_system(f)) for f in (folder, small)]
+    assert len({fs.open_input_file(base + "/dictionary.zstd").read() for fs, base in read}) == 1
 
 
 def test_one_document_and_a_wrong_dictionary(tmp_path):
