@@ -1,15 +1,19 @@
 """Exact top-k search by inner product: columnar branch and bound.
 
-Vectors lie in blocks of vertical layout (a row for each dimension).  A block
-of queries meets a block of candidates: products are added up a few
-dimensions at a time, and after each step a pair survives only if its partial
-sum plus the product of the two remaining norms (what the other dimensions
-can add at most) reaches the query's k-th best score so far.  Survivors are
-compacted; the last step leaves exact scores.
-
-Every block of queries meets every block of candidates once: pairs of blocks
-are joined by (query block, slot), so a task holds one block of queries and a
-bounded number of candidate blocks, and gives at most k rows a query.
+Vectors lie in blocks of vertical layout (a row for each dimension, in the
+narrowest integer type that holds the block's numbers).  A group of queries
+meets a block of candidates: products are added up a few dimensions at a time,
+and after each step a pair survives only if its partial sum plus the product
+of the two remaining norms (what the other dimensions can add at most) reaches
+the query's k-th best score so far.  Candidates and queries without a
+surviving pair leave the block, and once few pairs are left these alone are
+carried on, one by one; the last step leaves exact scores.
+
+Thresholds are known before the search: the k-th best score among some
+candidates is one that no answer can fall below.  A first pass takes one block
+of each SEED, and each task one row of LOCAL_SEED of its own blocks.  In the
+second pass every block of queries meets every block of candidates once: pairs of blocks are joined by (query group, slot),
+so a task holds bounded numbers of both, and gives at most k rows a query.
 
 Defined cases: a vector that is null or holds a null or a non-finite component
 takes no part, nor does a row with a null id; shorter vectors count as padded
@@ -23,15 +27,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize, table
 
-BLOCK_ROWS, QUERY_ROWS, STEP = 8192, 2048, 16
-#: Candidate blocks that a task holds at once.
-SLOT_BLOCKS = 8
-_BLOCK = "block long, n int, dims int, ids binary, data binary"
+BLOCK_ROWS, QUERY_ROWS, STEP = 8192, 2048, 8
+#: Candidate blocks and query blocks that a task holds at once.
+SLOT_BLOCKS, GROUP_BLOCKS = 8, 16
+#: One block of so many is searched first, for thresholds, and of each task's blocks one row of so many.
+SEED, LOCAL_SEED = 32, 16
+#: Queries that are compared at once, and the share of pairs from which on they are carried one by one.
+TOGETHER, FEW = 64, 0.1
+_BLOCK = "block long, n int, dims int, width int, ids binary, data binary"
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -40,22 +49,31 @@ def quantised(vector: Column, scale: int = 64) -> Column:
     return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * scale)))
 
 
+def _narrow(data: np.ndarray) -> np.ndarray:
+    for kind in (np.int8, np.int16, np.int32):
+        limits = np.iinfo(kind)
+        if data.min(initial=0) >= limits.min and data.max(initial=0) <= limits.max:
+            return data.astype(kind)
+    return data
+
+
 def _blocks(rows: int):
     """Rows (id, vector) to blocks: ids, and numbers with a row for each dimension."""
 
-    def pack(ids: list[np.ndarray], flat: list[np.ndarray], lengths: list[np.ndarray]):
-        ids, flat, n = np.concatenate(ids), np.concatenate(flat), np.concatenate(lengths)
-        dims = int(n.max(initial=0))
-        data = np.zeros((len(ids), dims), np.int64)
-        data[np.repeat(np.arange(len(ids)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
-        # The ids of a block make its number, which is the same when a task is run again.
-        block = int(np.bitwise_xor.reduce(ids * np.int64(-7046029254386353131))) if len(ids) else 0
-        return pa.RecordBatch.from_pydict(
-            {"block": pa.array([block], pa.int64()), "n": pa.array([len(ids)], pa.int32()), "dims": pa.array([dims], pa.int32()), "ids": [ids.tobytes()], "data": [np.ascontiguousarray(data.T).tobytes()]}
-        )
-
     def run(batches):
         ids, flat, lengths, have = [], [], [], 0
+        # A block's number is its task and its place there: the blocks are written once and then read.
+        numbers = iter(range(TaskContext.get().partitionId() << 32, 1 << 62))
+
+        def pack():
+            own, values, n = np.concatenate(ids), np.concatenate(flat), np.concatenate(lengths)
+            dims = int(n.max(initial=0))
+            data = np.zeros((len(own), dims), np.int64)
+            data[np.repeat(np.arange(len(own)), n), np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)] = values
+            data = _narrow(np.ascontiguousarray(data.T))
+            columns = {"block": ([next(numbers)], pa.int64()), "n": ([len(own)], pa.int32()), "dims": ([dims], pa.int32()), "width": ([data.itemsize], pa.int32()), "ids": ([own.tobytes()], pa.binary()), "data": ([data.tobytes()], pa.binary())}
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
@@ -65,18 +83,18 @@ def _blocks(rows: int):
                 lengths.append(np.diff(np.asarray(vectors.offsets)).astype(np.int64))
                 have += part.num_rows
                 if have >= rows:
-                    yield pack(ids, flat, lengths)
+                    yield pack()
                     ids, flat, lengths, have = [], [], [], 0
         if have:
-            yield pack(ids, flat, lengths)
+            yield pack()
 
     return run
 
 
-def _load(row, dims: int, order=None) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(row.data, np.int64).reshape(row.dims, row.n)
+def _load(row, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(row.data, f"i{row.width}").reshape(row.dims, row.n)
     if row.dims < dims:
-        data = np.vstack([data, np.zeros((dims - row.dims, row.n), np.int64)])
+        data = np.vstack([data, np.zeros((dims - row.dims, row.n), data.dtype)])
     return np.frombuffer(row.ids, np.int64), data
 
 
@@ -85,13 +103,17 @@ def _kind(bound: float):
     return np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else np.int64
 
 
+def _top(m: np.ndarray) -> float:
+    return max(float(m.max(initial=0)), -float(m.min(initial=0)))
+
+
 class BestRows:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far; thresholds may be known before."""
 
-    def __init__(self, n: int, k: int):
+    def __init__(self, n: int, k: int, threshold: np.ndarray | None = None):
         self.k, self.q = k, np.zeros(0, np.int64)
         self.score, self.id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.threshold = np.full(n, -np.inf)
+        self.threshold = np.full(n, -np.inf) if threshold is None else threshold.astype(np.float64)
 
     def add(self, q, score, ids) -> None:
         q, score, ids = np.concatenate([self.q, q]), np.concatenate([self.score, score]), np.concatenate([self.id, ids])
@@ -102,65 +124,117 @@ class BestRows:
         keep = place < self.k
         self.q, self.score, self.id = q[keep], score[keep], ids[keep]
         full = place == self.k - 1
-        self.threshold[q[full]] = score[full].astype(np.float64)
+        self.threshold[q[full]] = np.maximum(self.threshold[q[full]], score[full].astype(np.float64))
+
+
+class Vertical:
+    """A block as numbers of one type, with the norms of what follows each dimension, rounded up."""
 
+    def __init__(self, data: np.ndarray, kind, order: np.ndarray):
+        self.data = data[order].astype(kind)
+        tail = np.cumsum((self.data.astype(np.float64) ** 2)[::-1], 0)[::-1]
+        self.rest = np.sqrt(np.vstack([tail, np.zeros((1, data.shape[1]))])) * (1 + 1e-6)
 
-def search_block(q_ids, queries, c_ids, cands, best: BestRows, q_at: int, step: int = STEP) -> None:
-    """One pass of branch and bound; ``queries`` and ``cands`` are vertical (dims, n), ``q_at`` is the first query's place."""
-    dims, nq = queries.shape
-    top = [float(np.abs(m).max(initial=0)) for m in (queries, cands)]
-    kind = _kind(dims * top[0] * top[1])
+
+def search_block(q_ids, queries, c_ids, cands, best: BestRows, q_at: int, step: int = STEP, trace: list | None = None) -> None:
+    """Branch and bound for one block of queries and one of candidates, both vertical (dims, n); ``q_at`` is the first query's place.
+
+    ``trace`` takes the number of pairs that each step carried on.
+    """
+    dims = len(queries)
+    kind = _kind(dims * _top(queries) * _top(cands))
     # Dimensions that carry most come first, so bounds close early.
     order = np.argsort(-(cands.astype(np.float64) ** 2).sum(1), kind="stable")
-    c, qm = cands[order].astype(kind), queries[order].astype(kind)
-    wide = np.result_type(kind, np.float32)
-
-    def rest(m):
-        """Norms of what follows each step, rounded up."""
-        tail = np.cumsum((m.astype(np.float64) ** 2)[::-1], 0)[::-1]
-        return np.sqrt(np.vstack([tail, np.zeros((1, m.shape[1]))])) * (1 + 1e-6)
-
-    c_rest, q_rest = rest(c), rest(qm)
-    cut = best.threshold[q_at : q_at + nq]
-    done = min(step, dims)
-    partial = qm[:done].T @ c[:done]
-    bound = partial + q_rest[done][:, None].astype(wide) * c_rest[done][None, :].astype(wide) + 1
-    alive = (bound >= cut[:, None].astype(wide)) & (q_ids[:, None] != c_ids[None, :])
-    if alive.mean() > 0.2:  # bounds prune too little: finish in vertical layout, then compact
-        partial += qm[done:].T @ c[done:]
-        alive &= partial >= cut[:, None].astype(wide)
-        done = dims
-        if not np.isfinite(cut).all() and partial.shape[1] > best.k:  # no threshold yet: keep what can be among the k best
-            alive &= partial >= np.partition(np.where(alive, partial, -np.inf), -best.k, axis=1)[:, -best.k][:, None]
-    q, k = np.nonzero(alive)
-    score = partial[q, k]
-    while done < dims and len(q):
+    c, every = Vertical(cands, kind, order), Vertical(queries, kind, order)
+    for at in range(0, len(q_ids), TOGETHER):
+        q = np.arange(at, min(at + TOGETHER, len(q_ids)))
+        _search_group(q, q_ids, every, c_ids, c, best, q_at, step, trace)
+
+
+def _search_group(rows, q_ids, queries: Vertical, c_ids, cands: Vertical, best: BestRows, q_at: int, step: int, trace) -> None:
+    dims = len(cands.data)
+    cut = best.threshold[q_at + rows]
+    columns = np.arange(len(c_ids))
+    q, c, partial, done = queries.data[:, rows], cands.data, None, 0
+    wide = np.result_type(c.dtype, np.float32)
+    alive = q_ids[rows][:, None] != c_ids[None, :]
+    while done < dims or partial is None:
         to = min(done + step, dims)
-        score = score + np.einsum("dn,dn->n", qm[done:to][:, q], c[done:to][:, k])
+        gain = q[done:to].T @ c[done:to]
+        partial = gain if partial is None else partial + gain
+        if trace is not None:
+            trace.append((to, int(partial.size)))
         done = to
-        stay = score + (q_rest[done][q] * c_rest[done][k]) + 1 >= cut[q]
-        q, k, score = q[stay], k[stay], score[stay]
-    best.add(q + q_at, np.asarray(score).astype(np.int64), c_ids[k])
+        if done == dims and np.isfinite(cut).all():
+            alive &= partial >= cut[:, None]
+            break
+        if done == dims:  # no threshold yet: keep what can be among the k best
+            if partial.shape[1] > best.k:
+                scores = np.where(alive, partial.astype(np.float64), -np.inf)
+                alive &= scores >= np.partition(scores, -best.k, axis=1)[:, -best.k][:, None]
+            alive &= partial >= cut[:, None]
+            break
+        bound = queries.rest[done][rows].astype(wide)[:, None] * cands.rest[done][columns].astype(wide)[None, :]
+        bound += partial
+        alive &= bound + 1 >= cut[:, None].astype(wide)
+        # Compact: candidates that no query needs, then queries that need none.
+        stay = alive.any(0)
+        if not stay.all():
+            columns, c, partial, alive = columns[stay], c[:, stay], partial[:, stay], alive[:, stay]
+        stay = alive.any(1)
+        if not stay.all():
+            rows, cut, q, partial, alive = rows[stay], cut[stay], q[:, stay], partial[stay], alive[stay]
+        if not len(rows):
+            return
+        if np.count_nonzero(alive) <= FEW * alive.size:
+            break
+    i, j = np.nonzero(alive)
+    score = partial[i, j]
+    while done < dims and len(i):  # pair by pair
+        to = min(done + step, dims)
+        score = score + np.einsum("dn,dn->n", q[done:to][:, i], c[done:to][:, j])
+        if trace is not None:
+            trace.append((to, len(i)))
+        done = to
+        stay = score + queries.rest[done][rows[i]] * cands.rest[done][columns[j]] + 1 >= cut[i]
+        i, j, score = i[stay], j[stay], score[stay]
+    stay = score >= cut[i]
+    best.add(rows[i[stay]] + q_at, np.asarray(score[stay]).astype(np.int64), c_ids[columns[j[stay]]])
+
+
+def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int):
+    """(query block, its ids, the best rows) for each query block, against all candidate blocks."""
+    right = right.sort_values("block")
+    for q in left.sort_values("block").itertuples():
+        dims = max(int(q.dims), int(right["dims"].max()) if len(right) else 0)
+        q_ids, queries = _load(q, dims)
+        seed = BestRows(len(q_ids), k, np.frombuffer(q.cut, np.float64) if q.cut is not None else None)
+        loaded = [_load(c, dims) for c in right.itertuples()]
+        for c_ids, cands in loaded:
+            few = -(-len(c_ids) // LOCAL_SEED)
+            search_block(q_ids, queries, c_ids[:few], cands[:, :few], seed, 0)
+        best = BestRows(len(q_ids), k, seed.threshold)
+        for c_ids, cands in loaded:
+            search_block(q_ids, queries, c_ids, cands, best, 0)
+        yield q, q_ids, best
 
 
 def _search(k: int):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        right = right.sort_values("block")
-        for q in left.itertuples():
-            dims = max(int(q.dims), int(right["dims"].max()) if len(right) else 0)
-            q_ids, queries = _load(q, dims)
-            best = BestRows(len(q_ids), k)
-            for c in right.itertuples():
-                c_ids, cands = _load(c, dims)
-                for at in range(0, len(q_ids), 256):
-                    search_block(q_ids[at : at + 256], queries[:, at : at + 256], c_ids, cands, best, at)
-            out.append(pd.DataFrame({"query_id": q_ids[best.q], "vec_id": best.id, "score": best.score}))
+        out = [pd.DataFrame({"query_id": ids[best.q], "vec_id": best.id, "score": best.score}) for _, ids, best in _searched(left, right, k)]
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     return run
 
 
+def _seed(k: int):
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = [(q.block, best.threshold.tobytes()) for q, _, best in _searched(left, right, k)]
+        return pd.DataFrame(found, columns=["block", "cut"])
+
+    return run
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """Both sides (id long, vector array<long>); returns query_id, rank, vec_id, score."""
     spark = candidates.sparkSession
@@ -168,11 +242,18 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = materialize(queries.mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "asked")
     n = blocks.count()
     slots = max(-(-n // SLOT_BLOCKS), min(n, spark.sparkContext.defaultParallelism), 1)
-    groups = max(1, asked.count() // 2)
+    groups = max(1, -(-asked.count() // GROUP_BLOCKS))
+    asked = asked.withColumn("q_key", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     # Each side is repeated for the groups of the other: whole blocks move, rows of pairs never do.
-    left = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1)))).withColumn("q_key", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    right = blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).withColumn("q_key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = left.groupBy("q_key", "slot").cogroup(right.groupBy("q_key", "slot")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).withColumn("q_key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    if n > SEED:  # with fewer blocks, what each task seeds from its own is enough
+        first = dealt.where(F.pmod(F.xxhash64("block", F.lit(1)), F.lit(SEED)) == 0).groupBy("q_key")
+        seeds = asked.withColumn("cut", F.lit(None).cast("binary")).groupBy("q_key").cogroup(first).applyInPandas(_seed(k), "block long, cut binary")
+        asked = materialize(asked.join(seeds, "block", "left"), "seeded")
+    else:
+        asked = asked.withColumn("cut", F.lit(None).cast("binary"))
+    left = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    found = left.groupBy("q_key", "slot").cogroup(dealt.groupBy("q_key", "slot")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

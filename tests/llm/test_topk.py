@@ -45,13 +45,49 @@ def test_sums_of_every_width(spark, scale):
     assert run(spark, rows, 5) == plain(rows, 5)
 
 
+def test_seeds_over_many_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 4), ("SEED", 3), ("GROUP_BLOCKS", 2), ("SLOT_BLOCKS", 4), ("TOGETHER", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(k // 2, [float(np.float32(x)) for x in rng.normal(0, 0.2, 12)]) for k in range(600)]
+    rows = [(k, v) for k, (_, v) in enumerate(rows)]
+    assert run(spark, rows, 4) == plain(rows, 4)
+
+
+def exact(q, c, k):
+    full = q.T.astype(np.int64) @ c
+    return [sorted(row.tolist())[::-1][:k] for row in full]
+
+
 def test_bounds_prune_and_lose_nothing():
+    """Vectors around centres: once thresholds are known, pairs fall away step by step and few are left at the end."""
     rng = np.random.default_rng(3)
+    centres = rng.normal(0, 30, (40, 32)) * np.linspace(2, 0.1, 32)
+    c = np.clip(centres[rng.integers(0, 40, 6000)] + rng.normal(0, 3, (6000, 32)), -127, 127).astype(np.int8).T
+    q = c[:, :50]
+    best, trace = topk.BestRows(50, 5), []
+    topk.search_block(np.arange(-50, 0), q, np.arange(1000), c[:, :1000], best, 0, 8)
+    topk.search_block(np.arange(-50, 0), q, np.arange(1000, 6000), c[:, 1000:], best, 0, 8, trace)
+    want = exact(q, c, 5)
+    assert all(best.score[best.q == k].tolist() == want[k] for k in range(50))
+    carried = [sum(n for to, n in trace if to == step) for step in (8, 16, 24, 32)]
+    assert carried[0] == 50 * 5000 and carried == sorted(carried, reverse=True) and carried[-1] < 0.05 * carried[0]
+
+
+def test_no_step_is_skipped():
+    """Where bounds prune little, pairs still go through every step with what the bounds leave."""
+    rng = np.random.default_rng(4)
     q, c = rng.integers(-40, 40, (32, 10)), rng.integers(-3, 4, (32, 3000))
     c[:, ::50] *= 12
-    best = topk.BestRows(10, 5)
+    best, trace = topk.BestRows(10, 5), []
     for at in (0, 1500):
-        topk.search_block(np.arange(-10, 0), q, np.arange(at, at + 1500), c[:, at : at + 1500], best, 0, 8)
-    full = q.T @ c
-    for k in range(10):
-        assert best.score[best.q == k].tolist() == sorted(full[k].tolist())[::-1][:5]
+        topk.search_block(np.arange(-10, 0), q, np.arange(at, at + 1500), c[:, at : at + 1500], best, 0, 8, trace)
+    want = exact(q, c, 5)
+    assert all(best.score[best.q == k].tolist() == want[k] for k in range(10))
+    second = trace[4:]
+    assert [to for to, _ in second] == [8, 16, 24, 32] and second[0][1] == 15000 and second[-1][1] < 1000
+
+
+def test_narrow_blocks():
+    for top, width in ((127, 1), (128, 2), (-128, 1), (40_000, 4), (2**40, 8)):
+        assert topk._narrow(np.array([[0, top]])).itemsize == width
