@@ -11,8 +11,9 @@ carried on, one by one; the last step leaves exact scores.
 
 Thresholds are known before the search: the k-th best score among some
 candidates is one that no answer can fall below.  A first pass takes one block
-of each SEED, and each task one row of LOCAL_SEED of its own blocks.  In the
-second pass every block of queries meets every block of candidates once: pairs of blocks are joined by (query group, slot),
+of each SEED, and within a task what was compared raises the thresholds for
+what follows.  In the second pass every block of queries meets every block of
+candidates once: pairs of blocks are joined by (query group, slot),
 so a task holds bounded numbers of both, and gives at most k rows a query.
 
 Defined cases: a vector that is null or holds a null or a non-finite component
@@ -36,10 +37,10 @@ from .shared import materialize, table
 BLOCK_ROWS, QUERY_ROWS, STEP = 8192, 2048, 8
 #: Candidate blocks and query blocks that a task holds at once.
 SLOT_BLOCKS, GROUP_BLOCKS = 8, 16
-#: One block of so many is searched first, for thresholds, and of each task's blocks one row of so many.
-SEED, LOCAL_SEED = 32, 16
-#: Queries that are compared at once, and the share of pairs from which on they are carried one by one.
-TOGETHER, FEW = 64, 0.1
+#: One block of so many is searched first, for thresholds.
+SEED = 32
+#: Queries and candidates that are compared at once, and the share of pairs from which on they are carried one by one.
+TOGETHER, FEW = (128, 1024), 0.25
 _BLOCK = "block long, n int, dims int, width int, ids binary, data binary"
 
 
@@ -145,10 +146,12 @@ def search_block(q_ids, queries, c_ids, cands, best: BestRows, q_at: int, step:
     kind = _kind(dims * _top(queries) * _top(cands))
     # Dimensions that carry most come first, so bounds close early.
     order = np.argsort(-(cands.astype(np.float64) ** 2).sum(1), kind="stable")
-    c, every = Vertical(cands, kind, order), Vertical(queries, kind, order)
-    for at in range(0, len(q_ids), TOGETHER):
-        q = np.arange(at, min(at + TOGETHER, len(q_ids)))
-        _search_group(q, q_ids, every, c_ids, c, best, q_at, step, trace)
+    every = Vertical(queries, kind, order)
+    for first in range(0, len(c_ids), TOGETHER[1]):
+        some = slice(first, first + TOGETHER[1])
+        c = Vertical(cands[:, some], kind, order)
+        for at in range(0, len(q_ids), TOGETHER[0]):
+            _search_group(np.arange(at, min(at + TOGETHER[0], len(q_ids))), q_ids, every, c_ids[some], c, best, q_at, step, trace)
 
 
 def _search_group(rows, q_ids, queries: Vertical, c_ids, cands: Vertical, best: BestRows, q_at: int, step: int, trace) -> None:
@@ -208,13 +211,9 @@ def _searched(left: pd.DataFrame, right: pd.DataFrame, k: int):
     for q in left.sort_values("block").itertuples():
         dims = max(int(q.dims), int(right["dims"].max()) if len(right) else 0)
         q_ids, queries = _load(q, dims)
-        seed = BestRows(len(q_ids), k, np.frombuffer(q.cut, np.float64) if q.cut is not None else None)
-        loaded = [_load(c, dims) for c in right.itertuples()]
-        for c_ids, cands in loaded:
-            few = -(-len(c_ids) // LOCAL_SEED)
-            search_block(q_ids, queries, c_ids[:few], cands[:, :few], seed, 0)
-        best = BestRows(len(q_ids), k, seed.threshold)
-        for c_ids, cands in loaded:
+        best = BestRows(len(q_ids), k, np.frombuffer(q.cut, np.float64) if q.cut is not None else None)
+        for c in right.itertuples():
+            c_ids, cands = _load(c, dims)
             search_block(q_ids, queries, c_ids, cands, best, 0)
         yield q, q_ids, best
 
@@ -246,7 +245,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     asked = asked.withColumn("q_key", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     # Each side is repeated for the groups of the other: whole blocks move, rows of pairs never do.
     dealt = blocks.withColumn("slot", F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int")).withColumn("q_key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    if n > SEED:  # with fewer blocks, what each task seeds from its own is enough
+    if n > SEED:  # with fewer blocks, what each task finds by itself is enough
         first = dealt.where(F.pmod(F.xxhash64("block", F.lit(1)), F.lit(SEED)) == 0).groupBy("q_key")
         seeds = asked.withColumn("cut", F.lit(None).cast("binary")).groupBy("q_key").cogroup(first).applyInPandas(_seed(k), "block long, cut binary")
         asked = materialize(asked.join(seeds, "block", "left"), "seeded")

@@ -46,7 +46,7 @@ def test_sums_of_every_width(spark, scale):
 
 
 def test_seeds_over_many_blocks(spark, monkeypatch):
-    for name, value in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 4), ("SEED", 3), ("GROUP_BLOCKS", 2), ("SLOT_BLOCKS", 4), ("TOGETHER", 3)):
+    for name, value in (("BLOCK_ROWS", 16), ("QUERY_ROWS", 4), ("SEED", 3), ("GROUP_BLOCKS", 2), ("SLOT_BLOCKS", 4), ("TOGETHER", (3, 7))):
         monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(5)
     rows = [(k // 2, [float(np.float32(x)) for x in rng.normal(0, 0.2, 12)]) for k in range(600)]
@@ -84,8 +84,8 @@ def test_no_step_is_skipped():
         topk.search_block(np.arange(-10, 0), q, np.arange(at, at + 1500), c[:, at : at + 1500], best, 0, 8, trace)
     want = exact(q, c, 5)
     assert all(best.score[best.q == k].tolist() == want[k] for k in range(10))
-    second = trace[4:]
-    assert [to for to, _ in second] == [8, 16, 24, 32] and second[0][1] == 15000 and second[-1][1] < 1000
+    second = trace[-4:]
+    assert [to for to, _ in second] == [8, 16, 24, 32] and second[0][1] == 10 * (1500 - 1024) and second[-1][1] < second[0][1] / 3
 
 
 def test_narrow_blocks():
