@@ -1,38 +1,41 @@
-"""N-gram Jaccard join: banded MinHash LSH, then exact verification.
+"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
 1. Every text becomes its set of hashed runs of five words (all words of a
    shorter text).  Texts with equal sets are copies: one stands for all.
-2. Signatures are cut into ``trees`` bands, and texts that share the first
-   minima of a band share a bucket.  How many is one number for all data: the
-   longest prefix, up to ``depth``, at which the chance that a pair at the
-   threshold shares a bucket reaches the target recall.  This fixed banding
-   replaces an LSH forest (sorted prefix tries, prefixes shortened by data):
-   as a fixed threshold is asked for, and not the nearest texts, the length
-   follows from the threshold, and buckets need one equality exchange.
-3. Within a prefix bucket, the smallest text that no other covers is compared
-   with all of the bucket by whole signatures.  It covers what is at least
-   COVER similar, and is joined to all that can link to what it covers: as
-   Jaccard distance is a metric, that is no further away than the furthest
-   covered text and the threshold together.  So two texts within the threshold
-   meet in a group, and a bucket of near copies costs a pass for each cover,
-   not all pairs.
+2. A signature is a path of ``depth`` minima in each of ``trees`` prefix tries.
+   Texts that share a prefix are below one node.  Nodes are visited from the
+   full depth upwards: after each level, how often pairs of each similarity
+   met tells how many there are (a pair of similarity s meets in
+   trees * s**length nodes on average) and so what share of them has been
+   found; prefixes are shortened by one until that share reaches the target,
+   or until even pairs at the threshold alone would reach it.  One unseen pair
+   at the threshold is always supposed, so small tables are searched down to
+   that end.  A node with one child has no new pair and is not visited again.
+3. Below a node, the smallest text that no other covers is compared with all
+   others by whole signatures.  It covers what is at least COVER similar, and
+   is joined to all that can link to what it covers: as Jaccard distance is a
+   metric, that is no further away than the furthest covered text and the
+   threshold together.  So two texts within the threshold meet in a group, and
+   a node of near copies costs a pass for each cover, not all pairs.
 4. The components of these joins are the groups in which all pairs are
    verified exactly, by intersection counts from matrix products over the
    common n-grams; a large group is cut into cells of bounded size (pairs of
-   chunks).  A link is counted once; what leaves a cell is a row for each
-   text: how many links it has there and the smallest text it hangs together
-   with, never the pairs.
-
-Defined cases: null and empty texts and those of white space have no n-gram,
-are copies of each other and link to nothing else; rows that repeat a doc_id
-belong to one document (of different texts with one id one stands for it); a row with a null id has a null class if all its copies
-have null ids; an empty table gives an empty result.  Other columns are ignored.
+   chunks, bounded in texts and in n-grams).  A link is counted once; what
+   leaves a cell is a row for each text: how many links it has there and the
+   smallest text it hangs together with, never the pairs.
+
+Texts have numbers of their own, so rows that share an id do not mix.  Defined
+cases: null and empty texts and those of white space have no n-gram, are
+copies of each other and link to nothing else; rows that repeat a doc_id are
+rows of their own; a class whose rows all have null ids has a null class_id;
+an empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,18 +49,34 @@ TREES, DEPTH, TARGET_RECALL = 20, 6, 0.9999
 #: Estimated similarity from which a text covers another, and the room left for errors
 #: of two estimates (120 values: a standard error of 0.046 at most each).
 COVER, SLACK = 0.7, 0.12
-#: Rows of a bucket or group that a task compares with each other.
-CHUNK = 8192
+#: Texts below a node or of a group, and n-grams of a group, that are compared with each other in one cell.
+CHUNK, CHUNK_GRAMS = 1024, 4 << 20
+#: Parts over which the rows of a text that comes more than once are dealt.
+SALTS = 32
 #: An n-gram in fewer texts of a cell is counted pair by pair, others by matrix products.
 DENSE = 16
 
 
-def prefix_length(trees: int, depth: int, threshold: float, target: float) -> int:
-    """The longest prefix, shortened from ``depth``, at which a pair at the threshold is found with the target chance."""
-    length = depth
-    while length > 1 and 1 - (1 - threshold**length) ** trees < target:
-        length -= 1
-    return length
+def chance(similarity, trees: int, length: int):
+    """The chance that a pair meets in some trie below a node of this depth."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def shortest_prefix(trees: int, depth: int, threshold: float, target: float) -> int:
+    """The length at which pairs at the threshold alone would reach the target: no prefix need be shorter."""
+    return next((n for n in range(depth, 1, -1) if chance(threshold, trees, n) >= target), 1)
+
+
+def estimated_recall(met: dict[int, np.ndarray], trees: int, length: int, threshold: float) -> float:
+    """The share of pairs found with prefixes of ``length`` or more, from how often pairs of each similarity met at each length.
+
+    ``met[n][k]``: meetings at length n of pairs whose signatures agree in k of len(met[n]) - 1 places.
+    """
+    pairs = np.zeros(1)
+    for n, times in met.items():
+        similarity = np.maximum(np.arange(len(times)) / (len(times) - 1), threshold)
+        pairs = np.maximum(pairs, times / (trees * similarity**n))
+    return float(((pairs * chance(similarity, trees, length)).sum() + chance(threshold, trees, length)) / (pairs.sum() + 1))
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,12 +90,14 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep], np.searchsorted(doc[keep], np.arange(len(first)))
 
 
-def _signatures(width: int, trees: int, depth: int, length: int):
+def _signatures(width: int, trees: int, depth: int):
+    """Rows (row, doc_id, d1, d2, n, signature, text): the digest of a text's n-grams, their number, and its paths in all tries."""
     rng = np.random.default_rng(7)
     masks, factors = rng.integers(0, 1 << 63, (2, trees * depth), dtype=np.uint64)
     factors |= np.uint64(1)
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 33 if TaskContext.get() else 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 grams, first = shingle_sets(part.column("text"), width)
@@ -84,33 +105,30 @@ def _signatures(width: int, trees: int, depth: int, length: int):
                 has = np.flatnonzero(n)
                 at = first[:-1][has]
                 digest = np.zeros((2, len(n)), np.uint64)
-                keys = np.zeros((len(has), trees), np.uint64)
-                signature = np.zeros((len(has), trees * depth), np.uint16)
+                signature = np.zeros((len(has), trees * depth), ">u2")
                 if len(has):
                     for k, salt in enumerate((0x51ED270B0B0B0B0B, 0x7A3D1C9E5F8B2467)):
                         digest[k, has] = np.add.reduceat(mix(grams ^ np.uint64(salt)), at)
-                    for tree in range(trees):
-                        key = np.full(len(has), tree + 1, np.uint64)
-                        for level in range(depth):
-                            j = tree * depth + level
-                            low = mix(np.minimum.reduceat((grams ^ masks[j]) * factors[j], at))
-                            signature[:, j] = low & np.uint64(0xFFFF)
-                            if level < length:
-                                key = mix(key ^ low)
-                        keys[:, tree] = key
-                flat = pa.array(keys.ravel().view(np.int64))
-                ends = np.zeros(len(n) + 1, np.int32)
-                ends[1:] = np.cumsum(np.where(n > 0, trees, 0))
+                    for j in range(trees * depth):
+                        signature[:, j] = mix(np.minimum.reduceat((grams ^ masks[j]) * factors[j], at)) & np.uint64(0xFFFF)
                 bits = np.full(len(n), None, object)
                 bits[has] = [s.tobytes() for s in signature]
+                rows = part.column("row") if "row" in part.schema.names else pa.array(np.arange(number, number + len(n)))
+                number += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(bits, pa.binary())],
-                    ["doc_id", "d1", "d2", "n", "keys", "signature"],
+                    [rows, part.column("doc_id"), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(n), pa.array(bits, pa.binary()), part.column("text")],
+                    ["row", "doc_id", "d1", "d2", "n", "signature", "text"],
                 )
 
     return run
 
 
+def _nodes(firsts: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
+    """(key, child, doc): the node of each text at depth ``length`` of each trie, and its child above the text."""
+    paths = f"transform(sequence(0, {trees - 1}), t -> struct(xxhash64(t, substring(signature, t * {2 * depth} + 1, {2 * length})) AS key, xxhash64(t, substring(signature, t * {2 * depth} + 1, {2 * length + 2})) AS child))"
+    return firsts.select("doc", F.explode(F.expr(paths)).alias("at")).select("at.key", "at.child", "doc")
+
+
 def _whole_groups(batches, key: list[str]):
     """Record batches of sorted rows, cut so that no group of equal keys is spread over two."""
     held = []
@@ -138,11 +156,14 @@ def _matrix(column: pa.Array, dtype) -> np.ndarray:
     return np.array([np.frombuffer(b, dtype) for b in column.to_pylist()])
 
 
-def cover_edges(group: np.ndarray, docs: np.ndarray, signatures: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(u, v, covers, limits) for rows sorted by group and doc: edges from covers to texts near them, the places of the covers, and how similar near is for each."""
+def cover_edges(group: np.ndarray, docs: np.ndarray, signatures: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, covers, limits, met) for rows sorted by group and doc: edges from covers to texts near them, the places of the covers, how similar near is for each, and how many pairs of each similarity (places that agree) met."""
     place = np.arange(len(docs))
     is_open = np.ones(len(docs), bool)
     us, vs, covers, limits = [], [], [], []
+    places = signatures.shape[1] if len(signatures) else 1
+    met = np.zeros(places + 1, np.int64)
+    least = (threshold - SLACK / 2) * places
     while len(place):
         change = np.r_[True, group[place][1:] != group[place][:-1]]
         starts, of = np.flatnonzero(change), np.cumsum(change) - 1
@@ -153,13 +174,15 @@ def cover_edges(group: np.ndarray, docs: np.ndarray, signatures: np.ndarray, thr
         limit = np.minimum.reduceat(np.where(same >= COVER, same, 1.0), starts) - (1 - threshold) - SLACK
         limits.append(limit)
         near = (same >= limit[of]) & (docs[lead] != docs[place])
+        agree = np.rint(same[docs[lead] != docs[place]] * places).astype(int)
+        met += np.bincount(agree[agree >= least], minlength=places + 1)
         us.append(docs[lead[near]])
         vs.append(docs[place[near]])
         is_open[place[same >= COVER]] = False
         is_open[first] = False
         place = place[np.logical_or.reduceat(is_open[place], starts)[of]]
     empty = [np.zeros(0, np.int64)]
-    return np.concatenate(us or empty), np.concatenate(vs or empty), np.concatenate(covers or empty), np.concatenate(limits or empty)
+    return np.concatenate(us or empty), np.concatenate(vs or empty), np.concatenate(covers or empty), np.concatenate(limits or empty), met
 
 
 def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +202,8 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[far]], nodes[far]
 
 
-def verify_cell(side: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of each text of a cell: all pairs of side 0 with each other, or those between sides 0 and 1.
+def verify_cell(side: np.ndarray, sets: list[np.ndarray], threshold: float, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each text of a cell: all pairs of side 0 with each other, or (two) those between sides 0 and 1.
 
     ``links`` counts partners of similarity ``threshold`` or more, ``root`` is
     the place of the smallest text that it hangs together with in this cell.
@@ -213,7 +236,6 @@ def verify_cell(side: np.ndarray, sets: list[np.ndarray], threshold: float) -> t
         pair_i, pair_j, pair_n = np.r_[pair_i, pair_j], np.r_[pair_j, pair_i], np.r_[pair_n, pair_n]
         order = np.argsort(pair_i, kind="stable")
         pair_i, pair_j, pair_n = pair_i[order], pair_j[order], pair_n[order]
-    two = bool(side.any())
     links, root = np.zeros(n, np.int64), np.arange(n)
     left = np.flatnonzero(side == 0)
     factor = threshold / (1 + threshold)
@@ -251,25 +273,28 @@ def verify_cell(side: np.ndarray, sets: list[np.ndarray], threshold: float) -> t
     return links, root
 
 
-_EDGES = "key long, u long, v long, near double"
+EDGE, LEAD, MET = 0, 1, 2  # kinds of rows: an edge (u, v); a node's cover u with its limit; v pairs agreed in u places
+_EDGES = "kind int, key long, u long, v long, near double"
 
 
-def _edge_batch(key, u, v, near=None) -> pa.RecordBatch:
+def _edge_batch(kind, key, u, v, near=None) -> pa.RecordBatch:
     near = np.zeros(len(u)) if near is None else near
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, u, v)), pa.array(near, pa.float64())], ["key", "u", "v", "near"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind), pa.int32()), *(pa.array(c, pa.int64()) for c in (key, u, v)), pa.array(near, pa.float64())], ["kind", "key", "u", "v", "near"])
 
 
 def _covers(threshold: float):
-    """Edges (0, u, v) that hang together what is near, no more than there are texts; in buckets of several chunks also (key, cover, cover, its limit)."""
+    """Edges that hang together what is near, no more than there are texts; below nodes of several chunks also the covers; how often pairs met."""
 
     def run(batches):
         for batch in _whole_groups(batches, ["key", "chunk"]):
             key, chunk, chunks, docs = (batch.column(c).to_numpy() for c in ("key", "chunk", "chunks", "doc"))
-            u, v, covers, limits = cover_edges(key.view(np.uint64) + chunk.astype(np.uint64), docs, _matrix(batch.column("signature"), np.uint16), threshold)
+            u, v, covers, limits, met = cover_edges(key.view(np.uint64) + chunk.astype(np.uint64), docs, _matrix(batch.column("signature"), np.uint16), threshold)
             u, v = spanning(u, v)
-            yield _edge_batch(np.zeros(len(u)), u, v)
+            yield _edge_batch(EDGE, np.zeros(len(u)), u, v)
             many = chunks[covers] > 1
-            yield _edge_batch(key[covers[many]], docs[covers[many]], docs[covers[many]], limits[many])
+            yield _edge_batch(LEAD, key[covers[many]], docs[covers[many]], docs[covers[many]], limits[many])
+            agree = np.flatnonzero(met)
+            yield _edge_batch(MET, np.zeros(len(agree)), agree, met[agree])
 
     return run
 
@@ -288,7 +313,7 @@ def _across(batches):
                 found.append((np.full(len(near), docs[k]), docs[near]))
             if found:
                 u, v = spanning(*(np.concatenate(c) for c in zip(*found)))
-                yield _edge_batch(np.zeros(len(u)), u, v)
+                yield _edge_batch(EDGE, np.zeros(len(u)), u, v)
 
 
 def _sets(width: int):
@@ -309,59 +334,103 @@ def _verify(threshold: float):
             new = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])])
             out = [[], [], [], []]
             for a, b in zip(new, np.r_[new[1:], len(docs)]):
-                own, at = np.unique(docs[a:b], return_index=True)  # repeated rows of a document count once
-                at += a
-                links, root = verify_cell(side[at], [np.frombuffer(grams[i], np.uint64) for i in at], threshold)
-                for c, v in zip(out, (label[at], own, own[root], links)):
+                own = docs[a:b]  # in ascending order
+                links, root = verify_cell(side[a:b], [np.frombuffer(g, np.uint64) for g in grams[a:b]], threshold, bool(c1[a] != c2[a]))
+                for c, v in zip(out, (label[a:b], own, own[root], links)):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["label", "doc", "root", "links"])
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TREES, depth=DEPTH, target=TARGET_RECALL, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, copy_id, n_copies.
+def _chunked(table: DataFrame) -> DataFrame:
+    """With the chunk of each row (doc, chunks)."""
+    return table.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
 
-    copy_id is the smallest doc_id with the same n-grams and n_copies how many
-    rows have them; class_id is the smallest doc_id that links lead to and
-    n_links the number of different texts linked.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    length = prefix_length(trees, depth, threshold, target)
-    signed = materialize(rows.mapInArrow(tidy(_signatures(width, trees, depth, length)), "doc_id long, d1 long, d2 long, n long, keys array<long>, signature binary"), "signatures")
-    copies = materialize(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies")), "copies")
-    heads = copies.where("copy_id is not null").select(F.col("copy_id").alias("doc_id"), "d1", "d2")
-    # One row for each different text.
-    firsts = signed.where("n > 0").join(heads, ["doc_id", "d1", "d2"], "left_semi").select(F.col("doc_id").alias("doc"), "keys", "signature")
-    firsts = materialize(firsts, "firsts")
-    placed = firsts.select("doc", F.explode("keys").alias("key"))
-    shared = materialize(placed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "shared")
-    buckets = placed.join(shared, "key").withColumn("chunks", F.expr(f"cast((size + {CHUNK - 1}) div {CHUNK} as int)"))
-    buckets = buckets.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int")).select("key", "chunk", "chunks", "doc")
+
+def _near(firsts: DataFrame, trees: int, depth: int, length: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
+    """Edges between texts that are near below nodes of one depth, and how many pairs of each similarity met there."""
+    nodes = _nodes(firsts, trees, depth, length)
+    shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("child").alias("least"), F.max("child").alias("most")).where("size > 1")
+    if length < depth:  # a node with one child has been seen below
+        shared = shared.where("least <> most")
+    shared = materialize(shared.select("key", "size", F.expr(f"cast((size + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks")), "shared")
+    below = _chunked(nodes.select("key", "doc").join(shared, "key")).select("key", "chunk", "chunks", "doc")
     signatures = firsts.select("doc", "signature")
-    ordered = buckets.join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "doc")
-    near = materialize(ordered.mapInArrow(tidy(_covers(threshold)), _EDGES), "near")
-    edges = near.where("u <> v").select("u", "v")
-    if not shared.where(F.col("size") > CHUNK).isEmpty():
-        large = shared.where(F.col("size") > CHUNK).select("key", F.expr(f"cast((size + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks"))
-        leads = near.where("u = v").join(large, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("u").alias("doc"), F.lit(1).alias("lead"), "near")
-        others = buckets.where("chunks > 1").select("key", "chunk", "doc", F.lit(0).alias("lead"), F.lit(0.0).alias("near"))
+    ordered = below.join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "doc")
+    found = materialize(ordered.mapInArrow(tidy(_covers(threshold)), _EDGES), "near")
+    met = np.zeros(trees * depth + 1)
+    for r in found.where(F.col("kind") == MET).groupBy("u").agg(F.sum("v").alias("v")).collect():  # a row for each number of places
+        met[r.u] = r.v
+    edges = found.where(F.col("kind") == EDGE).select("u", "v")
+    if not shared.where("chunks > 1").isEmpty():
+        large = shared.where("chunks > 1").select("key", "chunks")
+        leads = found.where(F.col("kind") == LEAD).join(large, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("u").alias("doc"), F.lit(1).alias("lead"), "near")
+        others = below.where("chunks > 1").select("key", "chunk", "doc", F.lit(0).alias("lead"), F.lit(0.0).alias("near"))
         both = leads.unionByName(others).join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "lead", "doc")
         edges = edges.unionByName(both.mapInArrow(tidy(_across), _EDGES).select("u", "v"))
+    return edges, met
+
+
+def candidate_edges(firsts: DataFrame, trees: int, depth: int, threshold: float, target: float) -> tuple[DataFrame, int]:
+    """Edges from the forest's nodes, and the length to which prefixes were shortened, for different texts (doc, signature)."""
+    last = shortest_prefix(trees, depth, threshold, target)
+    edges, met = None, {}
+    for length in range(depth, 0, -1):
+        level, met[length] = _near(firsts, trees, depth, length, threshold)
+        edges = level if edges is None else edges.unionByName(level)
+        if length <= last or estimated_recall(met, trees, length, threshold) >= target:
+            return edges, length
+
+
+def _classes(rows: DataFrame, threshold, width, trees, depth, target) -> DataFrame:
+    """For rows (doc_id, text, perhaps row): row, doc_id, class (a text's number), class_id, n_links, copy_id, n_copies."""
+    kinds = "row long, doc_id long, d1 long, d2 long, n long, signature binary, text string"
+    signed = materialize(rows.mapInArrow(tidy(_signatures(width, trees, depth)), kinds), "signatures")
+    copies = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.min("row").alias("doc"))
+    copies = materialize(copies, "copies")
+    # One row for each different text.
+    firsts = signed.where("n > 0").join(copies.select(F.col("doc").alias("row")), "row", "left_semi").select(F.col("row").alias("doc"), "n", "signature")
+    firsts = materialize(firsts, "firsts")
+    edges, _ = candidate_edges(firsts, trees, depth, threshold, target)
     groups = components(edges).select(F.col("node").alias("doc"), "label")
-    sizes = groups.groupBy("label").agg(F.expr(f"cast((count(1) + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks"))
+    sizes = groups.join(firsts.select("doc", "n"), "doc").groupBy("label").agg(F.expr(f"cast(greatest((count(1) + {CHUNK - 1}) div {CHUNK}, (sum(n) + {CHUNK_GRAMS - 1}) div {CHUNK_GRAMS}) as int)").alias("chunks"))
     # Always a sort-merge join: group members grow with the input, and so must not be broadcast at any size.
-    members = rows.join(groups.hint("merge"), rows["doc_id"] == groups["doc"]).select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
-    cells = members.join(sizes, "label").withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = signed.select(F.col("row").alias("doc"), "text").join(groups.hint("merge"), "doc").select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
+    cells = _chunked(members.join(sizes, "label")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("label", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc", "grams")
     checked = cells.repartition("label", "c1", "c2").sortWithinPartitions("label", "c1", "c2", "doc").mapInArrow(tidy(_verify(threshold)), "label long, doc long, root long, links long")
     checked = materialize(checked, "checked")
     links = checked.groupBy("doc").agg(F.sum("links").alias("n_links"))
-    classes = components(checked.select(F.col("root").alias("u"), F.col("doc").alias("v"))).withColumnRenamed("node", "doc").withColumnRenamed("label", "class")
-    decided = links.join(classes, "doc", "left")
-    by_copy = copies.join(decided, copies["copy_id"] == decided["doc"], "left").select("d1", "d2", "copy_id", "n_copies", F.coalesce("class", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("doc_id", "d1", "d2").join(by_copy, ["d1", "d2"]).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    classes = components(checked.select(F.col("root").alias("u"), F.col("doc").alias("v"))).select(F.col("node").alias("doc"), F.col("label").alias("class"))
+    by_copy = copies.join(links, "doc", "left").join(classes, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    least = by_copy.groupBy("class").agg(F.min("copy_id").alias("class_id"))
+    by_copy = by_copy.join(least, "class").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    # A text that comes once is needed in its row's part alone, others in all parts, over which their rows are dealt.
+    parts = F.when(F.col("n_copies") > 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")))
+    by_copy = by_copy.withColumn("part", F.explode(parts)).drop("doc")
+    keyed = signed.select("row", "doc_id", "d1", "d2", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("part"))
+    return keyed.join(by_copy, ["d1", "d2", "part"]).select("row", "doc_id", "class", "class_id", "n_links", "copy_id", "n_copies")
+
+
+def jaccard_classes(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TREES, depth=DEPTH, target=TARGET_RECALL, id_col="doc_id", text_col="text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, copy_id, n_copies.
+
+    copy_id is the smallest doc_id with the same n-grams and n_copies how many
+    rows have them; class_id is the smallest doc_id that links lead to and
+    n_links the number of different texts linked.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _classes(rows, threshold, width, trees, depth, target).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+
+
+def one_of_each_class(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TREES, depth=DEPTH, target=TARGET_RECALL, id_col="doc_id", text_col="text") -> DataFrame:
+    """Of each class the row with the smallest id (null ids last, then any one), with all its columns."""
+    held = materialize(docs.select(F.struct("*").alias("held"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")), "held")
+    classes = _classes(held.select("row", "doc_id", F.col("held")[text_col].alias("text")), threshold, width, trees, depth, target)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    stays = classes.groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return held.join(stays, "row", "left_semi").select("held.*")
 
 
 def jaccard_query(spark, sf_dir) -> DataFrame:

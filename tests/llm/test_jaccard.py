@@ -19,27 +19,30 @@ def sets_of(rows):
 
 
 def plain(rows):
-    """doc: (class, links, copy) by comparing all pairs."""
-    sets = sets_of([r for r in rows if r[0] is not None])
-    copy = {}
-    for d in sorted(sets):
-        copy.setdefault(sets[d], d)
-    heads = sorted(copy.values())
-    parent, links = {d: d for d in heads}, Counter()
+    """For each row: (class, links, copy, copies) by comparing all pairs of different texts."""
+    sets = [next(iter(sets_of([r]).values())) for r in rows]
+    copy, copies = {}, Counter(sets)
+    for (d, *_), t in zip(rows, sets):
+        copy[t] = min([x for x in (copy.get(t), d) if x is not None], default=None)
+    texts = list(copies)
+    parent, links = list(range(len(texts))), Counter()
 
     def root(d):
         while parent[d] != d:
             d = parent[d]
         return d
 
-    for a in heads:
-        for b in heads:
-            if a < b and (n := len(sets[a] & sets[b])) and 9 * n >= 4 * (len(sets[a]) + len(sets[b])):
-                links[a] += 1
-                links[b] += 1
-                ra, rb = sorted((root(a), root(b)))
-                parent[rb] = ra
-    return {d: (root(copy[s]), links[copy[s]], copy[s]) for d, s in sets.items()}
+    for a in range(len(texts)):
+        for b in range(a):
+            if (n := len(texts[a] & texts[b])) and 9 * n >= 4 * (len(texts[a]) + len(texts[b])):
+                links[texts[a]] += 1
+                links[texts[b]] += 1
+                parent[root(a)] = root(b)
+    least = {}
+    for k, t in enumerate(texts):
+        least[root(k)] = min([x for x in (least.get(root(k)), copy[t]) if x is not None], default=None)
+    label = {t: least[root(k)] for k, t in enumerate(texts)}
+    return Counter((d, label[t], links[t], copy[t], copies[t]) for (d, *_), t in zip(rows, sets))
 
 
 def near_copies(seed, groups=6, size=25):
@@ -54,53 +57,85 @@ def near_copies(seed, groups=6, size=25):
     return rows
 
 
-@pytest.mark.parametrize("chunk", [8192, 7])
-def test_against_all_pairs(documents, odd_rows, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, grams", [(1024, 4 << 20), (7, 4 << 20), (1024, 900)])
+def test_against_all_pairs(documents, odd_rows, monkeypatch, chunk, grams):
     monkeypatch.setattr(j, "CHUNK", chunk)
+    monkeypatch.setattr(j, "CHUNK_GRAMS", grams)
     rows = near_copies(1) + [(1000 + (d or 0) if d is not None else None, t, s) for d, t, s in odd_rows]
-    out = j.jaccard_classes(documents(rows)).collect()
-    want = plain(rows)
-    assert len(out) == len(rows)
-    for r in out:
-        if r.doc_id is not None:
-            assert (r.class_id, r.n_links, r.copy_id) == want[r.doc_id]
-    assert next(r for r in out if r.doc_id is None).class_id is None
-
-
-def test_empty(documents):
-    assert j.jaccard_classes(documents([])).count() == 0
+    assert Counter(map(tuple, j.jaccard_classes(documents(rows)).collect())) == plain(rows)
 
 
-def test_prefix_is_shortened_to_the_target():
-    assert j.prefix_length(20, 6, 0.8, 0.5) == 6
-    k = j.prefix_length(20, 6, 0.8, 0.9999)
-    assert k < 6 and 1 - (1 - 0.8**k) ** 20 >= 0.9999
+def test_repeated_and_null_ids(documents):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "quite another text of more than five words", "s"), (1, base, "s"), (3, base + " more", "s"), (None, base + " and more", "t"), (None, "one two three four five six", "t"), (1, base, "s"), (None, "one two three four five  six", "u"), (5, None, "s"), (5, "", "s")]
+    docs = documents(rows)
+    assert Counter(map(tuple, j.jaccard_classes(docs).collect())) == plain(rows)
+    left = j.one_of_each_class(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").split()) for r in left.collect()), key=str)
+    assert got == sorted([(1, rows[0][1].split()), (1, base.split()), (5, []), (None, "one two three four five six".split())], key=str)
 
 
-def test_recall_of_candidates():
-    """Pairs at the threshold share a bucket as often as the model says."""
-    rng, found, pairs = random.Random(5), 0, 300
-    for _ in range(pairs):
+def test_empty(documents):
+    assert j.jaccard_classes(documents([])).count() == 0
+    assert j.one_of_each_class(documents([])).count() == 0
+
+
+def test_prefixes_are_shortened_until_the_target():
+    last = j.shortest_prefix(20, 6, 0.8, 0.9999)
+    assert 1 < last < 6 and j.chance(0.8, 20, last) >= 0.9999 > j.chance(0.8, 20, last + 1)
+    high, low = np.zeros(121), np.zeros(121)
+    high[119], low[96] = 10**7, 10**7
+    assert j.estimated_recall({6: high}, 20, 6, 0.8) >= 0.9999  # pairs that are all but equal: long prefixes find them
+    assert j.estimated_recall({6: low}, 20, 6, 0.8) < 0.999
+    assert j.estimated_recall({6: low, 5: low, 4: low}, 20, 4, 0.8) >= 0.9999
+    assert j.estimated_recall({6: np.zeros(121)}, 20, 6, 0.8) < 0.9999  # nothing seen: go on
+
+
+def test_depth_follows_the_data(spark):
+    """Signatures of pairs that agree nearly everywhere need no short prefix; those of pairs at the threshold do."""
+    rng = np.random.default_rng(3)
+
+    def length_for(similarity, pairs):
+        rows = []
+        for k in range(pairs):
+            own = rng.integers(0, 65536, 120).astype(">u2")
+            other = np.where(rng.random(120) < similarity, own, rng.integers(0, 65536, 120)).astype(">u2")
+            rows += [(2 * k, bytearray(own.tobytes())), (2 * k + 1, bytearray(other.tobytes()))]
+        edges, length = j.candidate_edges(spark.createDataFrame(rows, "doc long, signature binary"), 20, 6, 0.8, 0.9999)
+        found = {(r.u, r.v) for r in edges.collect()}
+        return length, sum((2 * k, 2 * k + 1) in found for k in range(pairs)) / pairs
+
+    assert length_for(0.99, 300)[0] == 6
+    length, recall = length_for(0.82, 300)
+    assert length == j.shortest_prefix(20, 6, 0.8, 0.9999) and recall >= 0.97
+
+
+def test_recall_of_the_join(documents):
+    """Pairs at the threshold are linked: recall against exact similarities, over the whole join."""
+    rng, rows, want = random.Random(5), [], 0
+    for k in range(300):
         base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
-        other = base[:182] + [f"x{rng.randrange(10**6)}" for _ in range(22)]
-        batch = pa.record_batch([pa.array([1, 2]), pa.array([" ".join(base), " ".join(other)])], ["doc_id", "text"])
-        keys = next(j._signatures(5, 20, 6, 4)(iter([batch]))).column("keys").to_pylist()
-        found += bool(set(keys[0]) & set(keys[1]))
-    assert found >= 0.99 * pairs
+        other = base[: 204 - rng.choice((18, 20, 21, 22))] + [f"x{rng.randrange(10**6)}" for _ in range(20)]
+        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(other), "s")]
+    want = plain(rows)
+    got = Counter(map(tuple, j.jaccard_classes(documents(rows)).collect()))
+    linked, found = sum(n for r, n in want.items() if r[2]), sum(n for r, n in (got & want).items() if r[2])
+    assert linked > 200 and found >= 0.99 * linked and not any(r[2] for r in got - want)
 
 
 def test_verify_with_rare_and_common_grams():
     rng = np.random.default_rng(0)
     common = rng.integers(0, 1 << 60, 60)
     sets = [np.unique(np.r_[rng.choice(common, rng.integers(30, 60), False), rng.integers(0, 200, 5)]).astype(np.uint64) for _ in range(150)]
-    links, root = j.verify_cell(np.zeros(150, int), sets, 0.8)
+    links, root = j.verify_cell(np.zeros(150, int), sets, 0.8, False)
     real = np.array([[len(np.intersect1d(a, b)) * 9 >= 4 * (len(a) + len(b)) for b in sets] for a in sets])
     np.fill_diagonal(real, False)
     assert (links == real.sum(1)).all()
     for a in range(150):
         assert all(root[a] == root[b] for b in np.flatnonzero(real[a]))
     side = (np.arange(150) >= 70).astype(int)
-    links, _ = j.verify_cell(side, sets, 0.8)
+    links, _ = j.verify_cell(side, sets, 0.8, True)
     assert (links == np.where(side == 0, real[:, 70:].sum(1), real[:, :70].sum(1))).all()
 
 
