@@ -2,13 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before
 kept, and is written as Parquet before the next reads it.  All but the last
-return the columns of ``documents``.
+return the columns of ``documents``.  Rows are told apart by themselves, so
+repeated and null ids are documents like any other.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import exact_dedup, jaccard_join, mixing, packing, toxicity
 from gridloom.llm.shared import materialize, table
@@ -22,24 +22,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id."""
-    decided = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["doc_id"]), "left_semi")
+    """Of equal texts the row with the smallest doc_id (null ids last)."""
+    return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of the n-gram join the document with the smallest id; documents without an id stay."""
-    classes = jaccard_join.jaccard_classes(docs)
-    gone = classes.where("doc_id <> class_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of the n-gram join the row with the smallest doc_id (null ids last)."""
+    return jaccard_join.one_of_each_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one that it takes several times is repeated."""
-    taken = mixing.mix(docs).select("doc_id", "times").where("times > 0").distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))  # whatever columns there are
-    rows = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
+    """Each row as often as the mix takes it; one that it takes several times is repeated."""
+    return mixing.mixed_rows(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
