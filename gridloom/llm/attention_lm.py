@@ -47,6 +47,11 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
+def _norm(x: np.ndarray) -> float:
+    """The greatest length of a row."""
+    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max(initial=0)))
+
+
 class AttentionModel:
     """Weights w, the class of each id, and log10 p(id | class, previous id).
 
@@ -204,9 +209,17 @@ class AttentionModel:
                     t += 1
                     pace = rate * min(1, t / 20) * (1 / (1 + t / 500) if warm else 1 - t / (total + 1))
                     for name, g in self.gradients(inputs[pick, :width], targets[pick, :width]).items():
-                        m[name] = 0.9 * m.get(name, 0) + 0.1 * g
-                        v[name] = 0.98 * v.get(name, 0) + 0.02 * g * g
-                        self.w[name] -= (pace * m[name] / (1 - 0.9**t) / (np.sqrt(v[name] / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
+                        if name not in m:
+                            m[name], v[name] = np.zeros_like(g), np.zeros_like(g)
+                        m[name] *= 0.9
+                        m[name] += 0.1 * g
+                        g *= g
+                        g *= 0.02
+                        v[name] *= 0.98
+                        v[name] += g
+                        size_of = np.sqrt(v[name] * (1 / (1 - 0.98**t)))
+                        size_of += 1e-8
+                        self.w[name] -= m[name] * (pace / (1 - 0.9**t)) / size_of
         return ids
 
     def finish(self) -> "AttentionModel":
@@ -227,39 +240,55 @@ class AttentionModel:
         self.steep = not (max(self.range[0], self.range[2]) < 80 and min(self.range[1], self.range[3]) > -80)
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict:
-        w, width, root = self.w, inputs.shape[1], np.float32(np.sqrt(KEY))
-        x = w["e"][inputs]
-        q, k, v = x @ w["wq"] / root, x @ w["wk"], x @ w["wv"]
+        """Of the mean of -log p(class) over all targets.  Sums of weights come from a column of ones beside the values, and
+        the biases from one beside the inputs, so that each large array is passed over as few times as may be."""
+        w, (n, width), root = self.w, inputs.shape, np.float32(np.sqrt(KEY))
+        ids = inputs.ravel()
+        x = w["e"][ids]
+        first = np.concatenate([w["wq"] / root, w["wk"], w["wv"]], 1)
+        qkv = (x @ first).reshape(n, width, -1)
+        q, k = qkv[..., :KEY], qkv[..., KEY : 2 * KEY]
+        v1 = np.concatenate([qkv[..., 2 * KEY :], np.ones((n, width, 1), np.float32)], 2)
         gap = np.arange(width)[:, None] - np.arange(width)[None, :]
         a = q @ k.transpose(0, 2, 1)
         a += np.where(gap >= 0, w["r"][np.abs(gap)], -1e9).astype(np.float32)
-        a -= a.max(-1, keepdims=True)
+        if _norm(q) * _norm(k) + np.abs(w["r"]).max() > 60:  # else no exponential overflows, and no sum vanishes
+            a -= a.max(-1, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        o = a @ v
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        d = flat(x) @ w["wx"]
-        d += flat(o) @ w["wo"]
-        d += w["b"]
-        d -= d.max(-1, keepdims=True)
+        o = a @ v1
+        total = o[..., DIM:]
+        o = (o[..., :DIM] / total).reshape(-1, DIM)
+        last = np.concatenate([w["wx"], w["wo"], w["b"][None, :]])
+        xo = np.concatenate([x, o, np.ones((len(x), 1), np.float32)], 1)
+        d = xo @ last
+        if _norm(xo) * _norm(last.T) > 60:
+            d -= d.max(-1, keepdims=True)
         np.exp(d, out=d)
         real = targets.ravel() >= 0
-        d *= (real / (max(1, real.sum()) * d.sum(-1, dtype=np.float64))).astype(np.float32)[:, None]
-        d[real, targets.ravel()[real]] -= np.float32(1 / max(1, real.sum()))
-        g = {"wx": flat(x).T @ d, "wo": flat(o).T @ d, "b": d.sum(0)}
-        do = (d @ w["wo"].T).reshape(o.shape)
-        ds = do @ v.transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", a, ds)[:, :, None]
+        share = np.float32(1 / max(1, real.sum()))
+        d *= (np.where(real, share, 0) / (d @ np.ones(CLASSES, np.float32))).astype(np.float32)[:, None]
+        d[real, targets.ravel()[real]] -= share
+        g_last = xo.T @ d
+        g = {"wx": g_last[:DIM], "wo": g_last[DIM : 2 * DIM], "b": g_last[2 * DIM]}
+        dxo = d @ last[: 2 * DIM].T
+        do = dxo[:, DIM:] / total.reshape(-1, 1)
+        do = np.concatenate([do, -(do * o).sum(1, keepdims=True)], 1).reshape(n, width, DIM + 1)
+        ds = do @ v1.transpose(0, 2, 1)
         ds *= a
-        dv = a.transpose(0, 2, 1) @ do
-        dq, dk = ds @ k / root, ds.transpose(0, 2, 1) @ q
-        g["r"] = np.bincount(np.abs(gap)[gap >= 0], ds.sum(0)[gap >= 0], WINDOW)
-        g |= {"wq": flat(x).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv)}
-        dx = d @ w["wx"].T + flat(dq) @ w["wq"].T + flat(dk) @ w["wk"].T + flat(dv) @ w["wv"].T
+        dqkv = np.empty_like(qkv)
+        np.matmul(ds, k, out=dqkv[..., :KEY])
+        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., KEY : 2 * KEY])
+        np.matmul(a.transpose(0, 2, 1), do[..., :DIM], out=dqkv[..., 2 * KEY :])
+        dqkv = dqkv.reshape(len(x), -1)
+        g["r"] = np.bincount(np.abs(gap)[gap >= 0], ds.sum(0)[gap >= 0], WINDOW).astype(np.float32)
+        g_first = x.T @ dqkv
+        g |= {"wq": g_first[:, :KEY] / root, "wk": g_first[:, KEY : 2 * KEY], "wv": g_first[:, 2 * KEY :]}
+        dx = dqkv @ first.T
+        dx += dxo[:, :DIM]
         g["e"] = np.zeros_like(w["e"])
-        order = np.argsort(inputs.ravel(), kind="stable")
-        found, first = np.unique(inputs.ravel()[order], return_index=True)
-        g["e"][found] = np.add.reduceat(dx[order], first)
+        order = np.argsort(ids, kind="stable")
+        found, begin = np.unique(ids[order], return_index=True)
+        g["e"][found] = np.add.reduceat(dx[order], begin)
         return g
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 32) -> np.ndarray:

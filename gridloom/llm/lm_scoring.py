@@ -305,7 +305,10 @@ def score_texts(docs: DataFrame, held_out, path: str, fit_docs: int = FIT_DOCS,
     sample = texts.where("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id").select("ids").limit(fit_docs).toArrow()["ids"].to_pylist()
     model = AttentionModel(ids, pairs, vocab.end_id).fit([np.frombuffer(b, np.uint16).astype(np.int64) for b in sample])
     model = _learn_all(model, texts)
-    scored = texts.groupBy("slice").cogroup(counted.select("slice", "h", "c").groupBy("slice")).applyInArrow(_score(path, model, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    # As many partitions as there are slices, or a task would hold more of them the larger the input is.
+    parts = max(2 * texts.select("slice").distinct().count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left, right = texts.repartition(parts, "slice"), counted.select("slice", "h", "c").repartition(parts, "slice")
+    scored = left.groupBy("slice").cogroup(right.groupBy("slice")).applyInArrow(_score(path, model, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
