@@ -1,11 +1,21 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of tags and words.  A word's score is the log odds
+A page becomes a sequence of words and tags.  A word's score is the log odds
 that it is content, given the elements it stands in (names, and words of
 class, id and role); a tag's score is negative.  One linear scan finds the
-contiguous run with the greatest sum; from this region the blocks whose own
-elements speak against them (an advert or a form inside the article) are left
-out.  All weights are fitted on the labelled pages below.
+contiguous run with the greatest sum.  Like scripts and styles, blocks whose
+own elements speak against them (an advert or a form inside the article) are
+no part of the sequence; a run of them counts as one tag.  All weights are
+fitted on the labelled pages below.
+
+What an element says against its words is not believed where it holds the page
+itself: more than half of the page's words and with them a main heading or an
+article, or nearly all words and these mostly in paragraphs.  So a form or a
+"has-sidebar" around everything hides nothing.
+
+Tags are read by the rules for HTML tokens (values with and without quotes,
+stray quotes, end tags that may be left out, markup that ends an open svg), in
+time linear in the page.
 
 Defined cases: a null or empty page has the empty text; markup that never
 closes ends with the page; a page without a positive word has the empty text;
@@ -37,7 +47,17 @@ SILENT = frozenset("script style title noscript template svg math iframe object
 CLOSES = {"p": ({"p"}, None), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Block elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))""", re.S)
+#: Elements of the head; any other start tag ends it.
+IN_HEAD = frozenset("title base basefont bgsound link meta style script noscript noframes template".split())
+#: Start tags that end an open svg or math element.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Elements that never are what holds the page.
+NEVER_THE_PAGE = frozenset("nav footer aside header button select label textarea fieldset dialog menu option ul ol li".split())
+_TAG = re.compile(
+    r"""<(?:!--(?P<comment>-?>|.*?(?:--!?>|\Z))|(?P<odd>[!?][^>]*+(?:>|\Z))|(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*+)"""
+    r"""(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+|(?=>|\Z)))?+)*+)(?:>|\Z))""", re.S
+)
+_CLOSES_SILENT = re.compile(r"</(noscript|template|svg|math|iframe|object|canvas|audio|video)\b", re.I)
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -56,61 +76,128 @@ def keys_of(name: str, attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(keys))
 
 
-def tokens(page: str):
-    """(kind, value, path) in page order: ("tag", name) or ("text", string); path: keys of the open elements, outermost first.
+class Element:
+    """An open element: its name, what it says about its words, and what it turned out to hold."""
+
+    __slots__ = ("name", "keys", "words", "in_paragraphs", "heading")
+
+    def __init__(self, name: str, keys: tuple[str, ...]):
+        self.name, self.keys, self.words, self.in_paragraphs, self.heading = name, keys, 0, 0, name in ("main", "h1")
+
+
+class _Stack:
+    """Open elements, with how many there are of each name, so that no tag is searched for in vain."""
+
+    def __init__(self, events: list):
+        self.open: list[Element] = []
+        self.names: dict[str, int] = {}
+        self.events, self.silent = events, 0
+
+    def push(self, element: Element) -> None:
+        self.open.append(element)
+        self.names[element.name] = self.names.get(element.name, 0) + 1
+        self.silent += element.name in SILENT
+        self.events.append(("open", element))
+
+    def pop(self) -> None:
+        element = self.open.pop()
+        self.names[element.name] -= 1
+        self.silent -= element.name in SILENT
+        self.events.append(("close", element))
+        if self.open:
+            above = self.open[-1]
+            above.words += element.words
+            above.in_paragraphs += element.words if element.name == "p" else element.in_paragraphs
+            above.heading |= element.heading
 
-    Comments, silent elements and declarations give nothing.
+    def pop_to(self, name: str) -> None:
+        while self.open[-1].name != name:
+            self.pop()
+        self.pop()
+
+    def close_one_of(self, group, bounds) -> None:
+        """Close the innermost open element of a group, unless a bound comes first."""
+        if any(self.names.get(n) for n in group):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k].name in group:
+                    while len(self.open) > k:
+                        self.pop()
+                    return
+                if self.open[k].name in bounds:
+                    return
+
+
+_P_BOUNDS = frozenset(ENDS_P | {"li", "td", "th", "body", "button"})
+
+
+def events_of(page: str) -> list[tuple]:
+    """("open", element), ("close", element), ("tag", name) and ("text", string) in page order.
+
+    Comments, silent elements and declarations give no tag and no text.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    at, silent = 0, 0
+    events: list[tuple] = []
+    stack = _Stack(events)
+    closing: dict[str, int] = {}
+    for m in _CLOSES_SILENT.finditer(page):
+        closing[m[1].lower()] = m.start()
+    at = 0
+
+    def text_of(value: str) -> None:
+        events.append(("text", value))
+        if stack.open:
+            stack.open[-1].words += len(value.split())
+
     while at < len(page):
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not silent:
-            yield "text", text, stack
+        if text and stack.names.get("head") and not text.isspace() and stack.open[-1].name == "head":
+            stack.pop_to("head")  # text does not stand in a head
+        if text and not stack.silent:
+            text_of(text)
         if not m:
-            return
+            break
         at = m.end()
         name = m["name"]
         if name is None:
             continue
         name = name.lower()
         if m["close"]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                silent -= sum(n in SILENT for n, _ in stack[depth:])
-                del stack[depth:]
-            if not silent and name not in SILENT:
-                yield "tag", "/" + name, stack
+            if stack.names.get(name):
+                stack.pop_to(name)
+            if not stack.silent and name not in SILENT:
+                events.append(("tag", "/" + name))
             continue
+        if stack.names.get("head") and name not in IN_HEAD and name != "head":
+            stack.pop_to("head")
+        if name in BREAKS_OUT and stack.silent:
+            for foreign in ("svg", "math"):
+                if stack.names.get(foreign):
+                    stack.pop_to(foreign)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(page, at)
             body = page[at : end.start() if end else len(page)]
             at = end.end() if end else len(page)
-            if name == "textarea" and not silent:
-                yield "tag", name, stack
-                yield "text", body, [*stack, (name, keys_of(name, m["attrs"]))]
-            continue
-        if name in ENDS_P or name in CLOSES:
-            group, bounds = CLOSES.get(name, ({"p"}, None))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in group:
-                    del stack[k:]
-                    break
-                if stack[k][0] in (bounds or ENDS_P | {"li", "td", "th", "body", "button"}):
-                    break
-            if name in ENDS_P and name != "p" and stack and stack[-1][0] == "p":
+            if name == "textarea" and not stack.silent:
+                events.append(("tag", name))
+                stack.push(Element(name, keys_of(name, m["attrs"])))
+                text_of(body)
                 stack.pop()
-        if not silent and name not in SILENT:
-            yield "tag", name, stack
-        if name not in VOID and not m["attrs"].endswith("/") or name == "p":
-            if name in VOID:
-                continue
-            if name == "body":
-                silent -= sum(n in SILENT for n, _ in stack)
-                stack = [e for e in stack if e[0] not in SILENT]
-            stack.append((name, keys_of(name, m["attrs"])))
-            silent += name in SILENT
+            continue
+        if name in CLOSES:
+            group, bounds = CLOSES[name]
+            stack.close_one_of(group, bounds or _P_BOUNDS)
+        elif name in ENDS_P:
+            stack.close_one_of({"p"}, _P_BOUNDS)
+        if not stack.silent and name not in SILENT:
+            events.append(("tag", name))
+        if name in VOID or m["attrs"].endswith("/") and name not in ENDS_P:
+            continue
+        if name in SILENT and name != "head" and closing.get(name, -1) < at:
+            continue  # one that never closes hides nothing
+        stack.push(Element(name, keys_of(name, m["attrs"])))
+    while stack.open:
+        stack.pop()
+    return events
 
 
 # ---------------------------------------------------------------- labelled pages
@@ -186,22 +273,20 @@ def labelled_pages(n: int = 800, seed: int = 11) -> list[list[tuple[str, bool]]]
     return out
 
 
-def _path_keys(stack) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(itertools.chain.from_iterable(k for _, k in stack)))
-
-
-#: Blocks in a row that stand against the article count no less than this, so that an advert in it does not cut off what stands before.
-AGAINST = -6.0
-
-
 class Weights:
     """Log odds of keys, and scores of tags."""
 
     def __init__(self, keys: dict[str, float], bias: float, tags: dict[str, float], other_tag: float):
         self.keys, self.bias, self.tags, self.other_tag = keys, bias, tags, other_tag
 
-    def word(self, keys) -> float:
-        return self.bias + sum(self.keys.get(k, 0.0) for k in keys)
+    def believed(self, element: Element, total: int) -> dict[str, float]:
+        """The element's keys with their weights, without what it says against the page that it holds."""
+        said = {k: self.keys.get(k, 0.0) for k in element.keys}
+        share = element.words / max(1, total)
+        holds = share > 0.5 and (element.heading or element.name == "article") or share > 0.8 and total >= 50 and element.in_paragraphs > 0.6 * element.words
+        if element.name in ("html", "body") or holds and element.name not in NEVER_THE_PAGE:
+            return {k: w for k, w in said.items() if w >= 0}
+        return said
 
 
 def fit_weights(pages, rounds: int = 1500, rate: float = 2.0, decay: float = 2e-4) -> Weights:
@@ -211,13 +296,18 @@ def fit_weights(pages, rounds: int = 1500, rate: float = 2.0, decay: float = 2e-
     mark = {True: "", False: ""}
     for page in pages:
         text = "".join(re.sub(r"(?<![\w<\"=/-])w+(?![\w\"=>-])", lambda m, c=mark[y]: c + m[0], part) for part, y in page)
-        content = False
-        for kind, value, stack in tokens(text):
-            if kind == "text":
+        content, path = False, []
+        for kind, value in events_of(text):
+            if kind == "open":
+                path.append(value.keys)
+            elif kind == "close":
+                path.pop()
+            elif kind == "text":
+                keys = tuple(dict.fromkeys(itertools.chain.from_iterable(path)))
                 for c in value:
                     if c in mark.values():
                         content = c == mark[True]
-                        rows.setdefault(_path_keys(stack), [0, 0])[content] += 1
+                        rows.setdefault(keys, [0, 0])[content] += 1
             else:
                 side = inside if content else outside
                 side[value] = side.get(value, 0) + 1
@@ -247,13 +337,45 @@ def weights() -> Weights:
     return _fitted[0]
 
 
+class _Path:
+    """The sum of the weights on the way to a text, each key once: of all elements, and of those that say something about blocks."""
+
+    def __init__(self, fitted: Weights, total: int):
+        self.fitted, self.total = fitted, total
+        self.sums, self.seen = [(fitted.bias, fitted.bias)], [{}, {}]
+        self.added: list[tuple[list[str], list[str]]] = []
+
+    def open(self, element: Element) -> None:
+        word, block = self.sums[-1]
+        own = element.name not in INLINE or len(element.keys) > 1
+        added: tuple[list[str], list[str]] = ([], [])
+        for key, w in self.fitted.believed(element, self.total).items():
+            if key not in self.seen[0]:
+                self.seen[0][key] = True
+                added[0].append(key)
+                word += w
+            if own and key not in self.seen[1]:
+                self.seen[1][key] = True
+                added[1].append(key)
+                block += w
+        self.added.append(added)
+        self.sums.append((word, block))
+
+    def close(self) -> None:
+        self.sums.pop()
+        for seen, keys in zip(self.seen, self.added.pop()):
+            for k in keys:
+                del seen[k]
+
+
 def blocks(page: str, fitted: Weights) -> list[tuple[str, float, float, float]]:
     """(text, tags, score, standing) of each block: scores of the tags before it and of its words, and that of its block elements.
 
     Pieces whose own elements speak against them are left out of a block that has others.
     """
+    events = events_of(page)
+    path = _Path(fitted, sum(len(v.split()) for k, v in events if k == "text"))
     out, text, pending = [], [], 0.0  # text: (piece, score, standing); blanks have no standing
-    known: dict[tuple, tuple[float, float]] = {}
 
     def close():
         nonlocal text, pending
@@ -267,50 +389,63 @@ def blocks(page: str, fitted: Weights) -> list[tuple[str, float, float, float]]:
             pending = 0.0
         text = []
 
-    for kind, value, stack in tokens(page):
-        if kind == "text":
-            keys = tuple(stack_keys for _, stack_keys in stack)
-            at = known.get(keys)
-            if at is None:
-                flat = _path_keys(stack)
-                own = tuple(dict.fromkeys(itertools.chain.from_iterable(k for n, k in stack if n not in INLINE or len(k) > 1)))
-                at = known[keys] = (fitted.word(flat), fitted.word(own))
+    opened: list[Element] = []
+    for kind, value in events:
+        if kind == "open":
+            path.open(value)
+            opened.append(value)
+        elif kind == "close":
+            path.close()
+            opened.pop()
+        elif kind == "text":
             n = len(value.split())
             if n:
-                text.append((value, n * at[0], at[1]))
+                word, block = path.sums[-1]
+                text.append((value, n * word, block))
             elif text:
                 text.append((value, 0.0, None))
         else:
             name = value.lstrip("/")
+            around = opened[-1] if opened else None
             if name not in INLINE:
                 close()
                 pending += fitted.tags.get(value, fitted.other_tag)
-            elif any(s[0] in INLINE and len(s[1]) > 1 for s in stack[-1:]) or name == "ins":
+            elif around is not None and around.name in INLINE and len(around.keys) > 1 or name == "ins":
                 close()
     close()
     return out
 
 
+def best_run(gains: list[tuple[float, float]]) -> tuple[int, int]:
+    """(first, end) of the run with the greatest sum of (before, own) scores, where what stands before the first does not count.
+
+    Of equal sums the first found; (0, 0) if no sum is positive.
+    """
+    best, span, run, first = 0.0, (0, 0), 0.0, 0
+    for k, (before, own) in enumerate(gains):
+        if run + before <= 0:
+            run, first = own, k
+        else:
+            run += before + own
+        if run > best:
+            best, span = run, (first, k + 1)
+    return span
+
+
 def main_text(page: str | None, fitted: Weights | None = None) -> str:
-    """The text of the best contiguous region of a page, without blocks that stand against it."""
+    """The text of the best contiguous run of a page's blocks, those that their own elements speak against being silent."""
     if not page:
         return ""
     fitted = fitted or weights()
-    found = blocks(page, fitted)
-    best, best_span, run, first, against = 0.0, (0, 0), 0.0, 0, 0.0
-    for k, (_, before, score, standing) in enumerate(found):
-        gain = before + score
-        if standing <= 0 or score <= 0:
-            gain = max(gain, AGAINST - against)
-            against += gain
-        else:
-            against = 0.0
-        if run <= 0:
-            run, first, gain = 0.0, k, max(gain, score) if score > 0 else gain
-        run += gain
-        if run > best:
-            best, best_span = run, (first, k + 1)
-    return " ".join(t for t, _, _, standing in found[slice(*best_span)] if standing > 0)
+    texts, gains, silent = [], [], False
+    for text, before, score, standing in blocks(page, fitted):
+        if standing <= 0:
+            silent = True
+            continue
+        texts.append(text)
+        gains.append((before + (fitted.other_tag if silent else 0.0), score))
+        silent = False
+    return " ".join(texts[slice(*best_run(gains))])
 
 
 def _extract(fitted: Weights):

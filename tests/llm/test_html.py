@@ -77,3 +77,51 @@ def test_noise_inside_a_paragraph_leaves_the_paragraph():
         page = f"<html><body><div><p>{words * 3}</p><p>{inside} tail</p><p>{words * 3}</p></div></body></html>"
         found = h.main_text(page)
         assert found.count("old mill") == 8 and "tail" in found, noise
+
+
+STORY = "".join(f"<p>{'The river rose in the night and the people of the town went up to the old mill to wait there. ' * 2}</p>" for _ in range(4))
+TOLD = " ".join(["The river rose in the night and the people of the town went up to the old mill to wait there."] * 8)
+MENU = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+END = "<footer><p>Copyright by the company</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id=aspnetForm>{m}<h1>Title</h1>{s}{e}</form></body>", "<body><form id=aspnetForm>{m}<div>{s}</div>{e}</form></body>", "<body><div class='has-sidebar'>{m}<h1>Title</h1>{s}{e}</div></body>", "<body><div class='has-sidebar'>{m}{s}{e}</div></body>",
+        "<body class='post-template with-sidebar nav-open'>{m}<article>{s}</article>{e}</body>", "<body>{m}<main class='page page--news social-policy'>{s}</main>{e}</body>", "<body>{m}<div class='print-friendly article'><h1>Title</h1>{s}</div>{e}</body>",
+        "<body>{m}<article class='alert-analysis'>{s}</article>{e}</body>", "<body>{m}<article><p title=don't></p>{s}</article>{e}</body>", "<body>{m}<article><p class=\"a\"\"></p>{s}</article>{e}</body>",
+        "<html><head><title>t</title><meta charset=utf-8><link rel=x>{m}<article>{s}</article>{e}", "<head>{m}<div>{s}</div>{e}", "<body>{m}<article><svg><path d='M0'>{s}</article>{e}</body>", "<body>{m}<article><video src=x>{s}</article>{e}</body>", "<body>{m}<article><svg><g></g></svg>{s}</article>{e}</body>",
+    ],
+)
+def test_what_holds_the_page_hides_nothing(page):
+    found = h.main_text(page.format(m=MENU, s=STORY, e=END))
+    assert found.removeprefix("Title ") == TOLD
+
+
+def test_attributes_by_the_rules():
+    def keys(tag):
+        return next(v.keys for k, v in h.events_of(tag + "x") if k == "open")
+
+    assert keys("<p class='a > b' id=c>") == ("p", ".a", ".b", ".c")
+    assert keys('<p title=don\'t class="big box">') == ("p", ".big", ".box")
+    assert keys('<p class="one"" id=two>') == ("p", ".one", ".two")
+    assert keys("<P CLASS=Ad/>") == ("p", ".ad") and keys("<p = class=x>") == ("p", ".x")
+
+
+def test_time_is_linear():
+    import time
+
+    start = time.perf_counter()
+    for page in ("<div>" * 100_000 + "some words here", "<b>" * 50_000 + "x" + "</i>" * 50_000, "<p><b>" * 30_000 + "words", "<!--" + "<p>" * 100_000, '<p class="' * 20_000, "<" * 100_000, "<a b=" * 30_000, "<svg>" * 30_000 + "<p>text</p>" * 1000):
+        h.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
+def test_best_run_against_all_runs():
+    rng = h.random.Random(4)
+    for _ in range(400):
+        gains = [(-rng.randrange(0, 6), rng.randrange(1, 8)) for _ in range(rng.randrange(0, 9))]
+        sums = {(i, j): sum(b + o for b, o in gains[i:j]) - gains[i][0] for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)}
+        first, end = h.best_run(gains)
+        assert max(sums.values(), default=0) == (sums[first, end] if gains else 0)
