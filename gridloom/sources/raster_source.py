@@ -143,6 +143,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(RasterSource)
 
 
+def blocks_per_task(chunks, reader, size: int = 128 << 20) -> int:
+    """A number of blocks as it is; for "auto" or True as many whole blocks as ``size`` bytes hold."""
+    if isinstance(chunks, int) and not isinstance(chunks, bool):
+        return chunks
+    if chunks is not True and chunks != "auto":
+        raise ValueError(f"chunks must be a number of blocks, 'auto' or True, not {chunks!r}")
+    return max(1, size // (reader.block[0] * reader.block[1] * 8))
+
+
+def read_token(path: str, chunks=None) -> str:
+    """A name for what a scan reads: the same for one file, time of change and chunks, in every session."""
+    import hashlib
+
+    from pyarrow import fs
+
+    where, base = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    info = where.get_file_info(base)
+    return hashlib.sha256(repr((path, info.mtime_ns, info.size, chunks)).encode()).hexdigest()
+
+
 def open_raster(spark: SparkSession, source, *, masked=False, mask_and_scale=False, band_as_variable=False, overview_level=None, chunks=None, cache=False, name="value", parse_coordinates=True, unsigned=None, warp=None) -> Grid | GridSet:
     """A raster file as a Grid, lazily; as a set with a variable for each band with ``band_as_variable``.
 
@@ -150,6 +170,7 @@ def open_raster(spark: SparkSession, source, *, masked=False, mask_and_scale=Fal
     rasters that fit in a message).  ``masked`` makes missing cells null and
     moves the missing value to the encoding; ``mask_and_scale`` also applies
     scales and offsets, by band, and reads bytes marked unsigned as such.
+    ``chunks`` is the number of file blocks for a task, or "auto".
     ``warp`` holds arguments of ``reproject``, applied lazily.
     """
     if isinstance(source, (bytes, bytearray)) or hasattr(source, "read"):
@@ -175,8 +196,8 @@ def open_raster(spark: SparkSession, source, *, masked=False, mask_and_scale=Fal
         reader = spark.read.format("raster").option("path", source)
         if overview_level is not None:
             reader = reader.option("overview_level", str(overview_level))
-        if isinstance(chunks, int) and not isinstance(chunks, bool):
-            reader = reader.option("blocks_per_partition", str(chunks))
+        if chunks:
+            reader = reader.option("blocks_per_partition", str(blocks_per_task(chunks, r)))
         df = reader.load()
     meta = meta.with_(has_coords=parse_coordinates)
     if masked or mask_and_scale:
