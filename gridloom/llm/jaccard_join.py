@@ -49,7 +49,9 @@ TREES, DEPTH, TARGET_RECALL = 20, 6, 0.9999
 #: Estimated similarity from which a text covers another, and the room left for errors
 #: of two estimates (120 values: a standard error of 0.046 at most each).
 COVER, SLACK = 0.7, 0.12
-#: Texts below a node or of a group, and n-grams of a group, that are compared with each other in one cell.
+#: Texts below a node that are compared with its covers in one task, each split from there on.
+NODE_CHUNK = 256
+#: Texts of a group, and n-grams, that are compared with each other in one cell.
 CHUNK, CHUNK_GRAMS = 1024, 4 << 20
 #: Parts over which the rows of a text that comes more than once are dealt.
 SALTS = 32
@@ -354,7 +356,7 @@ def _near(firsts: DataFrame, trees: int, depth: int, length: int, threshold: flo
     shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("child").alias("least"), F.max("child").alias("most")).where("size > 1")
     if length < depth:  # a node with one child has been seen below
         shared = shared.where("least <> most")
-    shared = materialize(shared.select("key", "size", F.expr(f"cast((size + {CHUNK - 1}) div {CHUNK} as int)").alias("chunks")), "shared")
+    shared = materialize(shared.select("key", F.expr(f"cast((size + {NODE_CHUNK - 1}) div {NODE_CHUNK} as int)").alias("chunks")), "shared")
     below = _chunked(nodes.select("key", "doc").join(shared, "key")).select("key", "chunk", "chunks", "doc")
     signatures = firsts.select("doc", "signature")
     ordered = below.join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "doc")

@@ -60,6 +60,7 @@ def near_copies(seed, groups=6, size=25):
 @pytest.mark.parametrize("chunk, grams", [(1024, 4 << 20), (7, 4 << 20), (1024, 900)])
 def test_against_all_pairs(documents, odd_rows, monkeypatch, chunk, grams):
     monkeypatch.setattr(j, "CHUNK", chunk)
+    monkeypatch.setattr(j, "NODE_CHUNK", chunk)
     monkeypatch.setattr(j, "CHUNK_GRAMS", grams)
     rows = near_copies(1) + [(1000 + (d or 0) if d is not None else None, t, s) for d, t, s in odd_rows]
     assert Counter(map(tuple, j.jaccard_classes(documents(rows)).collect())) == plain(rows)
