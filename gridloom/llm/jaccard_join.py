@@ -35,7 +35,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +92,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(width: int, trees: int, depth: int):
-    """Rows (row, doc_id, d1, d2, n, signature, text): the digest of a text's n-grams, their number, and its paths in all tries."""
+    """Rows (row, doc_id, d1, d2, n, signature): the digest of a text's n-grams, their number, and its paths in all tries."""
     rng = np.random.default_rng(7)
     masks, factors = rng.integers(0, 1 << 63, (2, trees * depth), dtype=np.uint64)
     factors |= np.uint64(1)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 33 if TaskContext.get() else 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 grams, first = shingle_sets(part.column("text"), width)
@@ -115,11 +113,9 @@ def _signatures(width: int, trees: int, depth: int):
                         signature[:, j] = mix(np.minimum.reduceat((grams ^ masks[j]) * factors[j], at)) & np.uint64(0xFFFF)
                 bits = np.full(len(n), None, object)
                 bits[has] = [s.tobytes() for s in signature]
-                rows = part.column("row") if "row" in part.schema.names else pa.array(np.arange(number, number + len(n)))
-                number += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [rows, part.column("doc_id"), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(n), pa.array(bits, pa.binary()), part.column("text")],
-                    ["row", "doc_id", "d1", "d2", "n", "signature", "text"],
+                    [part.column("row"), part.column("doc_id"), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(n), pa.array(bits, pa.binary())],
+                    ["row", "doc_id", "d1", "d2", "n", "signature"],
                 )
 
     return run
@@ -386,8 +382,8 @@ def candidate_edges(firsts: DataFrame, trees: int, depth: int, threshold: float,
 
 
 def _classes(rows: DataFrame, threshold, width, trees, depth, target) -> DataFrame:
-    """For rows (doc_id, text, perhaps row): row, doc_id, class (a text's number), class_id, n_links, copy_id, n_copies."""
-    kinds = "row long, doc_id long, d1 long, d2 long, n long, signature binary, text string"
+    """For written rows (row, doc_id, text), whose numbers are their own: row, doc_id, class (a text's number), class_id, n_links, copy_id, n_copies."""
+    kinds = "row long, doc_id long, d1 long, d2 long, n long, signature binary"
     signed = materialize(rows.mapInArrow(tidy(_signatures(width, trees, depth)), kinds), "signatures")
     copies = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.min("row").alias("doc"))
     copies = materialize(copies, "copies")
@@ -398,7 +394,7 @@ def _classes(rows: DataFrame, threshold, width, trees, depth, target) -> DataFra
     groups = components(edges).select(F.col("node").alias("doc"), "label")
     sizes = groups.join(firsts.select("doc", "n"), "doc").groupBy("label").agg(F.expr(f"cast(greatest((count(1) + {CHUNK - 1}) div {CHUNK}, (sum(n) + {CHUNK_GRAMS - 1}) div {CHUNK_GRAMS}) as int)").alias("chunks"))
     # Always a sort-merge join: group members grow with the input, and so must not be broadcast at any size.
-    members = signed.select(F.col("row").alias("doc"), "text").join(groups.hint("merge"), "doc").select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
+    members = rows.select(F.col("row").alias("doc"), "text").join(groups.hint("merge"), "doc").select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
     cells = _chunked(members.join(sizes, "label")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("label", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc", "grams")
     checked = cells.repartition("label", "c1", "c2").sortWithinPartitions("label", "c1", "c2", "doc").mapInArrow(tidy(_verify(threshold)), "label long, doc long, root long, links long")
@@ -422,8 +418,8 @@ def jaccard_classes(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TRE
     rows have them; class_id is the smallest doc_id that links lead to and
     n_links the number of different texts linked.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _classes(rows, threshold, width, trees, depth, target).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _classes(materialize(rows, "rows"), threshold, width, trees, depth, target).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
 
 
 def one_of_each_class(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=TREES, depth=DEPTH, target=TARGET_RECALL, id_col="doc_id", text_col="text") -> DataFrame:

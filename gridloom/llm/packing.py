@@ -77,7 +77,7 @@ def _pack(path: str, end_id: int, size: int, limit: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.bool_())], [*_NAMES, "open"])
 
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 ids, offsets = subwords.encode(part.column("text"))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
                     own = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")

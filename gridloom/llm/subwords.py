@@ -43,7 +43,7 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class SubwordEncoder:
     """Ids as the library gives them with add_special_tokens=False; the strings of special tokens give their ids, or (special_as_text) are ordinary text."""
 
-    def __init__(self, path: str, cache_units: int = 500_000, chunk_words: int = 1 << 14, special_as_text: bool = False):
+    def __init__(self, path: str, cache_units: int = 300_000, chunk_words: int = 1 << 14, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

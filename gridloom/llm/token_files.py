@@ -152,7 +152,7 @@ def _write(folder: str, path: str, end_id: int, dictionary: bytes, width: int, f
             return f"part-{part_id:06d}-{len(done):06d}.tok"
 
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 ids, offsets = subwords.encode(part.column("text"))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:]):
                     writer = writer or TokenFileWriter(folder, name_of(), dictionary, width)
