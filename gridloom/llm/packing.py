@@ -28,6 +28,8 @@ from .subwords import encoder, slices, vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 MERGE_GROUP = 32
+#: Units that a worker's encoder keeps: fewer than elsewhere, as packing runs behind other stages in the same workers.
+CACHE_UNITS = 300_000
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -62,7 +64,7 @@ class OpenWindows:
 
 def _pack(path: str, end_id: int, size: int, limit: int):
     def run(batches):
-        subwords, windows = encoder(path), OpenWindows(size, limit)
+        subwords, windows = encoder(path, CACHE_UNITS), OpenWindows(size, limit)
         first = TaskContext.get().partitionId() << 33
         sequences = iter(range(first, first + (1 << 33)))
         rows: list[tuple] = []

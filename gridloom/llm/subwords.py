@@ -43,7 +43,7 @@ def gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 class SubwordEncoder:
     """Ids as the library gives them with add_special_tokens=False; the strings of special tokens give their ids, or (special_as_text) are ordinary text."""
 
-    def __init__(self, path: str, cache_units: int = 300_000, chunk_words: int = 1 << 14, special_as_text: bool = False):
+    def __init__(self, path: str, cache_units: int = 500_000, chunk_words: int = 1 << 14, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -150,14 +150,14 @@ class SubwordEncoder:
         return ids, sums[cuts]
 
 
-_encoders: dict[str, SubwordEncoder] = {}
+_encoders: dict[tuple[str, int], SubwordEncoder] = {}
 
 
-def encoder(path: str) -> SubwordEncoder:
+def encoder(path: str, cache_units: int = 500_000) -> SubwordEncoder:
     """The process's encoder: the units it knows serve all tasks that a worker runs."""
-    if path not in _encoders:
-        _encoders[path] = SubwordEncoder(path)
-    return _encoders[path]
+    if (path, cache_units) not in _encoders:
+        _encoders[path, cache_units] = SubwordEncoder(path, cache_units)
+    return _encoders[path, cache_units]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20, rows: int = 16_384):
