@@ -52,78 +52,109 @@ def _norm(x: np.ndarray) -> float:
     return float(np.sqrt(np.einsum("...i,...i->...", x, x).max(initial=0)))
 
 
+class Pairs:
+    """Counts of pairs of ids that follow each other, in memory: (previous id * 2**32 + id, how often), each pair once."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.before, self.after, self.n = code >> 32, code & 0xFFFFFFFF, n
+
+    def near(self, known: np.ndarray) -> np.ndarray:
+        """How often the compact numbers follow each other."""
+        return np.bincount(known[self.before].astype(np.int64) * KNOWN + known[self.after], self.n, KNOWN * KNOWN).reshape(KNOWN, KNOWN)
+
+    def cells(self, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(previous id, class, how often, how many different ids) of what comes."""
+        cell, at = np.unique(self.before * CLASSES + label[self.after], return_inverse=True)
+        return cell // CLASSES, cell % CLASSES, np.bincount(at, self.n, len(cell)), np.bincount(at, minlength=len(cell))
+
+    def after_rarer(self, known: np.ndarray) -> np.ndarray:
+        """How often each id follows a rarer one."""
+        rarer = known[self.before] == KNOWN - 1
+        return np.bincount(self.after[rarer], self.n[rarer], len(known))
+
+    def lookup(self, known: np.ndarray):
+        """A function from (previous id << 16 | id) to how often that pair comes, for pairs with a rarer id."""
+        far = (known[self.before] == KNOWN - 1) | (known[self.after] == KNOWN - 1)
+        code, n = (self.before[far] << 16) | self.after[far], self.n[far]
+        order = np.argsort(code)
+        return Lookup(code[order], n[order])
+
+
+class Lookup:
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        self.code, self.n = code, n
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        if not len(self.code):
+            return np.zeros(len(code))
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return np.where(self.code[at] == code, self.n[at], 0)
+
+
 class AttentionModel:
     """Weights w, the class of each id, and log10 p(id | class, previous id).
 
-    counts: how often each id comes in training text; pairs: (previous id * 2**32 + id, how often).
+    counts: how often each id comes in training text; pairs: (previous id * 2**32 + id, how often), or an object
+    with the methods of ``Pairs``.  Where its ``lookup`` gives None, ``score`` is told the counts of pairs with a rarer id;
+    what the model itself holds is bounded by the vocabulary times the classes.
     """
 
-    def __init__(self, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], end_id: int):
+    def __init__(self, counts: np.ndarray, pairs, end_id: int):
         self.end_id = end_id
         self.known, self.order = place_ids(counts)
-        self.counts, self.pairs = counts, pairs
+        self.counts, self.pairs = counts, Pairs(*pairs) if isinstance(pairs, tuple) else pairs
 
-    def _tables_of_pairs(self) -> None:
+    def _tables_of_pairs(self, near: np.ndarray, cells: tuple) -> None:
         """log10 p(id | class, previous id) from all pairs.
 
-        Dense (``given``) where both ids are known, sorted by pair (``far``) for every other pair that comes.  A rarer
-        previous id is smoothed towards all rarer ones together (``pool``), by a factor for each class (``back``).
+        Dense (``given``) where both ids are known.  Every other pair is worked out from its count when asked for; a rarer
+        previous id is smoothed towards all rarer ones together (``pool``), by totals for each class (``cell``).
         """
-        code, n = self.pairs
-        before, after = code >> 32, code & 0xFFFFFFFF
-        row, label_of = self.known[before], self.label.astype(np.int64)
-        pooled, at = np.unique((row.astype(np.int64) << 32) | after, return_inverse=True)
-        seen = np.bincount(at, n, len(pooled))
-        rows, ids = pooled >> 32, pooled & 0xFFFFFFFF
-        in_class = np.bincount(rows * CLASSES + label_of[ids], seen, KNOWN * CLASSES).reshape(KNOWN, CLASSES)
-        variety = 0.5 + np.bincount(rows * CLASSES + label_of[ids], minlength=KNOWN * CLASSES).reshape(KNOWN, CLASSES)
-        own = 10.0 ** self.within.astype(np.float64)  # p(id | class)
-        label = np.full(KNOWN, CLASSES - 1)
+        before, in_cell, total, kinds = cells
+        row, label_of = self.known[before].astype(np.int64), self.label.astype(np.int64)
+        rarer, after_rarer = row == KNOWN - 1, self.pairs.after_rarer(self.known)
+        self.in_class = np.bincount(row * CLASSES + in_cell, total, KNOWN * CLASSES).reshape(KNOWN, CLASSES)
+        self.variety = 0.5 + np.bincount((row * CLASSES + in_cell)[~rarer], kinds[~rarer], KNOWN * CLASSES).reshape(KNOWN, CLASSES)
+        self.variety[-1] = 0.5 + np.bincount(label_of, after_rarer > 0, CLASSES)
+        in_class, variety = self.in_class, self.variety
+        self.own = own = 10.0 ** self.within.astype(np.float64)  # p(id | class)
+        label, share = np.full(KNOWN, CLASSES - 1), np.ones(KNOWN)
         label[: min(KNOWN - 1, len(self.order))] = self.label[self.order[: KNOWN - 1]]
-        share = np.ones(KNOWN)  # the last stands for every rarer id without a pair, whose own share comes on top
         share[: min(KNOWN - 1, len(self.order))] = own[self.order[: KNOWN - 1]]
-        table = np.zeros((KNOWN, KNOWN), np.float32)
-        near = self.known[ids] < KNOWN - 1
-        table[rows[near], self.known[ids[near]]] = seen[near]
+        table = near.astype(np.float32)
         for r in range(KNOWN):
             table[r] = np.log10((table[r] + variety[r, label] * share) / (in_class[r] + variety[r])[label])
         self.given = table
         self.rare = np.where(self.known == KNOWN - 1, self.within, 0).astype(np.float32)
-        last = rows == KNOWN - 1
-        pool = variety[-1, label_of] * own
-        pool[ids[last]] += seen[last]
-        pool /= (in_class[-1] + variety[-1])[label_of]
-        self.pool = np.log10(pool).astype(np.float32)
-        far = (row == KNOWN - 1) | (self.known[after] == KNOWN - 1)
-        before, after, row, n = before[far], after[far], row[far], n[far]
-        cell = before * CLASSES + label_of[after]
-        rarer = row == KNOWN - 1
-        self.back, at = np.unique(cell[rarer], return_inverse=True)
-        total, kinds = np.bincount(at, n[rarer], len(self.back)), 0.5 + np.bincount(at, minlength=len(self.back))
-        self.back_log = np.log10(kinds / (total + kinds)).astype(np.float32)
-        value = np.zeros(len(n))
-        value[rarer] = (n[rarer] + kinds[at] * pool[after[rarer]]) / (total + kinds)[at]
-        r, c = row[~rarer], label_of[after[~rarer]]
-        value[~rarer] = (n[~rarer] + variety[r, c] * own[after[~rarer]]) / (in_class[r, c] + variety[r, c])
-        self.far, self.far_log = (before << 16 | after).astype(np.uint32), np.log10(value).astype(np.float32)  # ids are below 2**16
-        order = np.argsort(self.far)
-        self.far, self.far_log = self.far[order], self.far_log[order]
+        self.pool = (variety[-1, label_of] * own + after_rarer) / (in_class[-1] + variety[-1])[label_of]
+        cell = (before[rarer] * CLASSES + in_cell[rarer]).astype(np.int32)
+        order = np.argsort(cell)
+        self.cell, self.cell_total, self.cell_kinds = cell[order], total[rarer][order].astype(np.float64), (0.5 + kinds[rarer][order]).astype(np.float32)
+        self.far = self.pairs.lookup(self.known)
         self.pairs = None
 
-    def given_previous(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """log10 p(after | its class, before), id by id."""
+    def _given_count(self, before: np.ndarray, after: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 p(after | its class, before) of pairs with a rarer id that come ``n`` times."""
+        r, c = self.known[before], self.label[after].astype(np.int64)
+        total, kinds, share = self.in_class[r, c], self.variety[r, c], self.own[after]
+        rarer = np.flatnonzero(r == KNOWN - 1)
+        if len(rarer):
+            share[rarer], total[rarer], kinds[rarer] = self.pool[after[rarer]], 0, 1
+            if len(self.cell):
+                cell = before[rarer] * CLASSES + c[rarer]
+                at = np.minimum(np.searchsorted(self.cell, cell), len(self.cell) - 1)
+                hit = self.cell[at] == cell
+                total[rarer[hit]], kinds[rarer[hit]] = self.cell_total[at[hit]], self.cell_kinds[at[hit]]
+        return np.log10((n + kinds * share) / (total + kinds))
+
+    def given_previous(self, before: np.ndarray, after: np.ndarray, far=None) -> np.ndarray:
+        """log10 p(after | its class, before), id by id; ``far`` gives the counts of pairs with a rarer id."""
         row, column = self.known[before], self.known[after]
         out = self.given[row, column] + self.rare[after]
         odd = np.flatnonzero((row == KNOWN - 1) | (column == KNOWN - 1))
-        if len(odd) and len(self.far):
-            b, a, rarer = before[odd], after[odd], row[odd] == KNOWN - 1
-            cell = b * CLASSES + self.label[a]
-            at = np.minimum(np.searchsorted(self.back, cell), max(len(self.back) - 1, 0))
-            less = np.where(self.back[at] == cell, self.back_log[at], 0) if len(self.back) else 0
-            value = np.where(rarer, self.pool[a] + less, out[odd])
-            code = (b << 16 | a).astype(np.uint32)
-            at = np.minimum(np.searchsorted(self.far, code), len(self.far) - 1)
-            out[odd] = np.where(self.far[at] == code, self.far_log[at], value)
+        if len(odd):
+            b, a = before[odd], after[odd]
+            out[odd] = self._given_count(b, a, (far or self.far)((b << 16) | a))
         return out
 
     def fit(self, texts: list[np.ndarray], rounds: int = 6, seed: int = 9) -> "AttentionModel":
@@ -135,26 +166,21 @@ class AttentionModel:
     def _start(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         top = self.order[: KNOWN - 1]
-        before, after, times = self.pairs[0] >> 32, self.pairs[0] & 0xFFFFFFFF, self.pairs[1]
+        near = self.pairs.near(self.known)
         # Clusters by preceding ids, among the most frequent ones.
         self.label = np.full(len(self.counts), CLASSES - 1, np.int16)
         self.label[self.order[:OWN]] = np.arange(len(self.order[:OWN]))
         tail = top[OWN:]
         if len(tail):
-            slot = np.full(len(self.counts), -1)
-            slot[tail] = np.arange(len(tail))
-            column = np.minimum(self.known[before], 256)
-            preceding = np.full((len(tail), 257), 1e-3)
-            use = slot[after] >= 0
-            np.add.at(preceding, (slot[after[use]], column[use]), times[use])
+            columns = near[:, OWN : len(top)].T
+            preceding = 1e-3 + np.concatenate([columns[:, :256], columns[:, 256:].sum(1, keepdims=True)], 1)
             self.label[tail] = OWN + cluster(preceding, self.counts[tail].astype(float), CLUSTERS)
         mass = np.bincount(self.label, self.counts + 1.0, CLASSES)  # one more for each id: none is impossible
         self.within = np.log10((self.counts + 1.0) / mass[self.label]).astype(np.float32)
         prior = np.log((mass + 1) / (mass + 1).sum())
         # Start from what all pairs say: a factored table of class given id.
-        table = np.zeros((KNOWN, CLASSES))
-        np.add.at(table, (self.known[before], self.label[after]), times)
-        self._tables_of_pairs()
+        self._tables_of_pairs(near, self.pairs.cells(self.label))
+        table = self.in_class
         n = table.sum(1)
         some = 4 + n / 50  # a share of n, so that a larger corpus does not make unseen classes ever less likely
         lift = np.log((table + some[:, None] * np.exp(prior)) / (n + some)[:, None]) - prior
@@ -291,8 +317,8 @@ class AttentionModel:
         g["e"][found] = np.add.reduceat(dx[order], begin)
         return g
 
-    def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 32) -> np.ndarray:
-        """log10 probability of each text, ids[offsets[i]:offsets[i + 1]], and of its end."""
+    def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 32, far=None) -> np.ndarray:
+        """log10 probability of each text, ids[offsets[i]:offsets[i + 1]], and of its end; ``far`` as in ``given_previous``."""
         n = np.diff(offsets) + 1  # predictions: each id and the end
         texts = len(n)
         first = np.concatenate([[0], np.cumsum(n + 1)])[:-1]  # each text stands between two end ids
@@ -306,7 +332,7 @@ class AttentionModel:
         text = np.repeat(np.arange(texts), count)
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start, size = k * stride, np.minimum(n[text] - k * stride, WINDOW)
-        follow = self.given_previous(stream[:-1], stream[1:]).astype(np.float64) if texts else np.zeros(0)
+        follow = self.given_previous(stream[:-1], stream[1:], far).astype(np.float64) if texts else np.zeros(0)
         follow[first[1:] - 1] = 0  # from a text's end to the next one's beginning
         out = np.add.reduceat(follow, first) if texts else np.zeros(0)
         w, d = self.w, np.split(np.arange(self.keyed.shape[1]), np.cumsum([KEY, KEY, DIM + 1]))

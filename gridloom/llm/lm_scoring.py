@@ -4,12 +4,15 @@
    encoded once; ids are kept in a written table in slices of about SLICE
    bytes.  Counts of ids and of pairs of ids are summed by slice, then over
    all training text.
-2. Words are hashed to 64 bits; each slice tells how often its distinct words
-   come in training text.  One window over the hash sums these, so each slice
-   gets the counts of its own words back, and no task or driver holds the
-   vocabulary.  A word has at most one row for each slice, so no word is hot.
-3. Pairs, classes and the network's first tables come from the counts, on the
-   driver, where ``fit_docs`` training texts chosen by the hash of their id
+2. Words, and pairs of ids of which one is rarer, are hashed to 63 bits (the
+   last bit tells which); each slice tells how often its distinct ones come in
+   training text.  One window over the hash sums these, so each slice gets the
+   counts of its own words and pairs back, and no task or driver holds all of
+   them.  A word has at most one row for each slice.
+3. Classes and the network's first tables come from sums over pairs that are
+   bounded whatever the input: by compact numbers (KNOWN**2 rows of 12 bytes,
+   50 MB) and by previous id and class (ids times CLASSES rows of 18 bytes,
+   101 MB).  Only these reach the driver, where ``fit_docs`` training texts chosen by the hash of their id
    give the network its start.  From there each task learns from all its
    training texts, and the tasks' weights are averaged by ids: all training
    text reaches the network, whose weights depend a little on how the texts
@@ -34,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .attention_lm import AttentionModel
+from .attention_lm import KNOWN, AttentionModel, place_ids
 from .shared import materialize, release_memory, table, tidy
 from .subwords import slices, vocabulary
 from .vectorwords import P, hash_of, powers, span_hashes
@@ -42,7 +45,8 @@ from .vectorwords import P, hash_of, powers, span_hashes
 SLICE = 20 << 20
 FIT_DOCS = 600
 LEARN_IDS = 1 << 17
-_END = hash_of("\0end")  # no word: the end of a text, counted as a token
+_WORD = np.uint64((1 << 64) - 2)  # hashes of words are even, of pairs of ids odd
+_END = hash_of("\0end") & int(_WORD)  # no word: the end of a text, counted as a token
 
 
 class Pieces:
@@ -161,11 +165,30 @@ def _hashed(model: Pieces, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     starts = np.flatnonzero(model.opens[ids])
     sums = np.zeros(len(ids) + 1, np.uint64)
     np.cumsum(model.values[ids] * powers(P, len(ids)), out=sums[1:])
-    return span_hashes(sums, starts, np.r_[starts[1:], len(ids)]), np.searchsorted(starts, offsets)
+    return span_hashes(sums, starts, np.r_[starts[1:], len(ids)]) & _WORD, np.searchsorted(starts, offsets)
 
 
-def _words(path: str):
-    """Rows (slice, h, n): the distinct words of a part of a slice and how often they come in its training texts."""
+def _pair_hash(code: np.ndarray) -> np.ndarray:
+    """Odd hashes of pairs (previous id << 16 | id); different pairs differ."""
+    x = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(32) << np.uint64(1))) | np.uint64(1)
+
+
+def _far_pairs(rarer: np.ndarray, end: int, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, text) of the pairs with a rarer id, in texts that stand between end ids."""
+    n = np.diff(offsets) + 1
+    first = np.cumsum(n) - n
+    stream = np.full(int(n.sum()) + 1, end, np.int64)
+    own = np.ones(len(stream), bool)
+    own[first] = own[-1] = False
+    stream[own] = ids
+    odd = rarer[stream]
+    odd = np.flatnonzero(odd[:-1] | odd[1:])
+    return _pair_hash((stream[odd] << 16) | stream[odd + 1]), np.searchsorted(first, odd, side="right") - 1
+
+
+def _words(path: str, rarer: np.ndarray):
+    """Rows (slice, h, n): the distinct words, and pairs with a rarer id, of a part of a slice and how often they come in its training texts."""
 
     def run(batches):
         model, part, size = pieces(path), {}, 0
@@ -189,8 +212,9 @@ def _words(path: str):
                 for a, b in _parts(offsets[first : last + 1]):
                     cut = offsets[first + a : first + b + 1]
                     hashes, of = _hashed(model, ids[cut[0] : cut[-1]], cut - cut[0])
+                    far, text = _far_pairs(rarer, model.end_id, ids[cut[0] : cut[-1]], cut - cut[0])
                     mine = train[first + a : first + b]
-                    own.append(count(np.r_[hashes, np.full(b - a, _END, np.uint64)], np.r_[np.repeat(mine, np.diff(of)), mine]))
+                    own.append(count(np.r_[hashes, np.full(b - a, _END, np.uint64), far], np.r_[np.repeat(mine, np.diff(of)), mine, mine[text]]))
                     size += len(own[-1][0])
                 if len(part) > 1 or size > SLICE // 8:
                     yield from flush()
@@ -200,6 +224,40 @@ def _words(path: str):
     return run
 
 
+class PairTable:
+    """``Pairs`` over a table (before, after, n): only sums bounded by the vocabulary reach the driver."""
+
+    def __init__(self, pairs: DataFrame):
+        self.pairs = pairs
+
+    def _numbered(self, **numbers) -> DataFrame:
+        """The pairs with a number of an id beside each; the numbers are one row an id of the vocabulary."""
+        out = self.pairs
+        for side, values in numbers.items():
+            of = pa.table({side: pa.array(np.arange(len(values)), pa.int32()), side + "_as": pa.array(values, pa.int16())})
+            out = out.join(F.broadcast(out.sparkSession.createDataFrame(of)), side)
+        return out
+
+    def near(self, known):
+        found = self._numbered(before=known, after=known).groupBy("before_as", "after_as").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros((KNOWN, KNOWN))
+        out[found["before_as"].to_numpy(), found["after_as"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    def cells(self, label):
+        found = self._numbered(after=label).groupBy("before", "after_as").agg(F.sum("n").alias("n"), F.count("*").cast("int").alias("kinds")).toArrow()
+        return tuple(found[c].to_numpy().astype(np.int64) for c in ("before", "after_as", "n", "kinds"))
+
+    def after_rarer(self, known):
+        found = self._numbered(before=known).where(F.col("before_as") == KNOWN - 1).groupBy("after").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(len(known), np.int64)
+        out[found["after"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    def lookup(self, known):
+        return None  # the slices bring the counts of their own pairs
+
+
 def _learn(model: AttentionModel):
     """One row (part, ids, weights): the network after all training texts of a task."""
 
@@ -274,7 +332,7 @@ def _score(path: str, model: AttentionModel, total: int, distinct: int):
             n_words[at:to] = np.diff(of)
             base[at:to] = sums + np.log10(end + 1.0) + (np.diff(of) + 1) * floor
             known[at:to] = np.diff(seen[of]) + (end > 0)
-            score[at:to] = model.score(ids, offsets)
+            score[at:to] = model.score(ids, offsets, far=lambda code: counts(_pair_hash(code)))
         release_memory()
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": n_words + 1, "n_known": known, "base_score": base, "score": score})
 
@@ -287,23 +345,21 @@ def score_texts(docs: DataFrame, held_out, path: str, fit_docs: int = FIT_DOCS,
     coded = materialize(rows.mapInArrow(tidy(_encode(path)), "slice long, doc_id long, held_out boolean, ids binary"), "ids")
     texts = coded.where("held_out is not null")
     counts = coded.where("held_out is null").select("ids").mapInArrow(_id_counts, "kind long, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-    # Bounded by the vocabulary: its ids, and pairs of ids that follow each other.
-    found = counts.toArrow()
-    kind, code, n = (found[c].to_numpy() for c in ("kind", "code", "n"))
+    counts = materialize(counts, "counts")
     vocab = pieces(path)
     ids = np.zeros(vocab.end_id + 1, np.int64)
-    ids[code[kind == 0]] = n[kind == 0]
-    order = np.argsort(code[kind == 1])
-    pairs = code[kind == 1][order], n[kind == 1][order]
+    found = counts.where("kind = 0").toArrow()  # a row for each id of the vocabulary
+    ids[found["code"].to_numpy()] = found["n"].to_numpy()
+    pairs = counts.where("kind = 1").select(F.shiftright("code", 32).cast("int").alias("before"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("after"), "n")
 
     by_hash = Window.partitionBy("h").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = F.row_number().over(Window.partitionBy("h").orderBy("slice"))
-    counted = texts.mapInArrow(tidy(_words(path)), "slice long, h long, n long").select("slice", "h", "n", F.sum("n").over(by_hash).alias("c"), (place == 1).alias("first"))
+    counted = texts.mapInArrow(tidy(_words(path, place_ids(ids)[0] == KNOWN - 1)), "slice long, h long, n long").select("slice", "h", "n", F.sum("n").over(by_hash).alias("c"), (place == 1).alias("first"))
     counted = materialize(counted.where("c > 0"), "counted")
-    total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
+    total, distinct = counted.where(F.col("h").bitwiseAND(1) == 0).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if("first")).first()
 
     sample = texts.where("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id").select("ids").limit(fit_docs).toArrow()["ids"].to_pylist()
-    model = AttentionModel(ids, pairs, vocab.end_id).fit([np.frombuffer(b, np.uint16).astype(np.int64) for b in sample])
+    model = AttentionModel(ids, PairTable(pairs), vocab.end_id).fit([np.frombuffer(b, np.uint16).astype(np.int64) for b in sample])
     model = _learn_all(model, texts)
     # As many partitions as there are slices, or a task would hold more of them the larger the input is.
     parts = max(2 * texts.select("slice").distinct().count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

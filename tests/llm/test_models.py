@@ -257,3 +257,26 @@ def test_base_scores(spark, documents, odd_rows, monkeypatch):
 def test_no_texts(spark, documents):
     assert lm_scoring.score_texts(documents([]), F.lit(False), TIK).count() == 0
     assert lm_scoring.score_texts(documents([(1, "a b", "s")]), F.lit(True), TIK).first().train_tokens == 0
+
+
+def test_pairs_of_a_table_are_those_in_memory(spark, documents, monkeypatch):
+    """With more ids than the model knows one by one, scores equal those of a model that holds all pairs itself."""
+    seen, score = [], lm_scoring._score
+    monkeypatch.setattr(lm_scoring, "_score", lambda path, model, *rest: seen.append(model) or score(path, model, *rest))
+    vocab, rng = lm_scoring.pieces(TIK), random.Random(6)
+    words = [w for w in (vocab.encoding.decode([i]).strip() for i in range(300, 12_000)) if w.isascii() and w.isalpha() and w.islower()]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(90)), "s") for k in range(120)]
+    held = F.col("doc_id") % 5 == 0
+    out = {r.doc_id: r.score for r in lm_scoring.score_texts(documents(rows), held, TIK, fit_docs=3).collect()}
+    (model,) = seen
+    ids = [vocab.encode(" " + t).astype(np.int64) for _, t, _ in rows]
+    own = np.concatenate([x for k, i in enumerate(ids) if k % 5 for x in ([vocab.end_id], i)] + [[vocab.end_id]])
+    code, n = np.unique((own[:-1] << 32) | own[1:], return_counts=True)
+    whole = lm.AttentionModel(np.bincount(own[1:], minlength=vocab.end_id + 1), (code, n), vocab.end_id)
+    assert (whole.known[own] == lm.KNOWN - 1).any()
+    whole._start(9)
+    assert (whole.label == model.label).all() and model.far is None
+    whole.w = model.w
+    whole.finish()
+    offsets = np.r_[0, np.cumsum([len(i) for i in ids])]
+    assert np.allclose([out[k] for k in range(120)], whole.score(np.concatenate(ids), offsets), atol=1e-4)
