@@ -1,57 +1,80 @@
 """Filling missing cells from valid ones of the same band, in coordinate space.
 
-nearest: missing cells look for valid ones in the buckets around their own;
-what has none that is surely the nearest looks again in buckets four times as
-large, so no step compares all cells with all.  linear and cubic: a Delaunay
-triangulation of each band's valid cells, interpolated inside its hull.
+nearest: a distance transform in two steps, whatever the raster's size.  Along
+rows, each valid cell owns the columns that it is nearest to; along columns,
+each cell takes the least of the rows' candidates.  No step compares all cells
+with all, and a task holds one row's valid cells or a block of columns.
+linear and cubic: a Delaunay triangulation of each band's valid cells,
+interpolated inside its hull.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.errors import RasterError
 from gridloom.functions.triangles import interpolate
-from gridloom.operators.warp import target_cells
 from gridloom.plans.grid import KEYS, Grid
 
+#: Cells of a block of columns in nearest filling: what a task holds, or one column if that is more.
+COLUMN_CELLS = 1 << 19
 
-def missing_cells(grid: Grid) -> DataFrame:
-    """(band, row, col) of all cells without a value, in bands that have one."""
-    m = grid.meta
-    bands = grid.valid().select("band").distinct()
-    rows = bands.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(m.height - 1)))).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(m.width - 1))))
-    return rows.join(grid.valid().select(*KEYS), list(KEYS), "left_anti")
+
+def least_by_column(cost: np.ndarray, rows: np.ndarray, height: int, step: float) -> np.ndarray:
+    """For each cell (row i, column j) the place k of the least cost[k, j] + ((rows[k] - i) * step)**2, the first where several are least.
+
+    Such places never go back as i grows, so the middle row's parts the work in two, for all columns at a time.
+    """
+    width = cost.shape[1]
+    out = np.empty((height, width), np.int64)
+    column = np.arange(width)
+    start, stop = np.zeros(width, np.int64), np.full(width, height)
+    low, high = np.zeros(width, np.int64), np.full(width, len(rows) - 1)
+    while len(start):
+        middle, size = (start + stop) // 2, high - low + 1
+        begin = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(size)), size)
+        k = np.arange(size.sum()) + np.repeat(low - begin, size)
+        d = cost[k, column[of]] + ((rows[k] - middle[of]) * step) ** 2
+        least = np.flatnonzero(d == np.minimum.reduceat(d, begin)[of])
+        best = k[least[np.searchsorted(least, begin)]]
+        out[middle, column] = best
+        above, below = start < middle, middle + 1 < stop
+        column = np.r_[column[above], column[below]]
+        start, stop, low, high = np.r_[start[above], middle[below] + 1], np.r_[middle[above], stop[below]], np.r_[low[above], best[below]], np.r_[best[above], high[below]]
+    return out
 
 
 def _nearest(grid: Grid) -> DataFrame:
-    m, value = grid.meta, grid.value
+    m, value, kinds = grid.meta, grid.value, dict(grid.df.dtypes)
     rx, ry = map(abs, m.resolution())
-    valid = grid.valid().select("band", F.col("row").alias("v_row"), F.col("col").alias("v_col"), F.col(value).alias("v"))
-    open_cells, filled, size = missing_cells(grid), [], 4
-    offsets = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    while True:
-        last = size >= max(m.width, m.height)
-        here = open_cells.withColumn("b_row", F.explode(F.transform(offsets, lambda k: F.floor(F.col("row") / size) + k))).withColumn("b_col", F.explode(F.transform(offsets, lambda k: F.floor(F.col("col") / size) + k)))
-        there = valid.withColumns({"b_row": F.floor(F.col("v_row") / size), "b_col": F.floor(F.col("v_col") / size)})
-        d2 = F.pow((F.col("v_col") - F.col("col")) * rx, 2) + F.pow((F.col("v_row") - F.col("row")) * ry, 2)
-        pairs = here.join(there, ["band", "b_row", "b_col"]).select(*KEYS, d2.alias("d2"), "v_row", "v_col", "v")
-        best = pairs.groupBy(*KEYS).agg(F.min(F.struct("d2", "v_row", "v_col", "v")).alias("best"))
-        if last:
-            filled.append(best)
-            break
-        # Nothing outside the nine buckets is nearer than this.
-        sure = best.where(F.col("best.d2") <= float((size * min(rx, ry)) ** 2))
-        filled.append(sure)
-        open_cells = open_cells.join(sure.select(*KEYS), list(KEYS), "left_anti")
-        size *= 4
-    out = filled[0]
-    for more in filled[1:]:
-        out = out.unionByName(more)
-    return out.select(*KEYS, F.col("best.v").alias(value))
+    height, width = m.height, m.width
+    block = max(1, COLUMN_CELLS // max(height, 1))
+    in_row = Window.partitionBy("band", "row").orderBy("col")
+    before, after = F.lag("col").over(in_row), F.lead("col").over(in_row)
+    # The columns that a valid cell is nearest to in its row; of two at one distance the left one.
+    owned = grid.valid().select("band", "row", "col", value, F.coalesce(F.floor((before + F.col("col")) / 2) + 1, F.lit(0)).cast("int").alias("low"), F.coalesce(F.floor((F.col("col") + after) / 2), F.lit(width - 1)).cast("int").alias("high"))
+    dealt = owned.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))))
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = int(pdf["block"].iloc[0]) * block
+        across = min(block, width - left)
+        pdf = pdf.sort_values(["row", "col"])
+        rows, at = np.unique(pdf["row"].to_numpy(), return_inverse=True)
+        low, high = np.maximum(pdf["low"].to_numpy(), left), np.minimum(pdf["high"].to_numpy(), left + across - 1)
+        owner = np.repeat(np.arange(len(pdf)), high - low + 1).reshape(len(rows), across)  # every row's columns are owned, once each
+        from_col = pdf["col"].to_numpy()[owner]
+        aside = from_col - (left + np.arange(across))
+        k = least_by_column((aside * rx) ** 2, rows, height, ry)
+        known = np.zeros((height, across), bool)
+        known[rows] = aside == 0
+        row, col = np.nonzero(~known)
+        return pd.DataFrame({"band": pdf["band"].iloc[0], "row": row, "col": col + left, value: pdf[value].to_numpy()[owner[k[row, col], col]]})
+
+    return dealt.groupBy("band", "block").applyInPandas(fill, f"band {kinds['band']}, row int, col int, {value} {kinds[value]}")
 
 
 def interpolate_na(grid: Grid, method: str = "nearest") -> Grid:

@@ -1,4 +1,4 @@
-"""GeoTIFF files: strips or tiles, plain or deflate, any integer or float type, from the file's published layout.
+"""GeoTIFF files: strips or tiles, plain or compressed, any integer or float type, from the file's published layout.
 
 Reading takes the directory from the file's head and only the blocks of a
 window; writing makes one file of tiles.
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import io
 import struct
-import zlib
 from xml.sax.saxutils import escape
 
 import numpy as np
@@ -16,6 +15,7 @@ import numpy as np
 from gridloom.functions.affine import Affine
 from gridloom.functions.crs import parse_crs
 from gridloom.plans.meta import GridMeta
+from gridloom.sources.blockcodecs import COMPRESSIONS, OLD_DEFLATE, decode, encode, predicted, unpredicted
 
 #: Numbers of tags and of field types (with their struct codes) in the file format.
 TAGS = {
@@ -53,7 +53,7 @@ class TiffReader:
         self.block = (one("tile_height"), one("tile_width")) if self.tiled else (min(one("rows_per_strip", self.height), self.height), self.width)
         self.offsets = self.tags["tile_offsets" if self.tiled else "strip_offsets"]
         self.counts = self.tags["tile_counts" if self.tiled else "strip_counts"]
-        if self.compression not in (1, 8, 32946):
+        if self.compression not in (*COMPRESSIONS.values(), OLD_DEFLATE):
             raise ValueError(f"compression {self.compression} is not read here")
 
     def _at(self, offset: int, size: int) -> bytes:
@@ -125,17 +125,11 @@ class TiffReader:
         k = row * across + col + (band * down * across if self.separate else 0)
         bh, bw = self.block
         depth = 1 if self.separate else self.samples
+        rows = min(bh, self.height - row * bh)
         if not self.counts[k]:  # a block that was never written
-            data = np.zeros(bh * bw * depth, self.dtype)
+            data = np.zeros((rows, bw, depth), self.dtype)
         else:
-            raw = self._at(self.offsets[k], self.counts[k])
-            data = np.frombuffer(zlib.decompress(raw) if self.compression != 1 else raw, self.dtype)
-        rows = min(bh, self.height - row * bh)
-        data = data.reshape(-1, bw, depth)
-        if self.predictor == 2:
-            data = np.cumsum(data, 1, dtype=self.dtype)
-        elif self.predictor == 3:
-            raise ValueError("the floating point predictor is not read here")
+            data = unpredicted(self.predictor, decode(self.compression, self._at(self.offsets[k], self.counts[k])), self.dtype, bw, depth)
         return data[:rows, : min(bw, self.width - col * bw), 0 if self.separate else band].astype(self.dtype.newbyteorder("="))
 
     def read(self, band: int = 0, window: tuple[int, int, int, int] | None = None) -> np.ndarray:
@@ -161,8 +155,15 @@ def _metadata_xml(tags: dict, scales, offsets, descriptions, units) -> str:
     return f"<GDALMetadata>{''.join(items)}</GDALMetadata>" if items else ""
 
 
-def tiff_bytes(data: np.ndarray, meta: GridMeta, tile: int = 256, compress: bool = True, tags=None, scales=None, offsets=None, descriptions=None, units=None) -> bytes:
-    """A file of tiles from (bands, rows, columns), bands separate; the type is that of the data."""
+def tiff_bytes(data: np.ndarray, meta: GridMeta, tile: int = 256, compress: bool | str | None = True, predictor: int = 1, tags=None, scales=None, offsets=None, descriptions=None, units=None) -> bytes:
+    """A file of tiles from (bands, rows, columns), bands separate; the type is that of the data.
+
+    compress: "deflate" (True), "lzw", "packbits", "zstd" or None (False); predictor: 1 none, 2 whole numbers, 3 floats.
+    """
+    compress = {True: "deflate", False: None}.get(compress, compress)
+    if compress not in COMPRESSIONS:
+        raise ValueError(f"unknown compression {compress!r}; known: {', '.join(filter(None, COMPRESSIONS))}")
+    number, predictor = COMPRESSIONS[compress], predictor if compress else 1
     data = data[None] if data.ndim == 2 else data
     bands, height, width = data.shape
     if descriptions and len(descriptions) != bands:
@@ -177,13 +178,13 @@ def tiff_bytes(data: np.ndarray, meta: GridMeta, tile: int = 256, compress: bool
                 block = np.zeros((tile, tile), data.dtype.newbyteorder("<"))
                 part = data[b, r : r + tile, c : c + tile]
                 block[: part.shape[0], : part.shape[1]] = part
-                raw = zlib.compress(block.tobytes()) if compress else block.tobytes()
+                raw = encode(number, predicted(predictor, block))
                 offsets_.append(out.tell())
                 counts.append(len(raw))
                 out.write(raw)
     t = meta.transform
     fields = [
-        ("width", 4, [width]), ("height", 4, [height]), ("bits", 3, [data.dtype.itemsize * 8] * bands), ("compression", 3, [8 if compress else 1]), ("photometric", 3, [1]), ("samples", 3, [bands]), ("planar", 3, [2]),
+        ("width", 4, [width]), ("height", 4, [height]), ("bits", 3, [data.dtype.itemsize * 8] * bands), ("compression", 3, [number]), ("predictor", 3, [predictor]), ("photometric", 3, [1]), ("samples", 3, [bands]), ("planar", 3, [2]),
         ("tile_width", 3, [tile]), ("tile_height", 3, [tile]), ("tile_offsets", 4, offsets_), ("tile_counts", 4, counts), ("sample_format", 3, [{"u": 1, "i": 2, "f": 3, "c": 6}[data.dtype.kind]] * bands),
     ]
     if t.rectilinear and t.a > 0 and t.e < 0:

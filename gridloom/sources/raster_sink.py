@@ -87,7 +87,7 @@ def raster_bytes(grid: Grid, driver: str = "GTiff", dtype=None, tags=None, recal
     names = many(attrs.get("long_name"))
     plain = {k: v for k, v in (attrs | (tags or {})).items() if k not in ("long_name", "units", "_FillValue", "scale_factor", "add_offset", "scale_factors", "add_offsets") and not isinstance(v, dict)}
     scales, offsets = many(encoding.get("scale_factor", attrs.get("scale_factors", attrs.get("scale_factor")))), many(encoding.get("add_offset", attrs.get("add_offsets", attrs.get("add_offset"))))
-    return tiff_bytes(data, meta, tile=profile.get("blocksize", 256), compress=profile.get("compress", "deflate") is not None, tags=plain, scales=scales, offsets=offsets, descriptions=names, units=many(attrs.get("units")))
+    return tiff_bytes(data, meta, tile=profile.get("blocksize", 256), compress=(profile.get("compress", "deflate") or "").lower() or None, predictor=int(profile.get("predictor", 1)), tags=plain, scales=scales, offsets=offsets, descriptions=names, units=many(attrs.get("units")))
 
 
 def driver_of(path: str) -> str:

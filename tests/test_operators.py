@@ -323,3 +323,22 @@ def test_small_changes(spark, six):
     assert one.rename("t").value == "t" and one.assign_transform(Affine(1, 0, 0, 0, -1, 6)).meta.bounds() == (0, 0, 6, 6)
     assert one.where(lambda v: v > 30).valid().count() == 5 and one.where(lambda v: v > 30).fillna(0.0).df.where("value = 0").count() == 31
     assert GridSet({"a": one, "b": one}, {"c": (1, None)}).drop_vars("a", "c").vars == ["b"]
+
+
+def test_gap_filling_over_blocks_and_ties(spark, monkeypatch):
+    """Blocks of one and of a few columns, rows without valid cells, and unit cells, where ties go to the smaller row and column."""
+    from gridloom.operators import gapfill
+
+    rng = np.random.default_rng(8)
+    for cells, share in ((1, 0.05), (100, 0.3), (1 << 19, 0.01)):
+        monkeypatch.setattr(gapfill, "COLUMN_CELLS", cells)
+        data = rng.uniform(0, 9, (2, 23, 17))
+        data[rng.uniform(size=data.shape) > share] = np.nan
+        data[0, 4, 3] = 5.0
+        got = dense(op.interpolate_na(make(spark, data, Affine(1, 0, 0, 0, -1, 23), nodata=math.nan)))
+        for b in range(2):
+            r, c = np.nonzero(~np.isnan(data[b]))
+            for i in range(23 if len(r) else 0):
+                for j in range(17):
+                    k = np.lexsort((c, r, (c - j) ** 2 + (r - i) ** 2))[0]
+                    assert got[b, i, j] == data[b, r[k], c[k]]

@@ -212,3 +212,42 @@ def test_versions(capsys):
 
     show_versions()
     assert "pyspark" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("compress", ["lzw", "packbits", "zstd", "deflate", None])
+@pytest.mark.parametrize("kind, predictor", [("u1", 1), ("u1", 2), ("i2", 2), ("u4", 2), ("f4", 2), ("f4", 3), ("f8", 3)])
+def test_compressions_and_predictors(kind, predictor, compress):
+    rng = np.random.default_rng(5)
+    data = np.stack([np.zeros((90, 70)), np.arange(6300).reshape(90, 70) // 5, rng.uniform(0, 250, (90, 70))]).astype(kind)
+    meta = GridMeta(70, 90, Affine(3, 0, 500000, 0, -3, 4600000), parse_crs(32618))
+    r = TiffReader(io.BytesIO(tiff_bytes(data, meta, tile=64, compress=compress, predictor=predictor)))
+    assert all((r.read(b) == data[b]).all() for b in range(3))
+
+
+def test_lzw_codes():
+    # The example of the file format's text, and blocks that fill the table several times.
+    from gridloom.sources import blockcodecs as codecs
+
+    def packed(codes, width=9):
+        bits = "".join(f"{c:0{width}b}" for c in codes)
+        return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+    text, codes = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6]), [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    assert codecs.lzw_decode(packed(codes)) == text and codecs.lzw_encode(text) == packed(codes)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 300, 20_000):
+        for top in (1, 3, 256):
+            data = rng.integers(0, top, n).astype("u1").tobytes()
+            assert codecs.lzw_decode(codecs.lzw_encode(data)) == data and codecs.packbits_decode(codecs.packbits_encode(data)) == data
+    assert codecs.packbits_decode(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    with pytest.raises(ValueError):
+        codecs.lzw_decode(b"\0\0\0")
+
+
+def test_written_compressions(spark, tmp_path):
+    data = np.random.default_rng(2).uniform(0, 9, (2, 40, 30)).astype("f4")
+    path = str(tmp_path / "z.tif")
+    raster_sink.to_raster(grid(spark, data), path, compress="LZW", predictor=3)
+    assert (raster_sink.to_array(raster_source.open_raster(spark, path)) == data).all()
+    with pytest.raises(ValueError):
+        raster_sink.to_raster(grid(spark, data), path, compress="jpeg")
