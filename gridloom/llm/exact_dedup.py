@@ -137,7 +137,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") ->
     groups = index.decide(rows.select("doc_id", "digest", "row"), "all")
     index.close()
     stays = groups.where("keep_row is not null").select(F.col("keep_row").alias("row"))
-    return rows.join(stays, "row", "left_semi").select("held.*")
+    # Always a sort-merge join: what stays grows with the input, and must not be broadcast while it is small.
+    return rows.join(stays.hint("merge"), "row", "left_semi").select("held.*")
 
 
 def exact_dedup_query(spark, sf_dir) -> DataFrame:

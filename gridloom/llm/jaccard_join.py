@@ -428,7 +428,8 @@ def one_of_each_class(docs: DataFrame, threshold=THRESHOLD, width=WIDTH, trees=T
     classes = _classes(held.select("row", "doc_id", F.col("held")[text_col].alias("text")), threshold, width, trees, depth, target)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     stays = classes.groupBy("class").agg(first.alias("first")).select(F.col("first.row").alias("row"))
-    return held.join(stays, "row", "left_semi").select("held.*")
+    # A sort-merge join at every size, as for the members.
+    return held.join(stays.hint("merge"), "row", "left_semi").select("held.*")
 
 
 def jaccard_query(spark, sf_dir) -> DataFrame:
