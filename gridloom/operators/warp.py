@@ -3,8 +3,11 @@
 The target grid is generated, its centres are taken back to source places by
 Column arithmetic, and cells meet by an equi-join on integer places, so bands
 share one index and nothing is joined on floating point.  Interpolating
-methods spread each target over its stencil before the join; area methods go
-the other way and group source cells by the target that holds their centre.
+methods spread each target over its stencil before the join.  Area methods
+weigh a source cell by the part of it that the target covers; where rows and
+columns can be told apart (between unsheared grids in one system, or in
+geographic and Mercator ones) source cells go to the targets that they meet
+without a join, else targets are spread over the box of their corners' places.
 """
 
 from __future__ import annotations
@@ -21,10 +24,13 @@ from gridloom.plans.grid import KEYS, Grid
 from gridloom.plans.meta import GridMeta
 
 INTERPOLATING = {"nearest": 1, "bilinear": 2, "cubic": 4}
+#: Of the values v that a target meets, with the parts w of their cells that it covers.
 GROUPING = {
-    "average": lambda v: F.avg(v), "mode": lambda v: F.mode(v, deterministic=True), "min": lambda v: F.min(v), "max": lambda v: F.max(v), "med": lambda v: F.percentile(v, 0.5),
-    "q1": lambda v: F.percentile(v, 0.25), "q3": lambda v: F.percentile(v, 0.75), "sum": lambda v: F.sum(v), "rms": lambda v: F.sqrt(F.avg(v * v)),
+    "average": lambda v, w: F.sum(w * v) / F.sum(w), "sum": lambda v, w: F.sum(w * v), "rms": lambda v, w: F.sqrt(F.sum(w * v * v) / F.sum(w)), "mode": None,
+    "min": lambda v, w: F.min(v), "max": lambda v, w: F.max(v), "med": lambda v, w: F.percentile(v, 0.5), "q1": lambda v, w: F.percentile(v, 0.25), "q3": lambda v, w: F.percentile(v, 0.75),
 }
+_APART = {"geographic", "web_mercator", "mercator"}  # systems in which x is one of longitude and y one of latitude alone
+_TOUCH = 1e-9  # less of a cell does not count
 
 
 def resampling_name(name) -> str:
@@ -143,12 +149,9 @@ def reproject(grid: Grid, dst_crs, *, resolution=None, shape=None, transform: Af
     if src_geoloc_array is not None:
         return Grid(_by_places(source, src_geoloc_array, meta, src, dst, value), meta)
     if method in GROUPING:
-        x, y = _xy(m.transform) if not m.gcps else _xy(fit_gcps(m.gcps))
-        x, y = crs_lib.transform(src, dst, x, y)
-        back = transform.inverse()
-        to_col, to_row = F.floor(x * back.a + y * back.b + back.c), F.floor(x * back.d + y * back.e + back.f)
-        placed = source.select("band", to_row.cast("int").alias("row"), to_col.cast("int").alias("col"), value).where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
-        return Grid(placed.groupBy(*KEYS).agg(GROUPING[method](F.col(value)).alias(value)), meta)
+        apart = m.transform.rectilinear and transform.rectilinear and not m.gcps and not m.rpcs and (src == dst or {src.kind, dst.kind} <= _APART)
+        covered = (_covered_apart if apart else _covered)(source, m, meta, src, dst, value)
+        return Grid(_grouped(covered, method, value), meta)
     x, y = _xy(transform)
     col, row = _source_place(m, src, dst, x, y)
     cells = target_cells(grid.df.sparkSession, transform, width, height).select("row", "col", col.alias("u"), row.alias("v"))
@@ -168,6 +171,63 @@ def reproject(grid: Grid, dst_crs, *, resolution=None, shape=None, transform: Af
     return Grid(mixed.where(F.abs("w") > 1e-9).select(*KEYS, value), meta)
 
 
+def _spread(cells: DataFrame, name: str, edge: Column, other: Column, size: int) -> DataFrame:
+    """A row for each whole place in 0 .. size - 1 between two edges."""
+    inside = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(float(size)))
+    cells = cells.withColumns({"lo": F.floor(inside(F.least(edge, other))).cast("int"), "hi": F.ceil(inside(F.greatest(edge, other))).cast("int") - 1})
+    return cells.where("lo <= hi").withColumn(name, F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+
+
+def _part(place: Column, edge: Column, other: Column) -> Column:
+    """How much of the place, which is 1 long, lies between two edges."""
+    return F.least(place + 1, F.greatest(edge, other)) - F.greatest(place.cast("double"), F.least(edge, other))
+
+
+def _covered_apart(source: DataFrame, m: GridMeta, meta: GridMeta, src, dst, value: str) -> DataFrame:
+    """(band, row, col, value, w): source cells with the targets that they meet, rows by rows and columns by columns."""
+    t, back, zero = m.transform, meta.transform.inverse(), F.lit(0.0)
+    s_row, s_col = F.col("s_row"), F.col("s_col")
+    to_row = lambda r: crs_lib.transform(src, dst, zero, r * t.e + t.f)[1] * back.e + back.f
+    to_col = lambda c: crs_lib.transform(src, dst, c * t.a + t.c, zero)[0] * back.a + back.c
+    from_row = lambda r: _source_place(m, src, dst, zero, r * meta.transform.e + meta.transform.f)[1]
+    from_col = lambda c: _source_place(m, src, dst, c * meta.transform.a + meta.transform.c, zero)[0]
+    cells = source.select("band", F.col("row").alias("s_row"), F.col("col").alias("s_col"), value)
+    cells = _spread(cells, "row", to_row(s_row), to_row(s_row + 1), meta.height)
+    cells = cells.withColumn("w", _part(s_row, from_row(F.col("row")), from_row(F.col("row") + 1))).where(F.col("w") > _TOUCH)
+    cells = _spread(cells, "col", to_col(s_col), to_col(s_col + 1), meta.width)
+    cells = cells.withColumn("part", _part(s_col, from_col(F.col("col")), from_col(F.col("col") + 1))).where(F.col("part") > _TOUCH)
+    return cells.select(*KEYS, value, (F.col("w") * F.col("part")).alias("w"))
+
+
+def _covered(source: DataFrame, m: GridMeta, meta: GridMeta, src, dst, value: str) -> DataFrame:
+    """The same from targets, each spread over the source cells in the box of its corners' places; all bands share these."""
+    t = meta.transform
+    corners = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in (t(F.col("col") + i, F.col("row") + j) for i in (0.0, 1.0) for j in (0.0, 1.0))])
+
+    def place(p):
+        u, v = _source_place(m, src, dst, p["x"], p["y"])
+        return F.struct(u.alias("u"), v.alias("v"))
+
+    cells = target_cells(source.sparkSession, t, meta.width, meta.height).select("row", "col", F.transform(corners, place).alias("p"))
+    # Boxes come from a generator, or the places' long expressions would be repeated wherever an edge is used.
+    box = F.struct(*[pick(F.col("p")[c]).alias(f"{c}{k}") for c in "uv" for k, pick in enumerate((F.array_min, F.array_max))])
+    cells = cells.select("row", "col", F.inline(F.array(box)))
+    cells = _spread(cells, "s_row", F.col("v0"), F.col("v1"), m.height)
+    cells = _spread(cells, "s_col", F.col("u0"), F.col("u1"), m.width)
+    down, across = _part(F.col("s_row"), F.col("v0"), F.col("v1")), _part(F.col("s_col"), F.col("u0"), F.col("u1"))
+    index = cells.where((down > _TOUCH) & (across > _TOUCH)).select("row", "col", "s_row", "s_col", (down * across).alias("w"))
+    taps = source.select("band", F.col("row").alias("s_row"), F.col("col").alias("s_col"), value)
+    return index.join(taps, ["s_row", "s_col"]).select(*KEYS, value, "w")
+
+
+def _grouped(covered: DataFrame, method: str, value: str) -> DataFrame:
+    v, w = F.col(value), F.col("w")
+    if method == "mode":  # the value that covers most; of several the least
+        covered = covered.groupBy(*KEYS, value).agg(F.round(F.sum(w), 9).alias("w"))
+        return covered.groupBy(*KEYS).agg(F.min_by(v, F.struct(-w, v)).alias(value))
+    return covered.groupBy(*KEYS).agg(GROUPING[method](v, w).alias(value))
+
+
 def _by_places(source: DataFrame, places: DataFrame, meta: GridMeta, src, dst, value: str) -> DataFrame:
     """Each source cell goes to the target that holds its place (row, col, x, y); of several the nearest to the centre wins."""
     x, y = crs_lib.transform(src, dst, F.col("x"), F.col("y"))

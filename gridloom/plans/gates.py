@@ -366,6 +366,23 @@ def resample_bilinear(spark, sf_dir):
     return _rounded(op.reproject_match(g, g.meta.with_(width=12, height=9, transform=_MATCH), resampling="bilinear"))
 
 
+def _covering(expression: str) -> str:
+    """Of values with the parts w of their cells that targets cover, from edges in degrees."""
+    return f"""WITH {R1}, t AS (SELECT i::INT AS row, j::INT AS col, 10.11 + j * 0.3::DOUBLE AS x0, 10.11 + (j + 1) * 0.3::DOUBLE AS x1, 49.93 - (i + 1) * 0.2::DOUBLE AS y0, 49.93 - i * 0.2::DOUBLE AS y1 FROM range(9) a(i), range(12) b(j)),
+      p AS (SELECT r1.band, t.row, t.col, (least(x + 0.25, x1) - greatest(x - 0.25, x0)) / 0.5 AS a, (least(y + 0.125, y1) - greatest(y - 0.125, y0)) / 0.25 AS b, a * b AS w, value
+        FROM t JOIN r1 ON x + 0.25 > x0 AND x - 0.25 < x1 AND y + 0.125 > y0 AND y - 0.125 < y1)
+      SELECT band, row, col, round({expression}, 6) AS value FROM p WHERE a > 1e-9 AND b > 1e-9 GROUP BY 1, 2, 3"""
+
+
+for _name, _sql in {"average": "sum(w * value) / sum(w)", "sum": "sum(w * value)", "rms": "sqrt(sum(w * value * value) / sum(w))", "max": "max(value)", "med": "quantile_cont(value, 0.5)"}.items():
+
+    def _cover(spark, sf_dir, m=_name):
+        g = rasters.tiles(spark, sf_dir)
+        return _rounded(op.reproject_match(g, g.meta.with_(width=12, height=9, transform=_MATCH), resampling=m))
+
+    QUERIES[f"resample_{_name}_partly"], ORACLES[f"resample_{_name}_partly"] = _cover, _covering(_sql)
+
+
 _K = "CASE WHEN {0} <= 1 THEN 1.5 * {0} * {0} * {0} - 2.5 * {0} * {0} + 1 WHEN {0} < 2 THEN -0.5 * {0} * {0} * {0} + 2.5 * {0} * {0} - 4 * {0} + 2 ELSE 0 END"
 
 

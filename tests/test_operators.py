@@ -160,6 +160,57 @@ def test_reproject_to_itself(spark):
         assert out.meta.shape == g.meta.shape and np.allclose(dense(out), data), method
 
 
+def _parts(edges, n):
+    """How much of each of n cells lies between neighbouring edges."""
+    lo, hi = np.minimum(edges[:-1], edges[1:])[:, None], np.maximum(edges[:-1], edges[1:])[:, None]
+    return np.clip(np.minimum(hi, np.arange(n) + 1) - np.maximum(lo, np.arange(n)), 0, None)
+
+
+def test_area_methods_weigh_by_what_is_covered(spark):
+    data = np.random.default_rng(4).uniform(1, 9, (2, 6, 5)).round(0)
+    data[0, 2, 3] = math.nan
+    g = make(spark, data, Affine(2, 0, 0, 0, -2, 12))
+    for to, shape in ((Affine(0.7, 0, -1, 0, -0.9, 13), (16, 17)), (Affine(3.1, 0, 0.3, 0, -5, 12), (3, 3)), (Affine(2, 0, 1, 0, 2, 1), (6, 6))):
+        rows, cols = _parts((12 - (to.f + to.e * np.arange(shape[0] + 1))) / 2, 6), _parts((to.c + to.a * np.arange(shape[1] + 1)) / 2, 5)
+        for method in ("average", "sum", "rms", "mode", "max", "med") if to.a == 3.1 else ("average", "mode"):
+            got = dense(op.reproject(g, 26915, transform=to, shape=shape, resampling=method))
+            for b in range(2):
+                for r in range(shape[0]):
+                    for c in range(shape[1]):
+                        w = np.outer(rows[r], cols[c])
+                        w[np.isnan(data[b])] = 0
+                        v, w = data[b][w > 1e-9], w[w > 1e-9]
+                        if not len(v):
+                            assert math.isnan(got[b, r, c]), (method, b, r, c)
+                            continue
+                        values = np.unique(v)
+                        want = {
+                            "average": (v * w).sum() / w.sum(), "sum": (v * w).sum(), "rms": math.sqrt((v * v * w).sum() / w.sum()), "max": v.max(), "med": np.median(v),
+                            "mode": values[np.argmax([w[v == x].sum().round(9) for x in values])],
+                        }[method]
+                        assert got[b, r, c] == pytest.approx(want, abs=1e-9), (method, b, r, c)
+
+
+def test_area_methods_by_boxes_of_targets(spark, monkeypatch):
+    from gridloom.operators import warp
+
+    data = np.random.default_rng(5).uniform(0, 1, (9, 8))
+    g = make(spark, data, Affine(0.5, 0, 10, 0, -0.25, 50), 4326)
+    want = {m: dense(op.reproject(g, 3857, shape=(5, 3), resampling=m)) for m in ("average", "sum")}
+    monkeypatch.setattr(warp, "_APART", set())
+    for m, w in want.items():
+        assert np.allclose(dense(op.reproject(g, 3857, shape=(5, 3), resampling=m)), w, atol=1e-9, equal_nan=True), m
+    constant = op.reproject(make(spark, np.full((9, 8), 7.0), g.meta.transform, 4326), 32633, resampling="average")
+    assert constant.df.count() > 50 and {round(r.value, 9) for r in constant.df.collect()} == {7.0}
+
+
+def test_area_methods_at_a_pole_and_without_cells(spark):
+    whole = make(spark, np.ones((4, 4)), Affine(90, 0, -180, 0, -45, 90), 4326)
+    assert op.reproject(whole, 3857, transform=Affine(1e7, 0, -2e7, 0, -1e7, 2e7), shape=(4, 4), resampling="average").df.count() == 16
+    empty = whole.with_(whole.df.limit(0))
+    assert op.reproject(empty, 3857, transform=Affine(1e7, 0, -2e7, 0, -1e7, 2e7), shape=(4, 4), resampling="sum").df.count() == 0
+
+
 def test_reproject_rotated(spark):
     data = np.arange(100.0).reshape(10, 10) + 1
     g = make(spark, data, Affine(1, 0.2, 0, 0, 1, 0), nodata=0.0)
