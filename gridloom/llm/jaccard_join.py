@@ -54,6 +54,8 @@ NODE_CHUNK = 256
 CHUNK, CHUNK_GRAMS = 1024, 4 << 20
 #: Parts over which the rows of a text that comes more than once are dealt.
 SALTS = 32
+#: Bits of a filter for each key that it holds, and at most.
+BITS_A_KEY, MOST_BITS = 16, 1 << 26
 #: An n-gram in fewer texts of a cell is counted pair by pair, others by matrix products.
 DENSE = 16
 
@@ -346,6 +348,23 @@ def _chunked(table: DataFrame) -> DataFrame:
     return table.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
 
 
+def may_match(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be among that of ``keys``: every one that is there, and few others.
+
+    A bitmap over hashes of the keys, of bounded size, is broadcast, so that the exchange of the exact join that follows
+    moves few rows.  The more keys there are beyond the bits, the more rows pass, up to all.
+    """
+    n = keys.agg(F.approx_count_distinct(column)).first()[0]
+    if n > 2 * MOST_BITS:
+        return rows
+    bits = min(MOST_BITS, 1 << max(10, (BITS_A_KEY * n).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    placed = rows.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+    return placed.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _near(firsts: DataFrame, trees: int, depth: int, length: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
     """Edges between texts that are near below nodes of one depth, and how many pairs of each similarity met there."""
     nodes = _nodes(firsts, trees, depth, length)
@@ -353,8 +372,9 @@ def _near(firsts: DataFrame, trees: int, depth: int, length: int, threshold: flo
     if length < depth:  # a node with one child has been seen below
         shared = shared.where("least <> most")
     shared = materialize(shared.select("key", F.expr(f"cast((size + {NODE_CHUNK - 1}) div {NODE_CHUNK} as int)").alias("chunks")), "shared")
-    below = _chunked(nodes.select("key", "doc").join(shared, "key")).select("key", "chunk", "chunks", "doc")
-    signatures = firsts.select("doc", "signature")
+    below = _chunked(may_match(nodes.select("key", "doc"), shared, "key").join(shared, "key")).select("key", "chunk", "chunks", "doc")
+    below = materialize(below, "below")
+    signatures = may_match(firsts.select("doc", "signature"), below, "doc")
     ordered = below.join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "doc")
     found = materialize(ordered.mapInArrow(tidy(_covers(threshold)), _EDGES), "near")
     met = np.zeros(trees * depth + 1)
@@ -394,7 +414,7 @@ def _classes(rows: DataFrame, threshold, width, trees, depth, target) -> DataFra
     groups = components(edges).select(F.col("node").alias("doc"), "label")
     sizes = groups.join(firsts.select("doc", "n"), "doc").groupBy("label").agg(F.expr(f"cast(greatest((count(1) + {CHUNK - 1}) div {CHUNK}, (sum(n) + {CHUNK_GRAMS - 1}) div {CHUNK_GRAMS}) as int)").alias("chunks"))
     # Always a sort-merge join: group members grow with the input, and so must not be broadcast at any size.
-    members = rows.select(F.col("row").alias("doc"), "text").join(groups.hint("merge"), "doc").select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
+    members = may_match(rows.select(F.col("row").alias("doc"), "text"), groups, "doc").join(groups.hint("merge"), "doc").select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
     cells = _chunked(members.join(sizes, "label")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("label", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc", "grams")
     checked = cells.repartition("label", "c1", "c2").sortWithinPartitions("label", "c1", "c2", "doc").mapInArrow(tidy(_verify(threshold)), "label long, doc long, root long, links long")

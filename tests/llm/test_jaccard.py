@@ -159,3 +159,15 @@ def test_components(spark):
     for x in parent:
         groups[root(x)].add(x)
     assert all(got[x] == min(g) for g in groups.values() if len(g) > 1 for x in g)
+
+
+def test_filter_before_exchanges_keeps_every_match(spark, monkeypatch):
+    rows = spark.range(0, 60_000).selectExpr("id AS doc", "cast(id AS string) AS text")
+    keys = spark.range(0, 60_000, 30).selectExpr("explode(array(id, id)) AS doc")
+    found = {r.doc for r in j.may_match(rows, keys, "doc").collect()}
+    assert found >= set(range(0, 60_000, 30)) and len(found) < 8000
+    assert j.may_match(rows, keys.limit(0), "doc").count() == 0
+    for most in (64, 1 << 12):  # fewer bits than keys: all rows, or more of them
+        monkeypatch.setattr(j, "MOST_BITS", most)
+        few = j.may_match(rows, keys, "doc")
+        assert few.columns == ["doc", "text"] and few.join(keys.distinct(), "doc").count() == 2000
