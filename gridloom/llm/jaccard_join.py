@@ -11,6 +11,9 @@
    or until even pairs at the threshold alone would reach it.  One unseen pair
    at the threshold is always supposed, so small tables are searched down to
    that end.  A node with one child has no new pair and is not visited again.
+   Texts that share a node share all above it, so only the nodes of the
+   shortest prefix are counted for all texts; the others for those that share
+   one.
 3. Below a node, the smallest text that no other covers is compared with all
    others by whole signatures.  It covers what is at least COVER similar, and
    is joined to all that can link to what it covers: as Jaccard distance is a
@@ -123,10 +126,18 @@ def _signatures(width: int, trees: int, depth: int):
     return run
 
 
-def _nodes(firsts: DataFrame, trees: int, depth: int, length: int) -> DataFrame:
-    """(key, child, doc): the node of each text at depth ``length`` of each trie, and its child above the text."""
-    paths = f"transform(sequence(0, {trees - 1}), t -> struct(xxhash64(t, substring(signature, t * {2 * depth} + 1, {2 * length})) AS key, xxhash64(t, substring(signature, t * {2 * depth} + 1, {2 * length + 2})) AS child))"
-    return firsts.select("doc", F.explode(F.expr(paths)).alias("at")).select("at.key", "at.child", "doc")
+def _paths(firsts: DataFrame, trees: int, depth: int, last: int) -> DataFrame:
+    """(doc, at<last>, ..., at<depth>): the nodes of a text in a trie, by depth, where its node of depth ``last`` may hold another text."""
+
+    def node(length):
+        return f"xxhash64(t, substring(signature, t * {2 * depth} + 1, {2 * length}))"
+
+    tries = f"transform(sequence(0, {trees - 1}), t -> "
+    roots = firsts.select(F.explode(F.expr(f"{tries}{node(last)})")).alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    roots = materialize(roots.select(F.col("at").alias(f"at{last}")), "roots")
+    nodes = ", ".join(f"{node(n)} AS at{n}" for n in range(last, depth + 1))
+    paths = firsts.select("doc", F.explode(F.expr(f"{tries}struct({nodes}))")).alias("path")).select("doc", "path.*")
+    return materialize(may_match(paths, roots, f"at{last}"), "paths")
 
 
 def _whole_groups(batches, key: list[str]):
@@ -321,7 +332,7 @@ def _sets(width: int):
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 grams, first = shingle_sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("label"), pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["doc", "label", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc", "label", "chunks")), pa.array([grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["doc", "label", "chunks", "grams"])
 
     return run
 
@@ -348,26 +359,35 @@ def _chunked(table: DataFrame) -> DataFrame:
     return table.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
 
 
-def may_match(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """The rows whose ``column`` may be among that of ``keys``: every one that is there, and few others.
+def flagged(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows, with whether their ``column`` may be among that of ``keys`` (may): true for every one that is there, and for few others.
 
-    A bitmap over hashes of the keys, of bounded size, is broadcast, so that the exchange of the exact join that follows
-    moves few rows.  The more keys there are beyond the bits, the more rows pass, up to all.
+    A filter over hashes of the keys, of bounded size, is broadcast, so that the exchange of the exact join that follows
+    moves few rows.  The more keys there are beyond the bits, the more rows are marked, up to all.  A key has three bits of one word.
     """
     n = keys.agg(F.approx_count_distinct(column)).first()[0]
     if n > 2 * MOST_BITS:
-        return rows
-    bits = min(MOST_BITS, 1 << max(10, (BITS_A_KEY * n).bit_length()))
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
-    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
-    words = keys.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    placed = rows.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
-    return placed.join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+        return rows.withColumn("may", F.lit(True))
+    words = min(MOST_BITS, 1 << max(10, (BITS_A_KEY * n).bit_length())) >> 6
+
+    def placed(table):
+        table = table.withColumn("hash", F.xxhash64(column))
+        mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftright(hash, {6 * k}) & 63 as int))" for k in range(3)))
+        return table.withColumn("word", F.pmod(F.shiftright("hash", 18), F.lit(words))).withColumn("mask", mask)
+
+    held = placed(keys.select(column)).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    marked = placed(rows).join(F.broadcast(held), "word", "left")
+    return marked.select(*rows.columns, F.coalesce(F.col("bits").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False)).alias("may"))
+
+
+def may_match(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be among that of ``keys``."""
+    return flagged(rows, keys, column).where("may").drop("may")
 
 
-def _near(firsts: DataFrame, trees: int, depth: int, length: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
+def _near(firsts: DataFrame, paths: DataFrame, trees: int, depth: int, length: int, threshold: float) -> tuple[DataFrame, np.ndarray]:
     """Edges between texts that are near below nodes of one depth, and how many pairs of each similarity met there."""
-    nodes = _nodes(firsts, trees, depth, length)
+    nodes = paths.select(F.col(f"at{length}").alias("key"), F.col(f"at{min(length + 1, depth)}").alias("child"), "doc")
     shared = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("child").alias("least"), F.max("child").alias("most")).where("size > 1")
     if length < depth:  # a node with one child has been seen below
         shared = shared.where("least <> most")
@@ -385,6 +405,7 @@ def _near(firsts: DataFrame, trees: int, depth: int, length: int, threshold: flo
         large = shared.where("chunks > 1").select("key", "chunks")
         leads = found.where(F.col("kind") == LEAD).join(large, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("u").alias("doc"), F.lit(1).alias("lead"), "near")
         others = below.where("chunks > 1").select("key", "chunk", "doc", F.lit(0).alias("lead"), F.lit(0.0).alias("near"))
+        signatures = may_match(firsts.select("doc", "signature"), others, "doc")
         both = leads.unionByName(others).join(signatures, "doc").repartition("key", "chunk").sortWithinPartitions("key", "chunk", "lead", "doc")
         edges = edges.unionByName(both.mapInArrow(tidy(_across), _EDGES).select("u", "v"))
     return edges, met
@@ -393,9 +414,10 @@ def _near(firsts: DataFrame, trees: int, depth: int, length: int, threshold: flo
 def candidate_edges(firsts: DataFrame, trees: int, depth: int, threshold: float, target: float) -> tuple[DataFrame, int]:
     """Edges from the forest's nodes, and the length to which prefixes were shortened, for different texts (doc, signature)."""
     last = shortest_prefix(trees, depth, threshold, target)
+    paths = _paths(firsts, trees, depth, last)
     edges, met = None, {}
     for length in range(depth, 0, -1):
-        level, met[length] = _near(firsts, trees, depth, length, threshold)
+        level, met[length] = _near(firsts, paths, trees, depth, length, threshold)
         edges = level if edges is None else edges.unionByName(level)
         if length <= last or estimated_recall(met, trees, length, threshold) >= target:
             return edges, length
@@ -407,15 +429,18 @@ def _classes(rows: DataFrame, threshold, width, trees, depth, target) -> DataFra
     signed = materialize(rows.mapInArrow(tidy(_signatures(width, trees, depth)), kinds), "signatures")
     copies = signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"), F.min("row").alias("doc"))
     copies = materialize(copies, "copies")
-    # One row for each different text.
-    firsts = signed.where("n > 0").join(copies.select(F.col("doc").alias("row")), "row", "left_semi").select(F.col("row").alias("doc"), "n", "signature")
+    # One row for each different text; those that certainly come once stay where they are.
+    marked = flagged(signed.where("n > 0").select("row", "d1", "n", "signature"), copies.where("n_copies > 1"), "d1")
+    often = marked.where("may").join(copies.select(F.col("doc").alias("row")), "row", "left_semi")
+    firsts = marked.where("not may").unionByName(often).select(F.col("row").alias("doc"), "n", "signature")
     firsts = materialize(firsts, "firsts")
     edges, _ = candidate_edges(firsts, trees, depth, threshold, target)
     groups = components(edges).select(F.col("node").alias("doc"), "label")
     sizes = groups.join(firsts.select("doc", "n"), "doc").groupBy("label").agg(F.expr(f"cast(greatest((count(1) + {CHUNK - 1}) div {CHUNK}, (sum(n) + {CHUNK_GRAMS - 1}) div {CHUNK_GRAMS}) as int)").alias("chunks"))
     # Always a sort-merge join: group members grow with the input, and so must not be broadcast at any size.
-    members = may_match(rows.select(F.col("row").alias("doc"), "text"), groups, "doc").join(groups.hint("merge"), "doc").select("doc", "label", "text").mapInArrow(tidy(_sets(width)), "doc long, label long, grams binary")
-    cells = _chunked(members.join(sizes, "label")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    members = may_match(rows.select(F.col("row").alias("doc"), "text"), groups, "doc").join(groups.join(sizes, "label").hint("merge"), "doc").select("doc", "label", "chunks", "text")
+    members = members.mapInArrow(tidy(_sets(width)), "doc long, label long, chunks int, grams binary")
+    cells = _chunked(members).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("label", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "doc", "grams")
     checked = cells.repartition("label", "c1", "c2").sortWithinPartitions("label", "c1", "c2", "doc").mapInArrow(tidy(_verify(threshold)), "label long, doc long, root long, links long")
     checked = materialize(checked, "checked")

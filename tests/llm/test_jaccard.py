@@ -171,3 +171,29 @@ def test_filter_before_exchanges_keeps_every_match(spark, monkeypatch):
         monkeypatch.setattr(j, "MOST_BITS", most)
         few = j.may_match(rows, keys, "doc")
         assert few.columns == ["doc", "text"] and few.join(keys.distinct(), "doc").count() == 2000
+
+
+def test_exchanges_move_what_can_join(documents, spark):
+    """Texts that are like no other pass one exchange of 20 keys, whatever the number of levels, and their signatures none."""
+
+    def moved():
+        sc = spark.sparkContext
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        found = [stages.apply(k) for k in range(stages.size())]
+        return sum(s.shuffleWriteRecords() for s in found), sum(s.shuffleWriteBytes() for s in found)
+
+    rng = random.Random(8)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40)), "s") for k in range(3000)]
+    rows += [(3000 + k, rows[k][1] + " end", "s") for k in range(5)] + [(3005, rows[9][1], "s")]
+    before = moved()
+    got = Counter(map(tuple, j.jaccard_classes(documents(rows)).collect()))
+    records, size = (b - a for a, b in zip(before, moved()))
+    assert got == Counter({(k, k, 0, k, 1): 1 for k in range(3000) if k >= 5 and k != 9} | {(k, k % 3000, 1, k, 1): 1 for k in (*range(5), *range(3000, 3005))} | {(9, 9, 0, 9, 2): 1, (3005, 9, 0, 9, 2): 1})
+    assert records < 40 * len(rows) and size < 500 * len(rows)
+
+
+def test_flags_are_true_for_every_match(spark):
+    rows = spark.range(0, 60_000).selectExpr("id AS doc")
+    found = j.flagged(rows, spark.range(0, 60_000, 30).selectExpr("id AS doc"), "doc").collect()
+    assert len(found) == 60_000 and all(r.may for r in found if r.doc % 30 == 0) and sum(r.may for r in found) < 3500
+    assert not any(r.may for r in j.flagged(rows, rows.limit(0), "doc").limit(50).collect())
