@@ -26,12 +26,14 @@ columns, lang and source among them, are ignored.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import release_memory, table, tidy
+from .shared import table, tidy
 from .subwords import slices
 from .vectorwords import lower_ascii, mix, prefix_sums, span_hashes, text_bytes
 
@@ -416,11 +418,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     toxic = min(totals[1], max_train // 3)
     # Bounded by max_train rows of two numbers.
     chosen = F.broadcast(first(1, toxic).unionByName(first(0, max_train - toxic)))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toArrow().sort_by("doc_id")
-    model = train(rows["text"].fill_null("").to_pylist() if rows.num_rows else [], rows["toxic"].to_numpy(), totals)
-    del rows
-    release_memory()
-    return model
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    # In one task, as training takes some hundred MB that the driver does not have besides its plans.
+    fitted = rows.repartition(1).mapInArrow(tidy(_fitted(totals)), "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else train([], np.zeros(0), totals)
+
+
+def _fitted(totals: tuple[int, int]):
+    """A row with the pickled model for all rows of the task, if it has any."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            rows = pa.Table.from_batches(batches).sort_by("doc_id")
+            batches.clear()
+            model = train(rows["text"].fill_null("").to_pylist(), rows["toxic"].to_numpy(), totals)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return run
 
 
 def _score(model: Model):

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import zlib
@@ -120,6 +121,18 @@ def test_toxicity_table(spark):
     assert toxicity.score_documents(empty, toxicity.fit(empty, labels.limit(0))).count() == 0
 
 
+def test_toxicity_is_not_trained_in_the_driver(spark, monkeypatch):
+    texts, y = corpus(200, 3)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, toxic int")
+    learned = np.array([zlib.crc32(str(k).encode()) % 5 != 0 for k in range(200)])
+    want = toxicity.train([t for t, m in zip(texts, learned) if m], y[learned])
+    got = toxicity.fit(docs, labels)
+    assert np.array_equal(got.score(pa.array(texts)), want.score(pa.array(texts)))
+    monkeypatch.setattr(toxicity, "train", lambda *a, **b: toxicity.Model(os.getpid()))
+    assert toxicity.fit(docs, labels).prior not in (0, os.getpid())
+
+
 def test_attention_scores_are_probabilities():
     """Two ids and an end: the chances of all texts of up to two ids, and of going on, add up to one."""
     rng = np.random.default_rng(0)
