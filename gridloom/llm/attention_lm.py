@@ -12,11 +12,14 @@ overlap by OVERLAP ids of context, and each id is scored once.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 WINDOW, OVERLAP = 64, 16
 KNOWN, OWN, CLUSTERS, DIM, KEY = 2048, 84, 28, 24, 16
 CLASSES = OWN + CLUSTERS
+STRIPE = 24  # windows whose arrays are worked on together
 
 
 def place_ids(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,9 +50,22 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def _norm(x: np.ndarray) -> float:
-    """The greatest length of a row."""
-    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max(initial=0)))
+def _moderate(sums: np.ndarray) -> bool:
+    """Whether no sum of exponentials has overflowed or all but vanished."""
+    return bool(sums.min(initial=1) > 1e-25 and sums.max(initial=1) < 1e30)
+
+
+class Room:
+    """Arrays that are used again and again, by name: fresh ones of this size would cost the system's time at each step."""
+
+    def __init__(self):
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.kept or self.kept[name].size < size or self.kept[name].dtype != kind:
+            self.kept[name] = np.empty(size, kind)
+        return self.kept[name][:size].reshape(shape)
 
 
 class Pairs:
@@ -218,8 +234,12 @@ class AttentionModel:
 
     def learn(self, parts, rounds: int = 1, batch: int = 48, rate: float = 0.02, seed: int = 9, warm: bool = False) -> int:
         """Steps of Adam over each part's windows; a falling rate within a part, or (warm) over all steps. Returns the ids."""
-        rng = np.random.default_rng(seed)
-        m, v, t, ids = {}, {}, 0, 0
+        rng, room, t, ids = np.random.default_rng(seed), Room(), 0, 0
+        # All weights lie in one array, so that a step passes over them together.
+        flat, g = np.concatenate([w.ravel() for w in self.w.values()]), np.zeros(sum(w.size for w in self.w.values()), np.float32)
+        cuts, shapes = np.cumsum([w.size for w in self.w.values()])[:-1], [w.shape for w in self.w.values()]
+        self.w, of = ({k: part.reshape(shape) for k, part, shape in zip(self.w, np.split(x, cuts), shapes)} for x in (flat, g))
+        m, v, size_of, move = (np.zeros_like(g) for _ in range(4))
         for texts in parts:
             inputs, targets = self.windows(texts)
             size = (targets >= 0).sum(1)
@@ -234,18 +254,21 @@ class AttentionModel:
                     width = int(size[pick].max())
                     t += 1
                     pace = rate * min(1, t / 20) * (1 / (1 + t / 500) if warm else 1 - t / (total + 1))
-                    for name, g in self.gradients(inputs[pick, :width], targets[pick, :width]).items():
-                        if name not in m:
-                            m[name], v[name] = np.zeros_like(g), np.zeros_like(g)
-                        m[name] *= 0.9
-                        m[name] += 0.1 * g
-                        g *= g
-                        g *= 0.02
-                        v[name] *= 0.98
-                        v[name] += g
-                        size_of = np.sqrt(v[name] * (1 / (1 - 0.98**t)))
-                        size_of += 1e-8
-                        self.w[name] -= m[name] * (pace / (1 - 0.9**t)) / size_of
+                    g[:] = 0
+                    self.gradients(inputs[pick, :width], targets[pick, :width], of, room)
+                    np.multiply(g, 0.1, out=move)
+                    m *= 0.9
+                    m += move
+                    g *= g
+                    g *= 0.02
+                    v *= 0.98
+                    v += g
+                    np.multiply(v, 1 / (1 - 0.98**t), out=size_of)
+                    np.sqrt(size_of, out=size_of)
+                    size_of += 1e-8
+                    np.multiply(m, pace / (1 - 0.9**t), out=move)
+                    move /= size_of
+                    flat -= move
         return ids
 
     def finish(self) -> "AttentionModel":
@@ -258,63 +281,88 @@ class AttentionModel:
         gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         self.bias = np.where(gap >= 0, w["r"][np.abs(gap)], -np.inf).astype(np.float32)
         ones = np.ones((KNOWN, 1))  # beside the values, so that a product also gives the sum of the weights
-        self.keyed = np.concatenate([w["e"] @ w["wq"] / np.sqrt(KEY), w["e"] @ w["wk"], w["e"] @ w["wv"], ones, w["e"]], 1).astype(np.float32)
+        self.keyed = np.concatenate([w["e"] @ w["wq"] / np.sqrt(KEY), w["e"] @ w["wk"], w["e"] @ w["wv"], ones, w["e"], ones], 1).astype(np.float32)
         # Exponentials are taken as they are unless some context could make one overflow, or all of a sum vanish.
         pairs = (w["e"] @ w["wq"] / np.sqrt(KEY)) @ (w["e"] @ w["wk"]).T
         here, there = w["e"] @ w["wx"] + w["b"], w["e"] @ w["wv"] @ w["wo"]  # the second is averaged over a context
         self.range = (float(pairs.max() + w["r"].max()), float(pairs.diagonal().min() + w["r"][0]), float((here.max(0) + there.max(0)).max()), float((here.min(0) + there.min(0)).max()))
         self.steep = not (max(self.range[0], self.range[2]) < 80 and min(self.range[1], self.range[3]) > -80)
 
-    def gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict:
-        """Of the mean of -log p(class) over all targets.  Sums of weights come from a column of ones beside the values, and
-        the biases from one beside the inputs, so that each large array is passed over as few times as may be."""
-        w, (n, width), root = self.w, inputs.shape, np.float32(np.sqrt(KEY))
-        ids = inputs.ravel()
-        x = w["e"][ids]
-        first = np.concatenate([w["wq"] / root, w["wk"], w["wv"]], 1)
-        qkv = (x @ first).reshape(n, width, -1)
-        q, k = qkv[..., :KEY], qkv[..., KEY : 2 * KEY]
-        v1 = np.concatenate([qkv[..., 2 * KEY :], np.ones((n, width, 1), np.float32)], 2)
+    @np.errstate(over="ignore", invalid="ignore")
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, g: dict | None = None, room: Room | None = None) -> dict:
+        """Of the mean of -log p(class) over all targets, into ``g`` (zeros) if given; STRIPE windows at a time, so that what
+        is worked on stays in a core's cache.  Sums of weights come from a column of ones beside the values, and the biases
+        from one beside the inputs, so that each large array is passed over as few times as may be."""
+        w, (n, width), room = self.w, inputs.shape, room or Room()
+        kind, root = w["e"].dtype, w["e"].dtype.type(np.sqrt(KEY))
+        g = {k: np.zeros_like(v) for k, v in w.items()} if g is None else g
+        first, last = np.concatenate([w["wq"] / root, w["wk"], w["wv"]], 1), np.concatenate([w["wx"], w["wo"], w["b"][None, :]])
         gap = np.arange(width)[:, None] - np.arange(width)[None, :]
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(gap >= 0, w["r"][np.abs(gap)], -1e9).astype(np.float32)
-        if _norm(q) * _norm(k) + np.abs(w["r"]).max() > 60:  # else no exponential overflows, and no sum vanishes
-            a -= a.max(-1, keepdims=True)
-        np.exp(a, out=a)
-        o = a @ v1
-        total = o[..., DIM:]
-        o = (o[..., :DIM] / total).reshape(-1, DIM)
-        last = np.concatenate([w["wx"], w["wo"], w["b"][None, :]])
-        xo = np.concatenate([x, o, np.ones((len(x), 1), np.float32)], 1)
-        d = xo @ last
-        if _norm(xo) * _norm(last.T) > 60:
-            d -= d.max(-1, keepdims=True)
-        np.exp(d, out=d)
-        real = targets.ravel() >= 0
-        share = np.float32(1 / max(1, real.sum()))
-        d *= (np.where(real, share, 0) / (d @ np.ones(CLASSES, np.float32))).astype(np.float32)[:, None]
-        d[real, targets.ravel()[real]] -= share
-        g_last = xo.T @ d
-        g = {"wx": g_last[:DIM], "wo": g_last[DIM : 2 * DIM], "b": g_last[2 * DIM]}
-        dxo = d @ last[: 2 * DIM].T
-        do = dxo[:, DIM:] / total.reshape(-1, 1)
-        do = np.concatenate([do, -(do * o).sum(1, keepdims=True)], 1).reshape(n, width, DIM + 1)
-        ds = do @ v1.transpose(0, 2, 1)
-        ds *= a
-        dqkv = np.empty_like(qkv)
-        np.matmul(ds, k, out=dqkv[..., :KEY])
-        np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., KEY : 2 * KEY])
-        np.matmul(a.transpose(0, 2, 1), do[..., :DIM], out=dqkv[..., 2 * KEY :])
-        dqkv = dqkv.reshape(len(x), -1)
-        g["r"] = np.bincount(np.abs(gap)[gap >= 0], ds.sum(0)[gap >= 0], WINDOW).astype(np.float32)
-        g_first = x.T @ dqkv
-        g |= {"wq": g_first[:, :KEY] / root, "wk": g_first[:, KEY : 2 * KEY], "wv": g_first[:, 2 * KEY :]}
-        dx = dqkv @ first.T
-        dx += dxo[:, :DIM]
-        g["e"] = np.zeros_like(w["e"])
+        bias = np.where(gap >= 0, w["r"][np.abs(gap)], -1e9).astype(kind)
+        share = kind.type(1 / max(1, int((targets >= 0).sum())))
+        ids, dx, unit = inputs.astype(np.uint16).ravel(), room("dx", kind, n * width, DIM), np.ones(CLASSES, kind)
+        g_first, g_last, g_bias = np.zeros_like(first), np.zeros_like(last.T), np.zeros_like(bias)
+        for at in range(0, n, STRIPE):
+            m = min(STRIPE, n - at)
+            rows, shape = slice(at * width, (at + m) * width), (m * width, -1)
+            xo = room("xo", kind, m * width, 2 * DIM + 1)
+            xo[:, :DIM], xo[:, -1] = w["e"].take(ids[rows], axis=0), 1
+            x, qkv = xo[:, :DIM], room("qkv", kind, m, width, 2 * KEY + DIM + 1)
+            np.matmul(x, first, out=qkv.reshape(shape)[:, :-1])
+            qkv[..., -1] = 1
+            q, k, v1 = qkv[..., :KEY], qkv[..., KEY : 2 * KEY], qkv[..., 2 * KEY :]
+            a, o = room("a", kind, m, width, width), room("o", kind, m, width, DIM + 1)
+            for careful in (False, True):  # exponentials are taken as they are unless one overflows, or all of a sum vanish
+                np.matmul(q, k.transpose(0, 2, 1), out=a)
+                a += bias
+                if careful:
+                    a -= a.max(-1, keepdims=True)
+                np.exp(a, out=a)
+                np.matmul(a, v1, out=o)
+                if _moderate(o[..., DIM]):
+                    break
+            total = o.reshape(shape)[:, DIM:]
+            np.divide(o.reshape(shape)[:, :DIM], total, out=xo[:, DIM:-1])
+            d = room("d", kind, m * width, CLASSES)
+            for careful in (False, True):
+                np.matmul(xo, last, out=d)
+                if careful:
+                    d -= d.max(-1, keepdims=True)
+                np.exp(d, out=d)
+                if _moderate(sums := d @ unit):
+                    break
+            target = targets[at : at + m].ravel()
+            real = np.flatnonzero(target >= 0)
+            d *= (np.where(target >= 0, share, 0) / sums).astype(kind)[:, None]
+            d.reshape(-1)[real * CLASSES + target[real]] -= share
+            g_last += d.T @ xo
+            dxo, do = room("dxo", kind, m * width, 2 * DIM), room("do", kind, m, width, DIM + 1)
+            np.matmul(d, last[:-1].T, out=dxo)
+            flat = do.reshape(shape)
+            np.divide(dxo[:, DIM:], total, out=flat[:, :DIM])
+            np.einsum("ij,ij->i", flat[:, :DIM], xo[:, DIM:-1], out=flat[:, DIM])
+            np.negative(flat[:, DIM], out=flat[:, DIM])
+            ds, dqkv = room("ds", kind, m, width, width), room("dqkv", kind, m, width, 2 * KEY + DIM)
+            np.matmul(do, v1.transpose(0, 2, 1), out=ds)
+            ds *= a
+            np.matmul(ds, k, out=dqkv[..., :KEY])
+            np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., KEY : 2 * KEY])
+            np.matmul(a.transpose(0, 2, 1), do[..., :DIM], out=dqkv[..., 2 * KEY :])
+            g_bias += ds.sum(0)
+            g_first += x.T @ dqkv.reshape(shape)
+            np.matmul(dqkv.reshape(shape), first.T, out=dx[rows])
+            dx[rows] += dxo[:, :DIM]
+        g["wx"] += g_last[:, :DIM].T
+        g["wo"] += g_last[:, DIM:-1].T
+        g["b"] += g_last[:, -1]
+        g["wq"] += g_first[:, :KEY] / root
+        g["wk"] += g_first[:, KEY : 2 * KEY]
+        g["wv"] += g_first[:, 2 * KEY :]
+        g["r"] += np.bincount(gap[gap >= 0], g_bias[gap >= 0], WINDOW).astype(kind)
         order = np.argsort(ids, kind="stable")
-        found, begin = np.unique(ids[order], return_index=True)
-        g["e"][found] = np.add.reduceat(dx[order], begin)
+        sorted_ids = ids[order]
+        begin = np.flatnonzero(np.r_[True, sorted_ids[1:] != sorted_ids[:-1]])
+        g["e"][sorted_ids[begin]] += np.add.reduceat(dx.take(order, axis=0), begin)
         return g
 
     def score(self, ids: np.ndarray, offsets: np.ndarray, block: int = 32, far=None) -> np.ndarray:
@@ -336,6 +384,7 @@ class AttentionModel:
         follow[first[1:] - 1] = 0  # from a text's end to the next one's beginning
         out = np.add.reduceat(follow, first) if texts else np.zeros(0)
         w, d = self.w, np.split(np.arange(self.keyed.shape[1]), np.cumsum([KEY, KEY, DIM + 1]))
+        room, last = Room(), np.concatenate([w["wo"], w["wx"], w["b"][None, :]])
         parts = [slice(p[0], p[-1] + 1) for p in d]
         place, unit = np.arange(WINDOW), np.ones(CLASSES, np.float32)
         # Later windows give no score to their context, so its rows are left out of all products.
@@ -347,16 +396,18 @@ class AttentionModel:
                 width, lead = int(size[pick[-1]]), OVERLAP if later else 0
                 at_id = first[text[pick]][:, None] + start[pick][:, None] + place[None, :width]
                 at_id = np.minimum(at_id, len(stream) - 2)
-                x = self.keyed[known[at_id]]
-                s = x[:, lead:, parts[0]] @ x[:, :, parts[1]].transpose(0, 2, 1)
+                x = np.take(self.keyed, known[at_id], axis=0, out=room("x", self.keyed.dtype, *at_id.shape, self.keyed.shape[1]), mode="clip")
+                s = room("s", x.dtype, len(pick), width - lead, width)
+                np.matmul(x[:, lead:, parts[0]], x[:, :, parts[1]].transpose(0, 2, 1), out=s)
                 s += self.bias[lead:width, :width]
                 if self.steep:
                     s -= s.max(-1, keepdims=True)
                 np.exp(s, out=s)  # places behind have weight exp(-inf) = 0
-                o = (s @ x[:, :, parts[2]]).reshape(-1, DIM + 1)
-                logits = (o[:, :DIM] / o[:, DIM:]) @ w["wo"]
-                logits += x[:, lead:, parts[3]].reshape(-1, DIM) @ w["wx"]
-                logits += w["b"]
+                o = np.matmul(s, x[:, :, parts[2]], out=room("o", s.dtype, len(pick), width - lead, DIM + 1)).reshape(-1, DIM + 1)
+                xo = room("xo", s.dtype, len(o), 2 * DIM + 1)
+                np.divide(o[:, :DIM], o[:, DIM:], out=xo[:, :DIM])
+                xo[:, DIM:].reshape(len(pick), -1, DIM + 1)[...] = x[:, lead:, parts[3]]
+                logits = np.matmul(xo, last, out=room("logits", s.dtype, len(o), CLASSES))
                 target = stream[at_id[:, lead:] + 1].ravel()
                 label = self.label[target]
                 if self.steep:

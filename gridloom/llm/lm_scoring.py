@@ -1,8 +1,8 @@
 """Scores of texts by a causal self-attention model, and by add-one word frequencies.
 
 1. Every text is normalised (ASCII lower case, words parted by one space) and
-   encoded once; ids are kept in a written table in slices of about SLICE
-   bytes.  Counts of ids and of pairs of ids are summed by slice, then over
+   encoded word by word, each distinct word of a part once; ids are kept in a
+   written table in slices of about SLICE bytes.  Counts of ids and of pairs of ids are summed by slice, then over
    all training text.
 2. Words, and pairs of ids of which one is rarer, are hashed to 63 bits (the
    last bit tells which); each slice tells how often its distinct ones come in
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .attention_lm import KNOWN, AttentionModel, place_ids
 from .shared import materialize, release_memory, table, tidy
-from .subwords import slices, vocabulary
+from .subwords import _BLANKS, gather, slices, vocabulary
 from .vectorwords import P, hash_of, powers, span_hashes
 
 SLICE = 20 << 20
@@ -65,10 +65,40 @@ class Pieces:
             words[i] = word
         self.opens = np.array([w[:1] == b" " for w in words])
         self.values = np.random.default_rng(17).integers(1, 1 << 63, len(words), dtype=np.uint64)
+        self.width = np.array([len(w) for w in words])
+
+    def _each(self, words: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(ids, how many each has) of " " + word, for words that end in no white space: their ids are the same when they are joined."""
+        ids, lengths, sizes = [], [], pc.binary_length(words).to_numpy() + 1
+        for at in range(0, len(words), 1 << 14):
+            text = pc.binary_join(pa.ListArray.from_arrays([0, min(1 << 14, len(words) - at)], words[at : at + (1 << 14)]), " ")[0].as_py()
+            ids.append(self.encoding.encode_to_numpy(" " + text).astype(np.uint16))
+            ends = np.cumsum(sizes[at : at + (1 << 14)])
+            lengths.append(np.diff(np.searchsorted(np.cumsum(self.width[ids[-1]]), ends) + 1, prepend=0))
+        return ids, lengths
 
     def encode(self, text: str) -> np.ndarray:
         return self.encoding.encode_to_numpy(text).astype(np.uint16) if text else np.zeros(0, np.uint16)
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts as ``normalised`` gives them, word by word; each distinct word is encoded once."""
+        parts = pc.split_pattern(texts, " ")
+        cuts, coded = np.asarray(parts.offsets, np.int64), parts.flatten().dictionary_encode()
+        words = coded.dictionary
+        alone = pc.match_substring_regex(words, f"[{_BLANKS}]$").to_numpy(zero_copy_only=False)
+        joined = ~alone & (pc.binary_length(words).to_numpy() > 0)  # what stands before a text's first space is empty
+        pool, counts = self._each(words.filter(pa.array(joined)))
+        pool += [np.array(self.encoding.encode_ordinary(" " + w), np.uint16) for w in words.filter(pa.array(alone)).to_pylist()]
+        counts.append(np.array([len(p) for p in pool[len(counts) :]], np.int64))
+        lengths = np.zeros(len(words), np.int64)
+        order = np.r_[np.flatnonzero(joined), np.flatnonzero(alone)]
+        lengths[order] = np.concatenate(counts)
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        at = np.asarray(coded.indices)
+        sums = np.concatenate([[0], np.cumsum(lengths[at])])
+        return gather(np.concatenate([np.zeros(0, np.uint16), *pool]), starts[at], lengths[at]), sums[cuts - cuts[0]]
+
 
 _pieces: dict[str, Pieces] = {}
 
@@ -111,14 +141,16 @@ def _encode(path: str):
             return pa.RecordBatch.from_arrays([pa.array([k, k], pa.int64()), pa.array([None, None], pa.int64()), pa.array([None, None], pa.bool_()), pa.array(rows, pa.binary())], ["slice", "doc_id", "held_out", "ids"])
 
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                ids = [model.encode(t) for t in normalised(part.column("text")).to_pylist()]
+            for part in slices(batch, "text", 8 << 20):
+                every, cuts = model.encode_all(normalised(part.column("text")))
+                ids = np.split(every, cuts[1:-1]) if len(cuts) > 1 else []
                 train = [i for i, h in zip(ids, part.column("held_out").to_pylist()) if not h]
                 if train:
                     end = np.array([model.end_id])
-                    own = np.concatenate([x for i in train for x in (end, i)] + [end]).astype(np.int64)
-                    for found, codes in ((single, own[1:]), (pair, (own[:-1] << 32) | own[1:])):
-                        found.append(np.unique(codes, return_counts=True))
+                    own = np.concatenate([x for i in train for x in (end, i)] + [end]).astype(np.uint32)
+                    single.append(np.unique(own[1:], return_counts=True))
+                    code, n = np.unique((own[:-1] << 16) | own[1:], return_counts=True)
+                    pair.append((code.astype(np.int64) >> 16 << 32 | (code & 0xFFFF), n))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k)), part.column("doc_id"), part.column("held_out"), pa.array([i.tobytes() for i in ids], pa.binary())], ["slice", "doc_id", "held_out", "ids"])
                 held_bytes += part.column("text").nbytes
                 if held_bytes >= SLICE:

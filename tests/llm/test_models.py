@@ -293,3 +293,53 @@ def test_pairs_of_a_table_are_those_in_memory(spark, documents, monkeypatch):
     whole.finish()
     offsets = np.r_[0, np.cumsum([len(i) for i in ids])]
     assert np.allclose([out[k] for k in range(120)], whole.score(np.concatenate(ids), offsets), atol=1e-4)
+
+
+def test_each_word_is_encoded_once():
+    vocab = lm_scoring.pieces(TIK)
+    texts = lm_scoring.normalised(pa.array(["The cat's  cat, sat.", None, "", " sat the \x1c cat\x85 \u65e5\u672c x5, x5.", "word " * 500]))
+    asked, encoding = [], vocab.encoding
+    vocab.encoding = type("Counted", (), {"encode_to_numpy": lambda _, t: asked.append(t) or encoding.encode_to_numpy(t), "encode_ordinary": lambda _, t: asked.append(t) or encoding.encode_ordinary(t)})()
+    try:
+        ids, offsets = vocab.encode_all(texts)
+    finally:
+        vocab.encoding = encoding
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [encoding.encode_ordinary(t) for t in texts.to_pylist()]
+    assert sum(len(t) for t in asked) < 120
+
+
+def test_words_that_end_or_begin_with_other_white_space(spark, documents):
+    """No id lies in two words, whatever white space of other kinds stands at their ends."""
+    out = lm_scoring.score_texts(documents([(1, "a\u00a0 \u00a0b", "s"), (2, "a\u2003 \u2003 b", "s")]), F.lit(False), TIK).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {1: 3, 2: 4} and {r.train_tokens for r in out} == {7}
+
+
+def test_gradients_of_the_attention_model():
+    """Of the loss by a plain walk, also over more windows than a stripe and where exponentials would overflow."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 40, rng.integers(1, 30)) for _ in range(lm.STRIPE + 7)]
+    own = np.concatenate([x for t in texts for x in ([40], t)] + [[40]])
+    code, n = np.unique((own[:-1] << 32) | own[1:], return_counts=True)
+    m = lm.AttentionModel(np.bincount(own[1:], minlength=41), (code, n), 40).fit(texts, rounds=1)
+    inputs, targets = m.windows(texts)
+    inputs, targets = inputs[:, :31], targets[:, :31]
+    gap = np.arange(31)[:, None] - np.arange(31)
+
+    def loss():
+        x = m.w["e"][inputs]
+        a = (x @ m.w["wq"]) @ (x @ m.w["wk"]).transpose(0, 2, 1) / math.sqrt(lm.KEY) + np.where(gap >= 0, m.w["r"][np.abs(gap)], -1e9)
+        a = np.exp(a - a.max(-1, keepdims=True))
+        a /= a.sum(-1, keepdims=True)
+        logp = lm.log_softmax(x @ m.w["wx"] + a @ (x @ m.w["wv"]) @ m.w["wo"] + m.w["b"])
+        return -np.take_along_axis(logp, np.maximum(targets, 0)[..., None], 2)[..., 0][targets >= 0].mean()
+
+    for steep in (1, 40):
+        m.w = {k: v.astype(np.float64) * (steep if k in ("wq", "wx") else 1) for k, v in m.w.items()}
+        for name, g in m.gradients(inputs, targets).items():
+            w = m.w[name].reshape(-1)
+            for k in np.argsort(-np.abs(g).ravel())[:3]:
+                keep, ends = w[k], []
+                for w[k] in (keep + 1e-5, keep - 1e-5):
+                    ends.append(loss())
+                w[k] = keep
+                assert g.ravel()[k] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=0.01, abs=1e-7), name
